@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.codes import zero_pad
-from ..functions.numbers import to_number
+from ..functions.numbers import finite_or_null, to_number
 from ..functions.periods import month_start, months_since
+from ..session import cut_lineage
 from .pick import keep_first, require_unique
+from .quantiles import exact_quantiles
 
 INTERVENTION = "2022-09"
 BASE_EVENT_TIME = -1
@@ -100,6 +102,36 @@ def first_per_unit(panel: DataFrame, unit: str, period: str, columns: list[str])
     return keep_first(panel.select(unit, period, *columns), [unit], [period]).select(unit, *columns)
 
 
+def unit_rows(panel: DataFrame, unit: str, period: str, periods: list, outcomes: list[str],
+              doses: list[str]) -> DataFrame:
+    """One row per unit: ``obs`` (period slot and outcomes, in order) and each dose as of the unit's first period.
+
+    A unit has at most one entry per calendar slot, so the lists are as long as the calendar.  The table is written out
+    once and everything after it reads that.
+    """
+    slots = F.create_map(*[F.lit(v) for i, p in enumerate(periods) for v in (p, i)])
+    rows = panel.select(F.col(unit).alias("unit"), F.element_at(slots, F.col(period)).alias("t"),
+                        *[finite_or_null(o).alias(f"y{i}") for i, o in enumerate(outcomes)],
+                        *[finite_or_null(d).alias(d) for d in doses])
+    out = rows.groupBy("unit").agg(
+        F.sort_array(F.collect_list(F.struct("t", *[f"y{i}" for i in range(len(outcomes))]))).alias("obs"),
+        *[F.min_by(d, "t").alias(d) for d in doses],
+        *[(F.max(d) > F.min(d)).alias(f"varies_{d}") for d in doses])
+    return cut_lineage(out)
+
+
+def observed(obs: str, field: str) -> Column:
+    """The non-null values of one outcome of ``unit_rows``, in period order."""
+    return F.filter(F.transform(obs, lambda o: o[field]), lambda y: y.isNotNull())
+
+
+def dose_quantiles(units: DataFrame, doses: list[str], probs: dict[str, float], rule: str = "linear") -> dict:
+    """Quantiles over units of several doses in one pass: dose -> row."""
+    long = units.select(F.explode(F.array(*[
+        F.struct(F.lit(d).alias("dose"), F.col(d).cast("double").alias("x")) for d in doses])).alias("p")).select("p.*")
+    return {r.dose: r for r in exact_quantiles(long, "x", probs, ["dose"], rule=rule).collect()}
+
+
 def constant_dose(panel: DataFrame, unit: str, dose: str) -> DataFrame:
     """One row per unit with its dose; a dose that varies within a unit is an error."""
     per_unit = panel.groupBy(unit).agg(F.min(dose).alias(dose), F.max(dose).alias("_max"))
