@@ -20,6 +20,7 @@ from ..session import cut_lineage
 from .panel import balanced, constant_dose, observed, unit_rows
 from .quantiles import exact_quantiles
 from .resampling import multipliers
+from .vectorsum import vector_sums
 
 DRAWS = 100
 DEGREE, KNOTS = 3, 1
@@ -59,16 +60,46 @@ def dose_sample(panel: DataFrame, unit: str, period: str, outcome: str, dose: st
         *[F.lit(q[c] if q else None).cast("double").alias(c) for c in ("q25", "q50", "q75")])
 
 
-def run_table(samples: dict[str, DataFrame], specs: list[DoseSpec], unit: str, period: str, draws: int = DRAWS) -> DataFrame:
+def _calendar(panel: DataFrame, period: str, intervention: str) -> tuple[list, int]:
+    periods = sorted(r[0] for r in panel.select(period).distinct().collect())
+    if intervention not in periods or periods.index(intervention) == 0:
+        raise ValueError(f"{intervention} must be a period of the panel with one before it")
+    return periods, periods.index(intervention)
+
+
+def _dose_units(panel: DataFrame, unit: str, period: str, periods: list, specs: list[DoseSpec]):
+    """One row per (specification, complete unit) with its dose under the comparison rule, and the rule per spec."""
+    outcomes = sorted({s.outcome for s in specs})
+    doses = sorted({s.dose for s in specs})
+    table = unit_rows(panel, unit, period, periods, outcomes, doses)
+    for d in doses:
+        if not table.where(f"varies_{d}").isEmpty():
+            raise ValueError(f"{d} varies within a {unit}")
+    long = table.select(F.explode(F.array(*[F.struct(
+        F.lit(i).alias("spec"), F.xxhash64(F.lit(s.seed + i), F.col("unit")).alias("key"), F.col(s.dose).alias("raw"),
+        observed("obs", f"y{outcomes.index(s.outcome)}").alias("y")) for i, s in enumerate(specs)])).alias("s")).select("s.*")
+    complete = cut_lineage(long.where((F.size("y") == len(periods)) & F.col("raw").isNotNull()))
+    rules = {r.spec: r for r in exact_quantiles(complete, "raw", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["spec"]).join(
+        complete.groupBy("spec").agg(F.count(F.when(F.col("raw") == 0, 1)).alias("zeros")), "spec").collect()}
+    floors = [F.lit(x) for s, r in rules.items() for x in (s, 0.0 if r.zeros else r.q25)]
+    above = F.col("raw") > F.element_at(F.create_map(*floors), F.col("spec")) if floors else F.lit(False)
+    usable = ~F.col("spec").isin([s for s, r in rules.items() if r.zeros]) | (F.col("raw") >= 0)
+    units = complete.where(usable).select("spec", "key", F.when(above, F.col("raw")).otherwise(0.0).alias("d"),
+                                          above.alias("exposed"), "y")
+    return units, rules
+
+
+def run_table(panel: DataFrame, unit: str, period: str, specs: list[DoseSpec], intervention: str,
+              draws: int = DRAWS) -> DataFrame:
     """One row per specification: size, quantiles and comparison rule of its sample."""
-    out = None
-    for s in specs:
-        row = samples[s.name].groupBy("control_rule", "q25", "q50", "q75").agg(
-            F.count_distinct(unit).alias("n_units"), F.count_distinct(period).alias("n_periods"),
-        ).withColumns({"spec": F.lit(s.name), "outcome": F.lit(s.outcome), "exposure": F.lit(s.dose),
-                       "bootstraps": F.lit(draws)})
-        out = row if out is None else out.unionByName(row)
-    return out
+    periods, _ = _calendar(panel, period, intervention)
+    units, rules = _dose_units(panel, unit, period, periods, specs)
+    counts = {r.spec: r["count"] for r in units.groupBy("spec").count().collect()}
+    rows = [(specs[s].name, specs[s].outcome, specs[s].dose, ZERO_RULE if r.zeros else QUARTILE_RULE, counts.get(s, 0),
+             len(periods), r.q25, r.q50, r.q75, draws) for s, r in sorted(rules.items())]
+    return panel.sparkSession.createDataFrame(
+        rows, "spec string, outcome string, exposure string, control_rule string, n_units long, n_periods long, "
+        "q25 double, q50 double, q75 double, bootstraps int")
 
 
 # ---- spline basis ---------------------------------------------------------------------------------------------
@@ -147,29 +178,8 @@ def _changes(y: np.ndarray, adoption: int, base: str) -> np.ndarray:
 def fit_doses(panel: DataFrame, unit: str, period: str, specs: list[DoseSpec], intervention: str, draws: int = DRAWS,
               base: str = "varying") -> list[DoseFit]:
     """Fit every specification; two passes over one row per unit whatever their number."""
-    periods = sorted(r[0] for r in panel.select(period).distinct().collect())
-    if intervention not in periods or periods.index(intervention) == 0:
-        raise ValueError(f"{intervention} must be a period of the panel with one before it")
-    adoption = periods.index(intervention)
-    outcomes = sorted({s.outcome for s in specs})
-    doses = sorted({s.dose for s in specs})
-    table = unit_rows(panel, unit, period, periods, outcomes, doses)
-    for d in doses:
-        if not table.where(f"varies_{d}").isEmpty():
-            raise ValueError(f"{d} varies within a {unit}")
-    long = table.select(F.explode(F.array(*[F.struct(
-        F.lit(i).alias("spec"), F.xxhash64(F.lit(s.seed + i), F.col("unit")).alias("key"), F.col(s.dose).alias("raw"),
-        observed("obs", f"y{outcomes.index(s.outcome)}").alias("y")) for i, s in enumerate(specs)])).alias("s")).select("s.*")
-    complete = cut_lineage(long.where((F.size("y") == len(periods)) & F.col("raw").isNotNull()))
-    rules = {r.spec: (r.zeros, r.q25) for r in exact_quantiles(complete, "raw", {"q25": 0.25}, ["spec"]).join(
-        complete.groupBy("spec").agg(F.count(F.when(F.col("raw") == 0, 1)).alias("zeros")), "spec").collect()}
-    floor = F.create_map(*[F.lit(x) for s, (zeros, q25) in rules.items() for x in (s, 0.0 if zeros else q25)]) \
-        if rules else F.create_map(F.lit(-1), F.lit(0.0))
-    low = F.element_at(floor, F.col("spec"))
-    zero_specs = [s for s, (zeros, _) in rules.items() if zeros]
-    usable = ~F.col("spec").isin(zero_specs) | (F.col("raw") >= 0)
-    units = complete.where(usable).select("spec", "key", F.when(F.col("raw") > low, F.col("raw")).otherwise(0.0).alias("d"),
-                                          F.when(F.col("raw") > low, True).otherwise(False).alias("exposed"), "y")
+    periods, adoption = _calendar(panel, period, intervention)
+    units, _ = _dose_units(panel, unit, period, periods, specs)
 
     treated = units.where("exposed")
     points = {f"p{i}": 0.1 + 0.01 * i for i in range(90)}
@@ -180,9 +190,9 @@ def fit_doses(panel: DataFrame, unit: str, period: str, specs: list[DoseSpec], i
     shape = {s: (*bounds[s], knots[s]) for s in bounds}
     size, width = len(periods), 1 + DEGREE + KNOTS
 
-    first = _sum_vectors(units.mapInArrow(_dose_statistics(shape, adoption, base), "spec int, v array<double>"))
+    first = vector_sums(units.mapInArrow(_dose_statistics(shape, adoption, base), "spec int, v array<double>"), ["spec"])
     solved = {}
-    for s, flat in first.items():
+    for (s,), flat in sorted(first.items()):
         q = flat[:width * width].reshape(width, width)
         rest = flat[width * width:]
         by = rest[:width * size].reshape(width, size)
@@ -193,11 +203,11 @@ def fit_doses(panel: DataFrame, unit: str, period: str, specs: list[DoseSpec], i
         inverse = np.linalg.pinv(q, hermitian=True)
         solved[s] = {"inverse": inverse, "beta": inverse @ by, "slope": slope / n1, "mean": mean / n1,
                      "base": control[:-1] / n0, "n1": n1, "n0": n0}
-    second = _sum_vectors(units.mapInArrow(
-        _dose_draws(shape, adoption, base, solved, draws), "spec int, v array<double>"))
+    second = vector_sums(units.mapInArrow(
+        _dose_draws(shape, adoption, base, solved, draws), "spec int, v array<double>"), ["spec"])
     out = []
     for s, m in solved.items():
-        flat = second[s].reshape(draws, width * size + 2 * size + width)
+        flat = second[(s,)].reshape(draws, width * size + 2 * size + width)
         scores = flat[:, :width * size].reshape(draws, width, size)
         out.append(DoseFit(
             specs[s], *shape[s][:2], shape[s][2], np.array(grid[s]), np.arange(size) - adoption, m["beta"], m["base"],
@@ -208,15 +218,6 @@ def fit_doses(panel: DataFrame, unit: str, period: str, specs: list[DoseSpec], i
     return out
 
 
-def _sum_vectors(partials: DataFrame) -> dict[int, np.ndarray]:
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
-        return pd.DataFrame({"spec": [int(pdf["spec"].iloc[0])], "v": [total]})
-
-    summed = partials.groupBy("spec").applyInPandas(add, "spec int, v array<double>")
-    return {r.spec: np.array(r.v) for r in summed.collect()}
-
-
 def _dose_groups(batches, shape, adoption: int, base: str):
     for batch in batches:
         spec, key, d = (batch.column(c).to_numpy() for c in ("spec", "key", "d"))

@@ -18,7 +18,9 @@ from ..functions.numbers import finite_or_null
 from ..session import cut_lineage
 from .panel import dose_quantiles
 from .quantiles import exact_quantiles
+from .vectorsum import vector_sums
 
+_PARTIAL = "spec int, v array<double>"
 RESULT = "coefficient double, std_error double, p_value double, r2 double, nobs long, k int"
 
 
@@ -188,18 +190,18 @@ def event_study(panel: DataFrame, unit: str, period: str, event_time: str, outco
              for i, s in enumerate(specs)]
     units = per_unit.select("cells", *treat)
 
-    grams = _collect_sums(units.mapInArrow(_gram_kernel(size, len(specs), len(names)), "spec int, v array<double>"))
+    grams = vector_sums(units.mapInArrow(_gram_kernel(size, len(specs), len(names)), _PARTIAL), ["spec"])
     solved = {}
-    for key, flat in grams.items():
+    for (key,), flat in sorted(grams.items()):
         solved[key] = _solve(flat, size, times, base)
     paths = {k: (s["gamma"], s["delta"]) for k, s in solved.items()}
-    meats = _collect_sums(units.mapInArrow(_meat_kernel(size, len(specs), len(names), paths), "spec int, v array<double>"))
+    meats = vector_sums(units.mapInArrow(_meat_kernel(size, len(specs), len(names), paths), _PARTIAL), ["spec"])
     out = []
     for key, s in solved.items():
         spec, name = specs[key // len(names)], names[key % len(names)]
         q = quantile.get(spec.dose)
         note = sample_note(spec.mode, q and q.q25, q and q.q75)
-        flat = meats[key]
+        flat = meats[(key,)]
         blocks = flat[:3 * size * size].reshape(3, size, size)
         meat = np.block([[blocks[0], blocks[1]], [blocks[1].T, blocks[2]]])[np.ix_(s["columns"], s["columns"])]
         n, k, g = s["n"], s["k"], s["units"]
@@ -216,13 +218,6 @@ def event_study(panel: DataFrame, unit: str, period: str, event_time: str, outco
                                  "ci_high double, nobs long, n_units long, r2_twfe double, k int, sample_note string")
 
 
-def _collect_sums(partials: DataFrame) -> dict[int, np.ndarray]:
-    """Element-wise sums of per-task statistic vectors."""
-    summed = partials.select("spec", F.posexplode("v")).groupBy("spec", "pos").agg(F.sum("col").alias("v"))
-    packed = summed.groupBy("spec").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p"))
-    return {r.spec: np.array([x[1] for x in r.p]) for r in packed.select("spec", "p").collect()}
-
-
 def _dense(batch: pa.RecordBatch, size: int, outcomes: int) -> np.ndarray:
     """units x 3*outcomes x periods from the list column of cells."""
     cells = batch.column("cells")

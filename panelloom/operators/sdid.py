@@ -22,6 +22,7 @@ from .panel import balanced, dose_quantiles, first_per_unit, observed, unit_rows
 from .quantiles import exact_quantiles
 from .regression import _flag
 from .resampling import unit_counts
+from .vectorsum import vector_sums
 
 REPLICATES = 100
 CONTROL_RULES = {"top_vs_zero": "zero exposure", "top_vs_bottom": "bottom quartile"}
@@ -85,11 +86,7 @@ def sdid_paths(panel: DataFrame, unit: str, period: str, specs: list[SdidSpec],
     point, eta = _solve_unit_weights(units, state, before, tolerance, max_steps)
 
     paths = units.mapInArrow(_synthetic_kernel(before, point, eta), "spec int, rep int, v array<double>")
-    synthetic: dict = {}
-    summed = paths.select("spec", "rep", F.posexplode("v")).groupBy("spec", "rep", "pos").agg(F.sum("col").alias("v"))
-    packed = summed.groupBy("spec", "rep").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p"))
-    for r in packed.collect():
-        synthetic[(r.spec, r.rep)] = np.array([x[1] for x in r.p])
+    synthetic = vector_sums(paths, ["spec", "rep"])
     origin = periods.index(intervention) if intervention in periods else before
     out = []
     for key, r in state.items():

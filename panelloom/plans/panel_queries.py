@@ -298,6 +298,4 @@ def e14(spark, d):
  (SELECT count(DISTINCT period) FROM k) AS n_periods, round(q25, 6) AS q25, round(q50, 6) AS q50,
  round(q75, 6) AS q75, 100 AS bootstraps FROM q CROSS JOIN o""")
 def e15(spark, d):
-    p = grid_panel(spark, d)
-    samples = {s.name: dose_did.dose_sample(p, "unit", "period", s.outcome, s.dose, 49) for s in dose_specs()}
-    return rounded(dose_did.run_table(samples, dose_specs(), "unit", "period"))
+    return rounded(dose_did.run_table(grid_panel(spark, d), "unit", "period", dose_specs(), INTERVENTION))
