@@ -162,6 +162,8 @@ def report_pages(spark, d):
         *numbers("O"), F.lit("]);\n}\n</script></body></html>"))
     url = F.concat(F.lit("https://reports.example/_mensuales_"), F.replace("m", F.lit("-"), F.lit("_")), F.lit("_"), code,
                    F.lit("-x.html"))
+    # rendering and reading pages is work per row, not per byte: spread the small cells over every core first
+    cells = cells.repartition(spark.sparkContext.defaultParallelism, "unit", "m")
     return cells.select(html.alias("html"), url.alias("url"), F.concat(code, F.lit("_"), "m", F.lit(".html")).alias("file"),
                         "unit", "m")
 
