@@ -23,13 +23,18 @@ def normalize_space(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(_col(c).cast("string"), SPACE + "+", " "))
 
 
+def _single_spaces(c: Column) -> Column:
+    """``normalize_space`` for text whose only white space is the plain space already."""
+    return F.trim(F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " +", " ")).otherwise(c))
+
+
 def clean_title(c: Column | str) -> Column:
     """Drop code annotations in parentheses and tidy the full stops of a title."""
     text = F.regexp_replace(normalize_space(c), CODE_PAREN, "")
-    text = F.regexp_replace(text, SPACE + r"+\.", ".")
-    text = F.regexp_replace(text, r"\." + SPACE + "*", ". ")
-    text = F.regexp_replace(text, "[." + SPACE[1:] + "+$", "")
-    return normalize_space(text)
+    text = F.regexp_replace(text, r" +\.", ".")
+    text = F.regexp_replace(text, r"\. *", ". ")
+    text = F.regexp_replace(text, r"[. ]+$", "")
+    return _single_spaces(text)
 
 
 def repair_text(c: Column | str) -> Column:
@@ -37,9 +42,9 @@ def repair_text(c: Column | str) -> Column:
     text = normalize_space(c)
     for broken, fixed in LITERAL_REPAIRS.items():
         text = F.replace(text, F.lit(broken), F.lit(fixed))
-    text = F.regexp_replace(text, r"([\p{L}\p{N}_])- ([\p{L}\p{N}_])", "$1$2")
-    text = F.regexp_replace(text, SPACE + r"+([,.;:])", "$1")
-    return normalize_space(text)
+    joined = F.regexp_replace(text, r"([\p{L}\p{N}_])- ([\p{L}\p{N}_])", "$1$2")
+    text = F.when(F.contains(text, F.lit("- ")), joined).otherwise(text)
+    return _single_spaces(F.regexp_replace(text, " +([,.;:])", "$1"))
 
 
 def limit_text(c: Column | str, limit: int) -> Column:

@@ -9,21 +9,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 CHUNK_LINES = 1 << 16
 
 
+def fits_one_chunk(df: DataFrame, by: list[str], chunk_lines: int = CHUNK_LINES) -> bool:
+    """Whether every group is known to hold at most a chunk's worth of rows (one narrow count)."""
+    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
+    return (largest or 0) <= chunk_lines
+
+
 def running(df: DataFrame, by: list[str], order: str, values: dict[str, tuple[str, Column]],
-            inclusive: bool = True, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+            inclusive: bool = True, chunk_lines: int = CHUNK_LINES, small: bool = False) -> DataFrame:
     """Add running values along the integer column ``order`` (unique within ``by``).
 
+    ``small`` says that ``fits_one_chunk`` holds: one window per group is then bounded already.
+
     ``values`` maps an output name to ``(kind, column)``; kinds are ``sum``, ``max`` and ``last`` (last non-null).
     ``inclusive=False`` leaves the current line out.
     """
-    source = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_lines)))
-    for name, (_, column) in values.items():
-        source = source.withColumn(f"_in_{name}", column)
-    chunk = [*by, "_chunk"]
     end = W.currentRow if inclusive else -1
+    if small:
+        whole = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, end)
+        make = {"sum": lambda c: F.coalesce(F.sum(c).over(whole), F.lit(0)), "max": lambda c: F.max(c).over(whole),
+                "last": lambda c: F.last(c, ignorenulls=True).over(whole)}
+        return df.select(*[c for c in df.columns if c not in values],
+                         *[make[kind](column).alias(name) for name, (kind, column) in values.items()])
+
+    # both the rows and the chunk totals come from this table, so it is written once instead of being computed twice
+    source = cut_lineage(df.select("*", F.floor(F.col(order) / F.lit(chunk_lines)).alias("_chunk"),
+                                   *[column.alias(f"_in_{name}") for name, (_, column) in values.items()]))
+    chunk = [*by, "_chunk"]
     inside = W.partitionBy(*chunk).orderBy(order).rowsBetween(W.unboundedPreceding, end)
     earlier = W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clean_title, normalize_space
 from ..operators.pick import keep_first
-from ..operators.scan import CHUNK_LINES, running
+from ..operators.scan import CHUNK_LINES, fits_one_chunk, running
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def marked_lookup(cells: DataFrame, rule: BlockRule, sheet: str = "sheet", row_n
     blank = (F.col("_code") == "") & (F.col("_label") == "")
     at = F.col("row_no")
     seen = running(base, ["sheet"], "row_no", {"_open": ("max", F.when(marker, at)), "_shut": ("max", F.when(blank, at))},
-                   inclusive=False, chunk_lines=chunk_lines)
+                   inclusive=False, chunk_lines=chunk_lines, small=fits_one_chunk(cells, [sheet], chunk_lines))
     inside = seen.where(F.col("_open").isNotNull() & (F.col("_shut").isNull() | (F.col("_open") > F.col("_shut"))))
     rows = inside.where(F.col("_code").rlike(rule.pattern) & (F.col("_label") != ""))
     first = keep_first(rows.select(F.col("_code").alias(rule.code), F.col("_label").alias(rule.label), "sheet", "row_no"),
