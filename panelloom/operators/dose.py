@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.inference import Z95
 from ..functions.numbers import keep_finite
 from ..session import cut_lineage
-from .panel import balanced, constant_dose, observed, unit_rows
+from .panel import balanced, calendar, constant_dose, observed, unit_rows
 from .quantiles import exact_quantiles
 from .resampling import multipliers
 from .vectorsum import vector_sums
@@ -61,7 +61,7 @@ def dose_sample(panel: DataFrame, unit: str, period: str, outcome: str, dose: st
 
 
 def _calendar(panel: DataFrame, period: str, intervention: str) -> tuple[list, int]:
-    periods = sorted(r[0] for r in panel.select(period).distinct().collect())
+    periods = calendar(panel, period)
     if intervention not in periods or periods.index(intervention) == 0:
         raise ValueError(f"{intervention} must be a period of the panel with one before it")
     return periods, periods.index(intervention)

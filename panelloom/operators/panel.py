@@ -44,13 +44,23 @@ def period_index(panel: DataFrame, period: str, intervention: str) -> DataFrame:
 
     Periods are calendar slots, so the distinct list is short whatever the panel's size.
     """
-    from pyspark.sql import Window as W
-
-    ranked = panel.select(period).distinct().withColumn("time_period", F.row_number().over(W.orderBy(period)))
-    at = ranked.where(F.col(period) == intervention).select("time_period").collect()
-    if not at:
+    periods = calendar(panel, period)
+    if intervention not in periods:
         raise ValueError(f"{intervention} is not among the periods of the panel")
-    return ranked.withColumn("event_time", F.col("time_period") - at[0][0])
+    at = periods.index(intervention)
+    return panel.sparkSession.createDataFrame(
+        [(p, i + 1, i - at) for i, p in enumerate(periods)], f"{period} string, time_period int, event_time int")
+
+
+def calendar(panel: DataFrame, period: str, *carry: str, limit: int = 2000) -> list:
+    """The panel's periods in order (rows when other columns are carried along).
+
+    Period x period matrices are solved on the driver or in one task, so a "calendar" of thousands of slots is refused.
+    """
+    rows = panel.select(period, *carry).distinct().orderBy(period).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} periods")
+    return rows if carry else [r[0] for r in rows]
 
 
 def balanced(panel: DataFrame, unit: str, period: str, outcome: str | None = None, rule: str = "max") -> DataFrame:

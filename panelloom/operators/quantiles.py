@@ -38,6 +38,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list
         return counts.groupBy(*keys).agg(
             F.sum("_c").alias("n"), F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]), F.col("_c")).alias("_q")
         ).select(*by, "n", *[F.col("_q")[i].alias(q) for i, q in enumerate(names)])
+    buckets = max(buckets, min(8192, largest // 500_000))  # no bucket is more than a task can sort
     cuts = [i / buckets for i in range(1, buckets)]
     splitters = counts.groupBy(*keys).agg(
         F.percentile_approx("_v", cuts, 4 * buckets).alias("_cuts"), F.sum("_c").alias("n")

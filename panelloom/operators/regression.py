@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.inference import Z95, student_two_sided
 from ..functions.numbers import finite_or_null
 from ..session import cut_lineage
-from .panel import dose_quantiles
+from .panel import calendar, dose_quantiles
 from .quantiles import exact_quantiles
 from .vectorsum import vector_sums
 
@@ -158,7 +158,7 @@ def event_design(panel: DataFrame, outcome: str, dose: str, event_time: str = "e
 
 
 def event_study(panel: DataFrame, unit: str, period: str, event_time: str, outcomes: dict[str, str],
-                specs: list[Spec], base: int = -1, max_periods: int = 2000) -> DataFrame:
+                specs: list[Spec], base: int = -1) -> DataFrame:
     """Dose (or flag) x event time with unit and period effects, errors clustered by unit.
 
     All specifications and outcomes go through the same two passes.  Several rows per unit and period are allowed; they
@@ -166,10 +166,8 @@ def event_study(panel: DataFrame, unit: str, period: str, event_time: str, outco
     period.
     """
     spark = panel.sparkSession
-    calendar = panel.select(period, event_time).distinct().orderBy(event_time).limit(max_periods + 1).collect()
-    if len(calendar) > max_periods:
-        raise ValueError(f"more than {max_periods} periods: the period block would not fit a driver-side solve")
-    labels, times = [r[0] for r in calendar], np.array([r[1] for r in calendar])
+    calendar_rows = sorted(calendar(panel, period, event_time), key=lambda r: r[1])
+    labels, times = [r[0] for r in calendar_rows], np.array([r[1] for r in calendar_rows])
     size = len(labels)
     names = list(outcomes)
     doses = sorted({s.dose for s in specs})

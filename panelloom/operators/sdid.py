@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.inference import Z95, normal_two_sided
 from ..functions.numbers import finite_or_null
 from ..session import cut_lineage
-from .panel import balanced, dose_quantiles, first_per_unit, observed, unit_rows
+from .panel import balanced, calendar, dose_quantiles, first_per_unit, observed, unit_rows
 from .quantiles import exact_quantiles
 from .regression import _flag
 from .resampling import unit_counts
@@ -60,7 +60,7 @@ def sdid_paths(panel: DataFrame, unit: str, period: str, specs: list[SdidSpec],
     ``effect`` is the treated-synthetic gap minus its pre-period average under the time weights.
     """
     spark = panel.sparkSession
-    periods = sorted(r[0] for r in panel.select(period).distinct().collect())
+    periods = calendar(panel, period)
     before = sum(p < intervention for p in periods)
     if not 1 < before < len(periods):
         raise ValueError("the intervention must leave at least two periods before it and one after")

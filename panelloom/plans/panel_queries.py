@@ -203,6 +203,43 @@ def e7(spark, d):
         {"unemployment": "event_unemployment", "contracts": "event_contracts"}, grid_specs()))
 
 
+def _grid_sql() -> str:
+    """The saturated design on a balanced panel, one block per specification and outcome: the coefficient at t is the
+    slope of y_t - y_base on the treatment, with the clustered error of that slope."""
+    doses_ = {"dose": "dose", "dose2": "dose2", "dose3": "dose * dose2"}
+    ctes = [EVENT, "u AS (SELECT DISTINCT unit, dose, dose2, dose * dose2 AS dose3 FROM bal)", "q AS (SELECT " + ", ".join(
+        f"quantile_cont({d}, {p}) AS {d}_{n}" for d in doses_ for n, p in (("q25", .25), ("q75", .75))) + " FROM u)"]
+    blocks = []
+    for spec in grid_specs():
+        d = spec.dose
+        flag = {"continuous": d, "top_vs_zero": f"CASE WHEN {d} >= {d}_q75 THEN 1.0 WHEN {d} = 0 THEN 0.0 END",
+                "top_vs_bottom": f"CASE WHEN {d} >= {d}_q75 THEN 1.0 WHEN {d} <= {d}_q25 THEN 0.0 END"}[spec.mode]
+        for outcome, column in (("unemployment", "y"), ("contracts", "contratos")):
+            n = len(blocks)
+            ctes += [
+                f"x{n} AS (SELECT unit, {flag} AS x FROM u CROSS JOIN q)",
+                f"d{n} AS (SELECT bal.unit, period, event_time, x, bal.{column} - b.y0 AS dy FROM bal JOIN x{n} USING (unit) JOIN "
+                f"(SELECT unit, {column} AS y0 FROM bal WHERE event_time = -1) b USING (unit) WHERE x IS NOT NULL)",
+                f"z{n} AS (SELECT count(*) AS n, count(DISTINCT unit) AS g, count(DISTINCT period) AS t FROM d{n})",
+                f"s{n} AS (SELECT event_time, regr_slope(dy, x) AS b, regr_intercept(dy, x) AS a, avg(x) AS mx, "
+                f"regr_sxx(dy, x) AS sxx FROM d{n} WHERE event_time <> -1 GROUP BY 1)"]
+            blocks.append(
+                f"SELECT '{spec.name}' AS spec, '{outcome}' AS outcome, event_time, round(any_value(b), 6) AS coefficient, "
+                f"round(sqrt(any_value(g / (g - 1) * (n - 1) / (n - (2 * t + g - 2))) * sum(pow((x - mx) * (dy - a - b * x), 2))) "
+                f"/ any_value(sxx), 6) AS std_error, any_value(n) AS nobs, any_value(g) AS n_units FROM d{n} JOIN s{n} USING (event_time) "
+                f"CROSS JOIN z{n} GROUP BY event_time")
+    return with_ctes(*ctes) + " UNION ALL ".join(blocks)
+
+
+@query("e7_balanced", _grid_sql())
+def e7_balanced(spark, d):
+    """The same grid on the balanced panel, where a closed form exists."""
+    p = panel.balanced(grid_panel(spark, d), "unit", "period")
+    out = regression.event_study(p, "unit", "period", "event_time",
+                                 {"unemployment": "event_unemployment", "contracts": "event_contracts"}, grid_specs())
+    return rounded(out.select("spec", "outcome", "event_time", "coefficient", "std_error", "nobs", "n_units"))
+
+
 E8_WITH = """, u AS (SELECT DISTINCT unit, dose FROM monthly), q AS (SELECT quantile_cont(dose, 0.25) AS q25,
   quantile_cont(dose, 0.75) AS q75 FROM u),
  f AS (SELECT unit, CASE WHEN dose >= q75 THEN 1.0 ELSE 0.0 END AS treated, q25, q75 FROM u CROSS JOIN q
@@ -219,6 +256,12 @@ def e8(spark, d):
                                     "top_vs_bottom", INTERVENTION))
 
 
+def dose_specs():
+    return [dose_did.DoseSpec(f"{o}_{x}_continuous", c, x)
+            for o, c in (("unemployment", "event_unemployment"), ("contracts", "event_contracts"))
+            for x in ("dose", "dose2", "dose3")]
+
+
 def sdid_specs():
     exposures = [("dose2", "top_vs_zero"), ("dose", "top_vs_zero"), ("dose3", "top_vs_bottom"),
                  ("dose2", "top_vs_bottom"), ("dose", "top_vs_bottom")]
@@ -239,6 +282,26 @@ def e10(spark, d):
     return sdid.sdid_levels(paths)
 
 
+COMPLETE = """, ok AS (SELECT unit FROM ev GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT period) FROM ev)),
+ u AS (SELECT DISTINCT unit, dose, dose2, dose * dose2 AS dose3 FROM monthly)"""
+
+
+def _treated_sql() -> str:
+    blocks = []
+    for s in sdid_specs():
+        y = "y" if s.outcome == "event_unemployment" else "contratos"
+        blocks.append(f"SELECT '{s.name}' AS spec, period, event_time, round(avg({y}), 6) AS treated_mean FROM ev WHERE unit IN "
+                      f"(SELECT unit FROM u WHERE {s.dose} >= (SELECT quantile_cont({s.dose}, 0.75) FROM u)) "
+                      "AND unit IN (SELECT unit FROM ok) GROUP BY ALL")
+    return with_ctes(EVENT) + COMPLETE + " UNION ALL ".join(blocks)
+
+
+@query("e10_treated", _treated_sql())
+def e10_treated(spark, d):
+    """The treated side of the level paths, which needs no weights."""
+    return rounded(e10(spark, d).select("spec", "period", "event_time", "treated_mean"))
+
+
 @query("e11")
 def e11(spark, d):
     paths = sdid.sdid_paths(grid_panel(spark, d), "unit", "period", sdid_specs()[4:5], INTERVENTION)
@@ -260,12 +323,6 @@ def e12(spark, d):
     return rounded(dose_did.dose_sample(event_panel(spark, d), "unit", "period", "event_unemployment", "dose", 49))
 
 
-def dose_specs():
-    return [dose_did.DoseSpec(f"{o}_{x}_continuous", c, x)
-            for o, c in (("unemployment", "event_unemployment"), ("contracts", "event_contracts"))
-            for x in ("dose", "dose2", "dose3")]
-
-
 def _fits(spark, d):
     return dose_did.fit_doses(grid_panel(spark, d), "unit", "period", dose_specs(), INTERVENTION)
 
@@ -280,6 +337,26 @@ def e13_overall(spark, d):
     return dose_did.dose_overall(spark, _fits(spark, d))
 
 
+def _att_sql() -> str:
+    blocks = []
+    for s in dose_specs():
+        y = "y" if s.outcome == "event_unemployment" else "contratos"
+        blocks.append(
+            f"SELECT '{s.name}' AS spec, round(avg(CASE WHEN x > c THEN dy END) - avg(CASE WHEN x <= c THEN dy END), 6) AS att, "
+            f"count(CASE WHEN x > c THEN 1 END) AS n_treated, count(CASE WHEN x <= c THEN 1 END) AS n_control FROM "
+            f"(SELECT unit, avg(CASE WHEN event_time >= 0 THEN {y} END) - max(CASE WHEN event_time = -1 THEN {y} END) AS dy "
+            f"FROM ev WHERE unit IN (SELECT unit FROM ok) GROUP BY 1) JOIN (SELECT unit, {s.dose} AS x FROM u) USING (unit) "
+            f"CROSS JOIN (SELECT CASE WHEN min({s.dose}) = 0 THEN 0 ELSE quantile_cont({s.dose}, 0.25) END AS c FROM u "
+            "WHERE unit IN (SELECT unit FROM ok))")
+    return with_ctes(EVENT) + COMPLETE + " UNION ALL ".join(blocks)
+
+
+@query("e13_att", _att_sql())
+def e13_att(spark, d):
+    """The overall ATT, which has a closed form: mean change of the dosed minus mean change of the comparison units."""
+    return rounded(e13_overall(spark, d).select("spec", "att", "n_treated", "n_control"))
+
+
 @query("e14")
 def e14(spark, d):
     return dose_did.dose_event_study(spark, _fits(spark, d))
