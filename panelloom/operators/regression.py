@@ -161,7 +161,8 @@ def event_study(panel: DataFrame, unit: str, period: str, event_time: str, outco
                 specs: list[Spec], base: int = -1) -> DataFrame:
     """Dose (or flag) x event time with unit and period effects, errors clustered by unit.
 
-    All specifications and outcomes go through the same two passes.  Several rows per unit and period are allowed; they
+    All specifications and outcomes go through the same two passes.  A coefficient the data do not identify (no comparison
+    units, say) is null.  Several rows per unit and period are allowed; they
     collapse to counts and sums before a unit's rows are brought together, so a unit is never more than one row per
     period.
     """
@@ -192,25 +193,23 @@ def event_study(panel: DataFrame, unit: str, period: str, event_time: str, outco
     solved = {}
     for (key,), flat in sorted(grams.items()):
         solved[key] = _solve(flat, size, times, base)
-    paths = {k: (s["gamma"], s["delta"]) for k, s in solved.items()}
-    meats = vector_sums(units.mapInArrow(_meat_kernel(size, len(specs), len(names), paths), _PARTIAL), ["spec"])
+    paths = {k: (s["gamma"], s["delta"], s["to_event"]) for k, s in solved.items()}
+    errors = vector_sums(units.mapInArrow(_error_kernel(size, len(specs), len(names), paths), _PARTIAL), ["spec"])
     out = []
     for key, s in solved.items():
         spec, name = specs[key // len(names)], names[key % len(names)]
         q = quantile.get(spec.dose)
         note = sample_note(spec.mode, q and q.q25, q and q.q75)
-        flat = meats[(key,)]
-        blocks = flat[:3 * size * size].reshape(3, size, size)
-        meat = np.block([[blocks[0], blocks[1]], [blocks[1].T, blocks[2]]])[np.ix_(s["columns"], s["columns"])]
+        flat = errors[(key,)]
         n, k, g = s["n"], s["k"], s["units"]
-        vcov = s["inverse"] @ meat @ s["inverse"]
+        variance = flat[:-1]
         if g > 1 and n > k:
-            vcov = vcov * (g / (g - 1)) * ((n - 1) / (n - k))
+            variance = variance * (g / (g - 1)) * ((n - 1) / (n - k))
         r2 = float(1.0 - flat[-1] / s["sst"]) if s["sst"] > 0 else None
         for j, t in enumerate(s["event_index"]):
-            b, se, p = _inference(s["beta"][j], vcov[j, j], max(g - 1, 1))
-            out.append((spec.name, name, spec.dose, spec.mode, int(times[t]), b, se, p, b - Z95 * se, b + Z95 * se,
-                        int(n), int(g), r2, int(k), note))
+            b, se, p = _inference(s["beta"][j], variance[j], max(g - 1, 1))
+            found = (b, se, p, b - Z95 * se, b + Z95 * se) if not s["loose"][j] else (None,) * 5
+            out.append((spec.name, name, spec.dose, spec.mode, int(times[t]), *found, int(n), int(g), r2, int(k), note))
     return spark.createDataFrame(out, "spec string, outcome string, exposure_measure string, mode string, "
                                  "event_time int, coefficient double, std_error double, p_value double, ci_low double, "
                                  "ci_high double, nobs long, n_units long, r2_twfe double, k int, sample_note string")
@@ -277,28 +276,35 @@ def _solve(flat: np.ndarray, size: int, times: np.ndarray, base: int) -> dict:
     gram = np.block([[blocks[0], blocks[1]], [blocks[1].T, blocks[2]]])[np.ix_(columns, columns)]
     inverse = np.linalg.pinv(gram, hermitian=True)
     beta = inverse @ np.concatenate([ey, py])[columns]
+    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    level, direction = np.linalg.eigh(gram / np.outer(scale, scale))
+    loose = (direction[:, level < 1e-9 * max(level.max(), 1.0)] ** 2).sum(axis=1) > 1e-9
     gamma, delta = np.zeros(size), np.zeros(size)
     gamma[event_index] = beta[:len(event_index)]
     delta[present[1:]] = beta[len(event_index):]
-    return {"beta": beta, "inverse": inverse, "columns": columns, "event_index": event_index, "gamma": gamma,
-            "delta": delta, "n": n, "units": units, "sst": squares - total * total / n,
+    # rows of the inverse that turn a unit's scores into its pull on each event coefficient
+    to_event = np.zeros((len(event_index), 2 * size))
+    to_event[:, columns] = inverse[:len(event_index)]
+    return {"beta": beta, "event_index": event_index, "gamma": gamma, "delta": delta, "to_event": to_event, "loose": loose,
+            "n": n, "units": units, "sst": squares - total * total / n,
             "k": len(event_index) + (units - 1) + (len(present) - 1) + 1}
 
 
-def _meat_kernel(size: int, specs: int, outcomes: int, paths: dict[int, tuple[np.ndarray, np.ndarray]]):
+def _error_kernel(size: int, specs: int, outcomes: int, paths: dict[int, tuple]):
+    """Sums over units of the squared pull on every event coefficient, and the residual sum of squares."""
     def run(batches):
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for key, d, w, s, q in _samples(batch, specs, outcomes, size):
-                gamma, delta = paths[key]
+                gamma, delta, to_event = paths[key]
                 seen = w > 0
                 cell_mean = np.divide(s, w, out=np.zeros_like(s), where=seen)
                 r = np.where(seen, cell_mean - d[:, None] * gamma - delta, 0.0)
                 r = np.where(seen, r - ((w * r).sum(axis=1) / w.sum(axis=1))[:, None], 0.0)
                 e = w * r
+                pull = d[:, None] * (e @ to_event[:, :size].T) + e @ to_event[:, size:].T
                 spread = (q - np.where(seen, s * cell_mean, 0.0)).sum()  # rows of one cell around their mean
-                blocks = [(e * f[:, None]).T @ e for f in (d * d, d, np.ones_like(d))]
-                flat = np.concatenate([b.ravel() for b in blocks] + [[(w * r * r).sum() + max(spread, 0.0)]])
+                flat = np.append((pull * pull).sum(axis=0), (w * r * r).sum() + max(spread, 0.0))
                 totals[key] = totals.get(key, 0.0) + flat
         yield from _emit(totals)
     return run

@@ -147,7 +147,7 @@ def _time_weights(before: int, size: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         flat = np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
         n_tr, n_co, step_sum, step_sq = flat[:4]
-        if n_tr <= 0 or n_co <= 1:  # a resample without treated or comparison units says nothing
+        if n_tr <= 0 or n_co <= 0:  # a resample without treated or comparison units says nothing
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (
                 ("spec", "int32"), ("rep", "int32"), ("lam", object), ("b", object), ("eta", float),
                 ("treated_mean", object), ("n_treated", float), ("n_control", float))})

@@ -290,7 +290,10 @@ def _treated_sql() -> str:
     blocks = []
     for s in sdid_specs():
         y = "y" if s.outcome == "event_unemployment" else "contratos"
-        blocks.append(f"SELECT '{s.name}' AS spec, period, event_time, round(avg({y}), 6) AS treated_mean FROM ev WHERE unit IN "
+        q75, q25 = (f"(SELECT quantile_cont({s.dose}, {p}) FROM u)" for p in (.75, .25))
+        control = f"{s.dose} = 0" if s.mode == "top_vs_zero" else f"{s.dose} <= {q25}"
+        blocks.append(f"SELECT '{s.name}' AS spec, period, event_time, round(avg({y}), 6) AS treated_mean FROM ev WHERE "
+                      f"EXISTS (SELECT 1 FROM u WHERE {control} AND {s.dose} < {q75} AND unit IN (SELECT unit FROM ok)) AND unit IN "
                       f"(SELECT unit FROM u WHERE {s.dose} >= (SELECT quantile_cont({s.dose}, 0.75) FROM u)) "
                       "AND unit IN (SELECT unit FROM ok) GROUP BY ALL")
     return with_ctes(EVENT) + COMPLETE + " UNION ALL ".join(blocks)

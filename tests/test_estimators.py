@@ -68,6 +68,15 @@ def test_event_study_equals_dense_dummies(spark, holes, repeat):
         assert r.r2_twfe == pytest.approx(r2) and (r.nobs, r.n_units, r.k) == (len(a), 15, x.shape[1])
 
 
+def test_unidentified_coefficients_are_null(spark):
+    rows = panel_rows(np.random.default_rng(3), 10, 8)
+    df = spark.createDataFrame(rows, "u int, t int, e int, d double, y double").where("d > 0")
+    out = regression.event_study(df, "u", "t", "e", {"y": "y"}, [
+        regression.Spec("z", "d", "top_vs_zero"), regression.Spec("c", "d", "continuous")])
+    assert out.where("spec = 'z' AND coefficient IS NULL AND std_error IS NULL").count() == 7
+    assert out.where("spec = 'c' AND coefficient IS NOT NULL").count() == 7
+
+
 def test_treatment_samples_drop_null_scores(spark):
     units = spark.createDataFrame([(i, float(i) if i < 8 else None) for i in range(10)], "u int, d double")
     rows = {r.u: r.treated for r in regression.treatment_sample(units, "d", "top_vs_zero", "u").collect()}
