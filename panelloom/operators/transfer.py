@@ -1,19 +1,25 @@
 """Score transfer by cosine similarity: exact best matches in both directions.
 
 No pair is ever written out.  Both sides are hashed into blocks of bounded size; each task multiplies one block of
-targets by one block of sources and returns one candidate per row, and a map-side-combined ``max_by`` keeps the best.
+targets by one block of sources, a strip at a time, and returns one candidate per row, and a map-side-combined ``max_by``
+keeps the best.  A vector travels once per block of the other side, so the block grid is shaped to move the fewest vectors
+that still fill the cluster and fit a task.
 Copies of one vector are collapsed to their lowest ordinal first, so a vector that fills a third of a side is one row.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .joins import replace_keys
 
-BLOCK_ROWS = 4096
+BLOCK_BYTES = 96 * 2 ** 20   # vectors of one side in one task
+STRIP_BYTES = 64 * 2 ** 20   # similarities held at once
+TASK_PAIRS = 2 ** 22         # below this many products a further task is not worth its overhead
 NEAREST, WEIGHTED = "cosine_nearest", "cosine_weighted"
 
 #: Fixed value: target codes whose automatic match was audited and replaced by a source code.
@@ -48,8 +54,18 @@ def attach_vectors(rows: DataFrame, vectors: DataFrame, text: Column, key: str =
     return out
 
 
+def block_grid(sources: int, targets: int, dimension: int, parallelism: int) -> tuple[int, int]:
+    """Blocks per side.  For a given number of tasks the fewest vectors move when both sides ship the same amount;
+    no block may outgrow a task's memory."""
+    limit = max(1, BLOCK_BYTES // (8 * max(dimension, 1)))
+    tasks = max(1, min(4 * parallelism, sources * targets // TASK_PAIRS))
+    left = max(1, round(math.sqrt(tasks * sources / max(targets, 1))))
+    right = max(1, math.ceil(tasks / left))
+    return max(left, math.ceil(sources / limit), 1), max(right, math.ceil(targets / limit), 1)
+
+
 def best_matches(source: DataFrame, target: DataFrame, ordinal: str, vector: str, fold: str | None = None,
-                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+                 block_rows: int | None = None) -> DataFrame:
     """``side, ordinal, fold, best, similarity``: the most similar row of the other side for every row.
 
     ``side='target'`` rows name their best source, ``side='source'`` rows their best target; ties go to the lowest
@@ -62,9 +78,13 @@ def best_matches(source: DataFrame, target: DataFrame, ordinal: str, vector: str
         rows = df.select(F.col(ordinal).cast("long").alias("ordinal"), fold_column.alias("fold"),
                          F.col(vector).cast("array<double>").alias("v"))
         copies = rows.groupBy("v", "fold").agg(F.min("ordinal").alias("first"))
-        distinct = copies.count()
-        sides[name] = (rows, copies, max(1, -(-distinct // block_rows)), rows.count() > distinct)
-    (_, left, left_blocks, _), (_, right, right_blocks, _) = sides["source"], sides["target"]
+        distinct, dimension = copies.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+        sides[name] = (rows, copies, distinct, rows.count() > distinct, dimension or 1)
+    (_, left, n, _, dimension), (_, right, m, _, _) = sides["source"], sides["target"]
+    if block_rows:
+        left_blocks, right_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_rows))
+    else:
+        left_blocks, right_blocks = block_grid(n, m, dimension, source.sparkSession.sparkContext.defaultParallelism)
     own = lambda n: F.pmod(F.xxhash64("first"), F.lit(n)).cast("int")
     all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     placed = (
@@ -81,7 +101,7 @@ def best_matches(source: DataFrame, target: DataFrame, ordinal: str, vector: str
     ).select("is_source", "first", "fold", "b.*")
 
     out = []
-    for name, (rows, copies, _, repeated) in sides.items():
+    for name, (rows, copies, _, repeated, _) in sides.items():
         is_source = name == "source"
         if repeated:  # copies of one vector share the answer of the lowest ordinal
             members = rows.join(copies, ["v", "fold"]).select("ordinal", "first")
@@ -106,18 +126,26 @@ def _block_kernel(folds: bool):
         order = np.argsort(ids, kind="stable")
         s, t = order[is_source[order]], order[~is_source[order]]
         parts = []
-        if len(s) and len(t):
-            sims = unit[t] @ unit[s].T
-            for f in np.unique(groups[t]) if folds else [None]:
-                rows = np.arange(len(t)) if f is None else np.flatnonzero(groups[t] == f)
-                cols = np.arange(len(s)) if f is None else np.flatnonzero(groups[s] != f)
-                if not len(rows) or not len(cols):
-                    continue
-                block = sims[np.ix_(rows, cols)]
-                near, far = block.argmax(axis=1), block.argmax(axis=0)
-                label = 0 if f is None else int(f)
-                parts.append((False, ids[t[rows]], label, ids[s[cols[near]]], block[np.arange(len(rows)), near]))
-                parts.append((True, ids[s[cols]], label, ids[t[rows[far]]], block[far, np.arange(len(cols))]))
+        for f in (np.unique(groups[t]) if folds else [None]) if len(s) and len(t) else []:
+            rows = t if f is None else t[groups[t] == f]
+            cols = s if f is None else s[groups[s] != f]
+            if not len(rows) or not len(cols):
+                continue
+            near, near_sim = np.empty(len(rows), dtype=int), np.empty(len(rows))
+            far, far_sim = np.zeros(len(cols), dtype=int), np.full(len(cols), -np.inf)
+            right = unit[cols].T
+            strip = max(1, STRIP_BYTES // (8 * len(cols)))
+            for start in range(0, len(rows), strip):
+                sims = unit[rows[start:start + strip]] @ right
+                here = sims.argmax(axis=1)
+                near[start:start + len(sims)], near_sim[start:start + len(sims)] = here, sims[np.arange(len(sims)), here]
+                top = sims.argmax(axis=0)
+                value = sims[top, np.arange(len(cols))]
+                better = value > far_sim  # strict: an earlier strip has the lower ordinals
+                far[better], far_sim[better] = top[better] + start, value[better]
+            label = 0 if f is None else int(f)
+            parts.append((False, ids[rows], label, ids[cols[near]], near_sim))
+            parts.append((True, ids[cols], label, ids[rows[far]], far_sim))
         size = [len(p[1]) for p in parts]
         cat = lambda k, dtype: np.concatenate([p[k] for p in parts]).astype(dtype) if parts else np.empty(0, dtype)
         rep = lambda k, dtype: np.repeat(np.array([p[k] for p in parts], dtype), size) if parts else np.empty(0, dtype)
