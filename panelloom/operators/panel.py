@@ -8,7 +8,7 @@ from ..functions.codes import zero_pad
 from ..functions.numbers import finite_or_null, to_number
 from ..functions.periods import month_start, months_since
 from ..session import cut_lineage
-from .pick import keep_first, require_unique
+from .pick import keep_first
 from .quantiles import exact_quantiles
 
 INTERVENTION = "2022-09"
@@ -78,10 +78,10 @@ def balanced(panel: DataFrame, unit: str, period: str, outcome: str | None = Non
 
 def demean_two_way(panel: DataFrame, unit: str, period: str, columns: list[str]) -> DataFrame:
     """Value - unit mean - period mean + grand mean; only exact, hence only allowed, on a balanced panel."""
-    require_unique(panel, [unit, period])
-    shape = panel.agg(F.count(F.lit(1)), F.count_distinct(unit), F.count_distinct(period)).first()
-    if shape[0] != shape[1] * shape[2]:
-        raise ValueError("two-way demeaning in one step needs a balanced panel")
+    cells = panel.groupBy(unit, period).agg(F.count(F.lit(1)).alias("_rows"))
+    shape = cells.agg(F.count(F.lit(1)), F.count_distinct(unit), F.count_distinct(period), F.max("_rows")).first()
+    if shape[0] != shape[1] * shape[2] or shape[3] != 1:
+        raise ValueError("two-way demeaning in one step needs a balanced panel with one row per unit and period")
     by_unit = panel.groupBy(unit).agg(*[F.avg(c).alias(f"_u_{c}") for c in columns])
     by_period = panel.groupBy(period).agg(*[F.avg(c).alias(f"_p_{c}") for c in columns])
     joined = panel.join(by_unit, unit).join(by_period, period)

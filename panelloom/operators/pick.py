@@ -6,7 +6,9 @@ key and a key that holds a large share of the rows never has to be gathered or s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..session import cut_lineage
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -46,3 +48,16 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 def ordered_head(df: DataFrame, order: list[str], n: int | None) -> DataFrame:
     """The first ``n`` rows in order (top-k per task, then a merge); all rows when ``n`` is empty."""
     return df.orderBy(*order).limit(n) if n else df
+
+
+def with_ordinal(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
+    """Number the rows 0, 1, 2, ... in the order of ``key`` (unique) without bringing them into one task.
+
+    Rows are range-partitioned and written out, then numbered inside each range from the range's offset.
+    """
+    ranges = cut_lineage(df.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = ranges.withColumn("_i", F.row_number().over(W.partitionBy("_range").orderBy(key)) - 1)
+    return numbered.join(sizes.select("_range", offset.alias("_offset")), "_range").select(
+        *df.columns, (F.col("_offset") + F.col("_i")).cast("long").alias(name))
