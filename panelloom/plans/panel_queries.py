@@ -242,7 +242,7 @@ def e7_balanced(spark, d):
 
 E8_WITH = """, u AS (SELECT DISTINCT unit, dose FROM monthly), q AS (SELECT quantile_cont(dose, 0.25) AS q25,
   quantile_cont(dose, 0.75) AS q75 FROM u),
- f AS (SELECT unit, CASE WHEN dose >= q75 THEN 1.0 ELSE 0.0 END AS treated, q25, q75 FROM u CROSS JOIN q
+ f AS (SELECT unit, cast(dose >= q75 AS DOUBLE) AS treated, q25, q75 FROM u CROSS JOIN q
   WHERE dose >= q75 OR dose <= q25),
  r AS (SELECT ev.unit, period, y, treated, CASE WHEN period >= '1999-01' THEN 1 ELSE 0 END AS post, q25, q75
   FROM ev JOIN f ON ev.unit = f.unit), c AS (SELECT unit, count(y) AS n FROM r GROUP BY 1)"""

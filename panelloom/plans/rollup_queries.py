@@ -364,7 +364,7 @@ def j8(spark, d):
                                ["o_orderkey"])
 
 
-@query("j10", with_ctes(MONTHLY) + """SELECT unit, period, parados, CASE WHEN dose >= 0.5 THEN 1.0 ELSE 0.0 END
+@query("j10", with_ctes(MONTHLY) + """SELECT unit, period, parados, cast(dose >= 0.5 AS DOUBLE)
  AS treated FROM monthly WHERE dose >= 0.5 OR dose <= 0.1""")
 def j10(spark, d):
     eligible = doses(spark, d).where("dose >= 0.5 OR dose <= 0.1").withColumn(

@@ -387,7 +387,7 @@ def s15(spark, d):
                              "observed_exposure_cnae_cosine_nearest")
 
 
-@query("s16", """SELECT cast(p_partkey AS VARCHAR) AS ocup1, p_name AS occupation_title, NULL AS occupation_title_en,
+@query("s16", """SELECT cast(p_partkey AS VARCHAR) AS ocup1, p_name AS occupation_title, cast(NULL AS VARCHAR) AS occupation_title_en,
  CASE WHEN p_size > 25 THEN p_retailprice END AS observed_exposure_rf,
  CASE WHEN p_size <= 25 THEN p_retailprice END AS observed_exposure_cosine_nearest FROM part""")
 def s16(spark, d):
