@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql.types import StructType
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -29,3 +30,11 @@ def fresh_name(columns: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def widened(schema: StructType, **columns: str) -> StructType:
+    """A copy of the schema with more columns (name=type) at the end."""
+    made = StructType(list(schema.fields))
+    for name, kind in columns.items():
+        made = made.add(name, kind)
+    return made

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .batches import fresh_name, slices
+from .batches import fresh_name, slices, widened
 
 PIECES, STATES, PIECE_CHARS = 250_000, 250_000, 64  # entries of a memo before it ages; longest piece that is remembered
 FEW = 24  # a node with so many tokens below it, or fewer, is checked for a possible successor
@@ -265,8 +265,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             made = [pa.array(packed, pa.binary())] + ([pa.array(map(own.decode, packed), pa.string())] if decoded else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, *new])
 
-    schema = docs.schema.add(new[0], "binary")
-    return docs.mapInArrow(run, schema.add(new[1], "string") if decoded else schema)
+    return docs.mapInArrow(run, widened(docs.schema, **dict(zip(new, ("binary", "string")))))
 
 
 def digests(encoded: DataFrame, keep: list[str], ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe
+from . import bpe, decontaminate
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows of 13 words in every document, by suffix arrays."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    marked = decontaminate.annotate(docs, table(spark, folder, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encode every document by the rank file, decode the ids, and return the digests of both."""
