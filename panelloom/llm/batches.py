@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -33,8 +33,8 @@ def fresh_name(columns: list[str], wanted: str) -> str:
 
 
 def widened(schema: StructType, **columns: str) -> StructType:
-    """A copy of the schema with more columns (name=type) at the end."""
+    """A copy of the schema with more columns (name=type in DDL) at the end."""
     made = StructType(list(schema.fields))
     for name, kind in columns.items():
-        made = made.add(name, kind)
+        made = made.add(name, DataType.fromDDL(kind))
     return made

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, html, langid, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,37 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN), ["doc_id"])
+
+
+@query
+def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 largest inner products of every 50th vector with all others."""
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op6_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; learned from two thirds of the ids."""
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = langid.fit(docs.where(~held_out), F.col("doc_id"))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document from labelled examples of four fifths of the ids (at most 12,000, by the hash of the id)."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    chosen = table(spark, folder, "labels").where(~held_out & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct() \
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(12_000)
+    examples = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("name"), "text", F.col("toxic").alias("label")) \
+        .groupBy("name", "label").agg(F.min("text").alias("text"))
+    model = toxicity.fit(examples, bound=12_000)
+    return toxicity.score(docs.withColumn("held_out", held_out), model, evidence=False).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op3_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
