@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, langid, topk, toxicity
+from . import bpe, decontaminate, html, langid, neardup, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,9 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op3_html(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents: 3-word shingles, Jaccard of 85 in a hundred."""
+    return neardup.near_duplicates(table(spark, folder, "documents"), neardup.Settings(words=3, percent=85))
