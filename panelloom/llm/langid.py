@@ -84,16 +84,21 @@ def cluster(data: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.
 
 
 def fit(labelled: DataFrame, sample_key: Column, text: str = "text", lang: str = "lang", per_language: int = 800,
-        clusters: int = 4, reject_below: float = 0.5) -> Model | None:
-    """Learn centroids from about ``per_language`` rows of each language, taken by the hash of ``sample_key``.
+        clusters: int = 4, reject_below: float = 0.5, languages: int = 1_000) -> Model | None:
+    """Learn centroids from about ``per_language`` rows of each of the ``languages`` most frequent languages, taken by the hash
+    of ``sample_key``.
 
-    The sample's bound is the parameter; everything else of the operator covers all rows.  None if nothing can be learned.
+    The sample's bounds are these parameters; everything else of the operator covers all rows.  None if nothing can be learned.
     """
+    spark = labelled.sparkSession
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(sample_key), F.lit(1 << 30)).alias("draw")) \
         .where("lang is not null and text is not null")
-    sizes = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    drawn = rows.join(sizes, "lang").where(F.col("draw") * F.col("n") < F.lit(per_language << 30)).select("lang", "text")
-    sample = cut_lineage(drawn.repartition("lang"))
+    sizes = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")) \
+        .orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not sizes:
+        return None
+    rates = spark.createDataFrame([(row.lang, min(1 << 30, (per_language << 30) // row.n)) for row in sizes], "lang string, rate long")
+    sample = cut_lineage(rows.join(F.broadcast(rates), "lang").where("draw < rate").select("lang", "text"))
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = np.zeros(DIMENSIONS), 0

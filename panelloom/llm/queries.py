@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, langid, neardup, topk, toxicity
+from . import bpe, decontaminate, html, langid, lines, neardup, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,46 @@ def op3_html(spark: SparkSession, folder: str) -> DataFrame:
 def op5_neardup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, Jaccard of 85 in a hundred."""
     return neardup.near_duplicates(table(spark, folder, "documents"), neardup.Settings(words=3, percent=85))
+
+
+@query
+def op2_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that three documents or more share, dropped but for the document with the largest id."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kept = lines.drop_repeated_lines(docs, lines.file_batches(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op2_lines"] = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS rows FROM documents),
+line AS (SELECT doc_id, unnest(rows) AS line, unnest(range(len(rows))) AS place FROM split),
+keyed AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM line),
+repeated AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, coalesce(doc_id < last, false) AS dropped FROM keyed k LEFT JOIN repeated USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+ORACLES["op10_topk"] = """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT::DOUBLE FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+ORACLES["op1_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, unnest(range(greatest(1, len(w) - 12))) AS p FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, w[p + 1:p + 13] AS win, least(13, len(w)) AS size FROM starts),
+sizes AS (SELECT DISTINCT size FROM win),
+places AS (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS p FROM d JOIN sizes ON len(w) >= size),
+hits AS (SELECT DISTINCT doc_id, p, size, item_id FROM (SELECT doc_id, p, size, w[p + 1:p + size] AS win FROM places) JOIN win USING (win, size)),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS q FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
