@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, langid, lines, neardup, topk, toxicity
+from . import bpe, chat, decontaminate, html, langid, lines, neardup, tokencount, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,34 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+@query
+def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation from the perspective of each of its speakers."""
+    return chat.rotate(table(spark, folder, "conversations"))
+
+
+ORACLES["op4_chat"] = r"""
+WITH placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
+    FROM conversations WHERE conv_id IS NOT NULL),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE conv_id IS NOT NULL AND role IS NOT NULL AND role <> 'system'),
+said AS (SELECT conv_id, speaker, place // 512 AS part, place, coalesce(role = speaker, false) AS own,
+    CASE WHEN role = speaker THEN '<|im_start|>assistant' WHEN role = 'system' THEN '<|im_start|>system'
+        ELSE '<|im_start|>user name=' || coalesce(role, 'unknown') END || chr(10) AS head, coalesce(text, '') || '<|im_end|>' AS body
+    FROM placed JOIN speakers USING (conv_id)),
+spans AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY place
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begin_at FROM said)
+SELECT conv_id, speaker, part, count(*) AS n_messages, string_agg(head || body || chr(10), '' ORDER BY place) AS rendered,
+    coalesce(string_agg(begin_at::BIGINT || '-' || (begin_at + length(body))::BIGINT, ',' ORDER BY place) FILTER (WHERE own), '') AS mask,
+    coalesce(sum(length(body)) FILTER (WHERE own), 0)::BIGINT AS n_learned
+FROM spans GROUP BY conv_id, speaker, part"""
+
+
+@query
+def op7_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token count of every document, and whether it exceeds 1,024."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
+                        (F.col("n_tokens") > 1024).alias("over_limit"))
