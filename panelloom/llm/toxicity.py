@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index.
 
 Terms are words and their beginnings, so that inflected and compounded words share terms.  Terms whose presence depends on the
-label (chi-square over the examples) are kept.  The index holds postings of the examples in blocks, with each term's largest
+label (chi-square over the examples) are kept if they at least double the odds of a label.  The index holds postings of the examples in blocks, with each term's largest
 weight in each block; a text's neighbours are searched block by block in the order of the blocks' upper bounds, until no block
 can hold a nearer example.  Neighbours vote with their cosine; votes are calibrated on the examples, each voted on by the others.
 """
@@ -90,10 +90,11 @@ class BlockMaxIndex:
                 a, b = self.border[cell], self.border[cell + 1]
                 if b > a:
                     score[self.doc[a:b] - block * BLOCK] += w * self.weight[a:b]
+            score = np.round(score, 12)  # equal cosines are ties, whatever the order of their sums
             use = np.flatnonzero(score > 0)
             if len(best) == k:
                 use = use[score[use] >= -best[-1][0]]
-            best += [(-s, block * BLOCK + i) for s, i in zip(np.round(score[use], 12).tolist(), use.tolist()) if block * BLOCK + i != without]
+            best += [(-s, block * BLOCK + i) for s, i in zip(score[use].tolist(), use.tolist()) if block * BLOCK + i != without]
             best.sort()
             del best[k:]
         return [(-s, i) for s, i in best]
@@ -138,7 +139,9 @@ def _selected(examples: DataFrame, least: float) -> tuple[dict[bytes, int], np.n
     counted = examples.mapInArrow(count, "term binary, zero long, one long").groupBy("term").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
     df, cross = F.col("zero") + F.col("one"), (F.col("one") * n0 - F.col("zero") * n1).cast("double")
     chi2 = n * cross * cross / (F.lit(float(max(1, n0)) * max(1, n1)) * df * F.greatest(F.lit(1), n - df))
-    kept = counted.where(df >= 5).where(chi2 >= least).select("term", df.alias("df")).collect() if n0 and n1 else []
+    odds = (F.col("one") + 0.5) / (F.col("zero") + 0.5) * ((n0 + 0.5) / (n1 + 0.5))
+    telling = (odds >= 2) | (odds <= 0.5)
+    kept = counted.where(df >= 5).where((chi2 >= least) & telling).select("term", df.alias("df")).collect() if n0 and n1 else []
     kept.sort(key=lambda row: bytes(row.term))
     return {bytes(row.term): i for i, row in enumerate(kept)}, np.array([np.log((1 + n) / (1 + row.df)) + 0.1 for row in kept])
 
