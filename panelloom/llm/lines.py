@@ -44,43 +44,38 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = 4, least: int = 3):
         self.spark, self.fanout, self.least = spark, fanout, least
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[str]] = []
+        self.levels: list[list[tuple[str, str]]] = []  # (table, folder) of every run
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        name = f"line_run_{uuid.uuid4().hex}"
-        rows.select("h1", "h2", "n", "last").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2") \
-            .option("path", new_scratch(self.spark, f"lines-{level}")).saveAsTable(name)
+        name, path = f"line_run_{uuid.uuid4().hex}", new_scratch(self.spark, f"lines-{level}")
+        rows.select("h1", "h2", "n", "last").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append((name, path))
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(merged([self.spark.table(t) for t in full]), level + 1)
+            self._write(self._merged(full), level + 1)
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name in level]
+    def _merged(self, runs: list[tuple[str, str]]) -> DataFrame:
+        """One row for each key of several runs, read as one set of files: a union of bucketed tables says that it is dealt by
+        key, but a columnar one (Spark 4.1) is not, and keys would stay apart."""
+        rows = self.spark.read.schema(self.spark.table(runs[0][0]).schema).parquet(*[path for _, path in runs])
+        return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
     def add(self, batch: DataFrame, least_chars: int = 20, doc_id: str = "doc_id", text: str = "text") -> None:
         """Merge-anti-join a batch of documents with the runs and add what is left as a run."""
         keys = F.filter(F.array_distinct(line_keys(F.col(text))), lambda k: F.length(k) >= least_chars)
         rows = batch.select(F.col(doc_id).alias("doc"), F.explode(keys).alias("key")).select("doc", *hashes("key"))
         new = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last"))
-        for run in self.runs():
-            settled = run.where(F.col("n") > max(self.least, OFTEN)).select("h1", "h2", F.col("last").alias("settled"))
+        for name, _ in [run for level in self.levels for run in level]:
+            settled = self.spark.table(name).where(F.col("n") > max(self.least, OFTEN)).select("h1", "h2", F.col("last").alias("settled"))
             new = new.join(settled, (new["h1"] == settled["h1"]) & (new["h2"] == settled["h2"])
                            & (new["last"].isNull() | (new["last"] <= settled["settled"])), "left_anti")
         self._write(new, 0)
 
     def repeated(self) -> DataFrame:
         """(h1, h2, n, last) of the keys found in enough documents; ``n`` may miss documents of settled keys."""
-        return merged(self.runs()).where(F.col("n") >= self.least)
-
-
-def merged(runs: list[DataFrame]) -> DataFrame:
-    whole = runs[0]
-    for run in runs[1:]:
-        whole = whole.unionByName(run)
-    return whole if len(runs) == 1 else whole.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        return self._merged([run for level in self.levels for run in level]).where(F.col("n") >= self.least)
 
 
 def drop_repeated_lines(docs: DataFrame, batches: Iterable[DataFrame], least_docs: int = 3, least_chars: int = 20, fanout: int = 4,
