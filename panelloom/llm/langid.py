@@ -2,9 +2,9 @@
 
 A text is the TF-IDF vector of its byte trigrams (ASCII letters in lower case, other ASCII bytes as spaces), hashed into a fixed
 number of dimensions and normalised.  Each language's training vectors are clustered on the sphere; a text takes the language
-of the centroid with the largest cosine.  It is rejected if that cosine lies below the language's limit, a share of the lowest
-cosine any of its training texts has.  A sample of n trigrams comes only about sqrt(n) as near to its centroid as a long text,
-so the limit of texts of fewer than ``FULL`` trigrams falls with sqrt(n).
+of the centroid with the largest cosine.  It is rejected if that cosine lies below the language's limit, a share of the cosine
+that all but one in a hundred of its training texts reach.  A text of few trigrams comes only about sqrt(n) as near to its
+centroid as a long one, so cosines of texts of n < ``FULL`` trigrams are measured against sqrt(n / FULL).
 """
 
 from __future__ import annotations
@@ -65,10 +65,14 @@ class Model:
         cosine = made @ self.centroids.T
         best = cosine.argmax(1)
         top = np.clip(cosine[np.arange(len(texts)), best].astype(float), 0, 1)
-        return [self.languages[i] for i in best], top, top < self.limits[best] * np.sqrt(np.minimum(1, size / FULL))
+        return [self.languages[i] for i in best], top, top < self.limits[best] * reach(size)
 
 
-def cluster(data: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def reach(size: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.clip(size / FULL, 1 / FULL, 1))
+
+
+def cluster(data: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means from spread-out first centres; empty clusters go."""
     centres = data[:1]
     while len(centres) < min(k, len(data)):
@@ -77,10 +81,7 @@ def cluster(data: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.
         own = (data @ centres.T).argmax(1)
         sums = np.stack([data[own == i].sum(0) for i in range(len(centres)) if (own == i).any()])
         centres = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-12)
-    cosine = data @ centres.T
-    own = cosine.argmax(1)
-    lowest = np.array([cosine[own == i, i].min() if (own == i).any() else 0.0 for i in range(len(centres))])
-    return centres, lowest
+    return centres
 
 
 def fit(labelled: DataFrame, sample_key: Column, text: str = "text", lang: str = "lang", per_language: int = 800,
@@ -98,7 +99,7 @@ def fit(labelled: DataFrame, sample_key: Column, text: str = "text", lang: str =
     if not sizes:
         return None
     rates = spark.createDataFrame([(row.lang, min(1 << 30, (per_language << 30) // row.n)) for row in sizes], "lang string, rate long")
-    sample = cut_lineage(rows.join(F.broadcast(rates), "lang").where("draw < rate").select("lang", "text"))
+    sample = cut_lineage(rows.join(F.broadcast(rates), "lang").where("draw < rate").select("lang", "text").repartition(16))
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = np.zeros(DIMENSIONS), 0
@@ -115,18 +116,20 @@ def fit(labelled: DataFrame, sample_key: Column, text: str = "text", lang: str =
 
     def centres(group: pa.Table) -> pa.Table:
         texts = [t for t in group.column("text").to_pylist() if has_letter(t)]
-        made, lowest = cluster(vectors(texts, idf)[0], clusters) if texts else (np.zeros((0, DIMENSIONS), np.float32), [])
+        made, usual = np.zeros((0, DIMENSIONS), np.float32), 0.0
+        if texts:
+            data, size = vectors(texts, idf)
+            made = cluster(data, clusters)
+            usual = float(np.quantile((data @ made.T).max(1) / reach(size), 0.01))
         return pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * len(made), pa.string()),
-                         "centre": pa.array([c.astype(np.float32).tobytes() for c in made], pa.binary()),
-                         "lowest": pa.array([float(x) for x in lowest], pa.float64())})
+                         "centre": pa.array([c.astype(np.float32).tobytes() for c in made], pa.binary()), "usual": pa.array([usual] * len(made), pa.float64())})
 
-    found = sample.groupBy("lang").applyInArrow(centres, "lang string, centre binary, lowest double").collect()
+    found = sample.groupBy("lang").applyInArrow(centres, "lang string, centre binary, usual double").collect()
     found.sort(key=lambda row: (row.lang, row.centre))
     if not found:
         return None
-    lowest = {lang: min(row.lowest for row in found if row.lang == lang) for lang in {row.lang for row in found}}
     return Model([row.lang for row in found], np.stack([np.frombuffer(row.centre, np.float32) for row in found]),
-                 reject_below * np.array([lowest[row.lang] for row in found]), idf)
+                 reject_below * np.array([row.usual for row in found]), idf)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", slice_rows: int = 256) -> DataFrame:
