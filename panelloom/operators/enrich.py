@@ -56,7 +56,8 @@ def embed(texts: DataFrame, text: str, provider: Callable[[list[str]], list], ca
                     "dimension": [len(v) for v in vectors], "vector": vectors})
 
     missing.mapInPandas(ask, EMBEDDING_CACHE).write.mode("append").parquet(cache)
-    stored = spark.read.schema(EMBEDDING_CACHE).parquet(cache).select("cache_key", F.col("vector").alias("embedding"))
+    # a key that two runs stored at once counts once
+    stored = spark.read.schema(EMBEDDING_CACHE).parquet(cache).groupBy("cache_key").agg(F.min("vector").alias("embedding"))
     return wanted.join(stored, "cache_key").select("text", "embedding")
 
 

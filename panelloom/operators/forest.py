@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .panel import error_metrics
 
 TREES, MIN_LEAF, SEED = 500, 2, 42
@@ -43,11 +44,14 @@ def holdout(rows: DataFrame, key: str, vector: str, score: str, share: float = 0
 
 
 def cross_validate(rows: DataFrame, vector: str, score: str, fold: str, **settings) -> DataFrame:
-    """Out-of-fold error metrics of the forest."""
+    """Out-of-fold error metrics of the forest; the rows are kept between the fits, one fit per fold."""
+    rows = rows.select(vector, score, fold).persist()
     labels = sorted(r[0] for r in rows.select(fold).distinct().collect())
     out = None
     for label in labels:
         model = fit(rows.where(F.col(fold) != label), vector, score, **settings)
         part = predict(model, rows.where(F.col(fold) == label), vector, "prediction").select(score, "prediction")
         out = part if out is None else out.unionByName(part)
-    return error_metrics(out, score, "prediction").withColumn("method", F.lit("random_forest"))
+    result = cut_lineage(error_metrics(out, score, "prediction").withColumn("method", F.lit("random_forest")))
+    rows.unpersist()
+    return result

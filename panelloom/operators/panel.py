@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.codes import zero_pad
 from ..functions.numbers import finite_or_null, to_number
@@ -44,18 +44,22 @@ def period_index(panel: DataFrame, period: str, intervention: str) -> DataFrame:
 
     Periods are calendar slots, so the distinct list is short whatever the panel's size.
     """
-    periods = calendar(panel, period)
-    if intervention not in periods:
+    slots = panel.select(period).distinct()
+    if slots.where(F.col(period) == intervention).isEmpty():
         raise ValueError(f"{intervention} is not among the periods of the panel")
-    at = periods.index(intervention)
-    return panel.sparkSession.createDataFrame(
-        [(p, i + 1, i - at) for i, p in enumerate(periods)], f"{period} string, time_period int, event_time int")
+    ranked = slots.select(period, F.row_number().over(W.orderBy(period)).alias("time_period"))  # one row per slot, never per unit
+    at = ranked.where(F.col(period) == intervention).select("time_period").scalar()
+    return ranked.withColumn("event_time", F.col("time_period") - at)
 
 
-def calendar(panel: DataFrame, period: str, *carry: str, limit: int = 2000) -> list:
+#: Memory for the three period x period matrices that a solver holds at once, on the driver or in one task.
+MATRIX_BYTES = 1 << 30
+
+
+def calendar(panel: DataFrame, period: str, *carry: str, limit: int = int((MATRIX_BYTES / 24) ** 0.5)) -> list:
     """The panel's periods in order (rows when other columns are carried along).
 
-    Period x period matrices are solved on the driver or in one task, so a "calendar" of thousands of slots is refused.
+    Period x period matrices are solved on the driver or in one task; a calendar whose matrices would not fit is refused.
     """
     rows = panel.select(period, *carry).distinct().orderBy(period).limit(limit + 1).collect()
     if len(rows) > limit:
@@ -116,8 +120,8 @@ def unit_rows(panel: DataFrame, unit: str, period: str, periods: list, outcomes:
               doses: list[str]) -> DataFrame:
     """One row per unit: ``obs`` (period slot and outcomes, in order) and each dose as of the unit's first period.
 
-    A unit has at most one entry per calendar slot, so the lists are as long as the calendar.  The table is written out
-    once and everything after it reads that.
+    A unit has at most one entry per calendar slot (two are an error: they would shift its later slots), so the lists are
+    as long as the calendar.  The table is written out once and everything after it reads that.
     """
     slots = F.create_map(*[F.lit(v) for i, p in enumerate(periods) for v in (p, i)])
     rows = panel.select(F.col(unit).alias("unit"), F.element_at(slots, F.col(period)).alias("t"),
@@ -127,7 +131,9 @@ def unit_rows(panel: DataFrame, unit: str, period: str, periods: list, outcomes:
         F.sort_array(F.collect_list(F.struct("t", *[f"y{i}" for i in range(len(outcomes))]))).alias("obs"),
         *[F.min_by(d, "t").alias(d) for d in doses],
         *[(F.max(d) > F.min(d)).alias(f"varies_{d}") for d in doses])
-    return cut_lineage(out)
+    own_slots = F.array_distinct(F.transform("obs", lambda o: o["t"]))
+    twice = F.raise_error(F.concat(F.lit("a period occurs twice for unit "), F.col("unit").cast("string")))
+    return cut_lineage(out.withColumn("obs", F.when(F.size("obs") == F.size(own_slots), F.col("obs")).otherwise(twice)))
 
 
 def observed(obs: str, field: str) -> Column:

@@ -1,9 +1,7 @@
 """Exact quantiles without sorting a group in one task.
 
-Values are first counted (map-side, so a value that fills a third of the rows is one row afterwards).  A fixed-size
-sketch gives splitters that cut the distinct values of a group into even buckets; bucket totals locate the ranks that are
-needed, and only the buckets holding those ranks are ordered.  Groups whose distinct values are counted and few take the
-built-in exact percentile over (value, count) instead.
+Values are first counted (map-side, so a value that fills a third of the rows is one row afterwards) and dealt by range over
+all tasks.  The ranges' totals locate the ranks that are needed, and only the ranges holding those ranks are ordered.
 """
 
 from __future__ import annotations
@@ -12,13 +10,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 
-BUCKETS = 256
-FEW_VALUES = 200_000
-
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list[str] | None = None,
-                    rule: str = "linear", buckets: int = BUCKETS,
-                    few_values: int = FEW_VALUES) -> DataFrame:
+                    rule: str = "linear") -> DataFrame:
     """One row per group with one column per requested quantile, plus ``n``.
 
     ``rule='linear'`` interpolates between order statistics; ``rule='average'`` is the other common definition: with
@@ -27,30 +21,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list
     by = list(by or [])
     keys = by or ["_all"]
     source = df if by else df.withColumn("_all", F.lit(1))
-    counts = cut_lineage(
-        source.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    largest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if rule == "linear" and largest <= few_values:
-        names = list(probs)
-        return counts.groupBy(*keys).agg(
-            F.sum("_c").alias("n"), F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()]), F.col("_c")).alias("_q")
-        ).select(*by, "n", *[F.col("_q")[i].alias(q) for i, q in enumerate(names)])
-    buckets = max(buckets, min(8192, largest // 500_000))  # no bucket is more than a task can sort
-    cuts = [i / buckets for i in range(1, buckets)]
-    splitters = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", cuts, 4 * buckets).alias("_cuts"), F.sum("_c").alias("n")
-    )
-    bucketed = counts.join(splitters, keys).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    )
-    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"), F.first("n").alias("n"))
-    before = F.coalesce(
-        F.sum("_bc").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-    )
-    totals = totals.withColumn("_start", before)
+    counts = source.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    # written out once: a range keeps its number whatever is computed from it
+    bucketed = cut_lineage(counts.repartitionByRange(*keys, "_v").withColumn("_b", F.spark_partition_id()))
+    earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    totals = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc")).withColumns({
+        "_start": F.coalesce(F.sum("_bc").over(earlier), F.lit(0)), "n": F.sum("_bc").over(W.partitionBy(*keys))})
 
     wanted = F.array(*[_ranks(name, p, rule) for name, p in probs.items()])
     needed = (

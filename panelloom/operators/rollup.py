@@ -69,7 +69,7 @@ def equal_mean(df: DataFrame, level: str, leaf: str = "CNO4", top: str = "OCUP1"
     """Unweighted mean of every score per level, with the number of distinct leaves."""
     columns = [c for c in df.columns if c.startswith(SCORE_PREFIX)]
     out = df.groupBy(level).agg(
-        *[F.avg(c).alias(c) for c in columns], F.count_distinct(leaf).alias("cno4_count")
+        *[F.avg(c).cast("double").alias(c) for c in columns], F.count_distinct(leaf).alias("cno4_count")
     )
     if level != top:
         out = out.withColumn(top, top_of if top_of is not None else F.substring(level, 1, 1))
@@ -89,7 +89,7 @@ def hierarchical_mean(df: DataFrame, weights: DataFrame | None, leaf: str = "CNO
     columns = [c for c in df.columns if c.startswith(SCORE_PREFIX)]
     equal = df.groupBy(top).agg(
         F.count_distinct(leaf).alias("_n_leaf"), F.count_distinct(middle).alias("_n_middle"),
-        *[F.avg(c).alias(f"_eq_{c}") for c in columns],
+        *[F.avg(c).cast("double").alias(f"_eq_{c}") for c in columns],
     )
     if weights is None:
         return equal.select(
@@ -126,9 +126,10 @@ def _title(top: str) -> Column:
 
 
 def share_within(df: DataFrame, parent: str, amount: str, share: str = "employment_weight") -> DataFrame:
-    """``amount`` over its parent's total.  Totals are aggregated and joined back: a window would gather the parent."""
-    totals = df.groupBy(parent).agg(F.sum(amount).alias("_total"))
-    return df.join(totals, parent).withColumn(share, F.col(amount) / F.col("_total")).drop("_total")
+    """``amount`` over its parent's total (null for a zero total; null is a parent like any other).  Totals are aggregated and joined back: a window would gather the parent."""
+    totals = df.groupBy(F.col(parent).alias("_parent")).agg(F.sum(amount).alias("_total"))
+    joined = df.join(totals, F.col(parent).eqNullSafe(F.col("_parent")), "left")
+    return joined.withColumn(share, F.try_divide(amount, "_total")).drop("_parent", "_total")
 
 
 def latest_slice(df: DataFrame, period: str, condition: Column | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from .panel import balanced, calendar, dose_quantiles, first_per_unit, observed,
 from .quantiles import exact_quantiles
 from .regression import _flag
 from .resampling import unit_counts
-from .vectorsum import vector_sums
+from .vectorsum import summed_blocks, vector_sums, whole_vector
 
 REPLICATES = 100
 CONTROL_RULES = {"top_vs_zero": "zero exposure", "top_vs_bottom": "bottom quartile"}
@@ -56,8 +56,9 @@ def sdid_paths(panel: DataFrame, unit: str, period: str, specs: list[SdidSpec],
                replicates: int = REPLICATES, tolerance: float = 1e-9, max_steps: int = 200) -> DataFrame:
     """Paths per specification, replicate (0 = the data) and period.
 
-    Columns: ``spec, rep, event_time, period, post, treated_mean, synthetic_mean, effect, n_treated, n_control``.
-    ``effect`` is the treated-synthetic gap minus its pre-period average under the time weights.
+    Columns: ``spec, rep, event_time, period, post, treated_mean, synthetic_mean, effect, n_treated, n_control,
+    q25, q75, converged, reason``.  ``effect`` is the treated-synthetic gap minus its pre-period average under the time
+    weights.  A specification that cannot be estimated has one row without a period that tells the reason.
     """
     spark = panel.sparkSession
     periods = calendar(panel, period)
@@ -79,11 +80,11 @@ def sdid_paths(panel: DataFrame, unit: str, period: str, specs: list[SdidSpec],
 
     reps = np.arange(replicates + 1)
     sums = units.mapInArrow(_statistics_kernel(before, reps), "spec int, rep int, v array<double>")
-    starts = sums.groupBy("spec", "rep").applyInPandas(
+    starts = summed_blocks(sums, ["spec", "rep"]).groupBy("spec", "rep").applyInPandas(
         _time_weights(before, len(periods)), "spec int, rep int, lam array<double>, b array<double>, eta double, "
-        "treated_mean array<double>, n_treated double, n_control double")
+        "treated_mean array<double>, n_treated double, n_control double, converged boolean")
     state = {(r.spec, r.rep): r for r in cut_lineage(starts).collect()}
-    point, eta = _solve_unit_weights(units, state, before, tolerance, max_steps)
+    point, eta, settled = _solve_unit_weights(units, state, before, tolerance, max_steps)
 
     paths = units.mapInArrow(_synthetic_kernel(before, point, eta), "spec int, rep int, v array<double>")
     synthetic = vector_sums(paths, ["spec", "rep"])
@@ -92,18 +93,23 @@ def sdid_paths(panel: DataFrame, unit: str, period: str, specs: list[SdidSpec],
     for key, r in state.items():
         if key not in synthetic:
             continue
-        treated = np.array(r.treated_mean)
+        spec, treated = specs[key[0]], np.array(r.treated_mean)
         gap = treated - synthetic[key]
         effect = gap - float(np.array(r.lam) @ gap[:before])
         for t, p in enumerate(periods):
-            out.append((specs[key[0]].name, int(key[1]), t - origin, p, int(t >= before), float(treated[t]),
-                        float(synthetic[key][t]), float(effect[t]), float(r.n_treated), float(r.n_control)))
-    return spark.createDataFrame(
-        pd.DataFrame(out, columns=_PATH.replace(",", "").split()[::2]), _PATH)
+            out.append((spec.name, int(key[1]), t - origin, p, int(t >= before), float(treated[t]),
+                        float(synthetic[key][t]), float(effect[t]), float(r.n_treated), float(r.n_control),
+                        cuts[spec.dose].q25, cuts[spec.dose].q75, bool(r.converged) and key in settled, None))
+    for i, spec in enumerate(specs):
+        if (i, 0) not in synthetic:
+            known = cuts.get(spec.dose)
+            out.append((spec.name, 0, *[None] * 8, known and known.q25, known and known.q75, None,
+                        "no dose" if known is None else "no treated or no comparison unit is observed in every period"))
+    return spark.createDataFrame(out, _PATH)
 
 
 _PATH = ("spec string, rep int, event_time int, period string, post int, treated_mean double, synthetic_mean double, "
-         "effect double, n_treated double, n_control double")
+         "effect double, n_treated double, n_control double, q25 double, q75 double, converged boolean, reason string")
 
 
 def _arrays(batch: pa.RecordBatch):
@@ -145,31 +151,32 @@ def _statistics_kernel(before: int, reps: np.ndarray):
 def _time_weights(before: int, size: int):
     """Grouped solve: adds up the task sums of one (spec, rep) and finds its time weights and ridge strength."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        flat = np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
+        flat = whole_vector(pdf)
         n_tr, n_co, step_sum, step_sq = flat[:4]
         if n_tr <= 0 or n_co <= 0:  # a resample without treated or comparison units says nothing
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (
                 ("spec", "int32"), ("rep", "int32"), ("lam", object), ("b", object), ("eta", float),
-                ("treated_mean", object), ("n_treated", float), ("n_control", float))})
+                ("treated_mean", object), ("n_treated", float), ("n_control", float), ("converged", bool))})
         mean = flat[4:4 + size] / n_tr
         gram = flat[4 + size:].reshape(before + 2, before + 2)
         count = n_co * (before - 1)
         noise = np.sqrt(max(step_sq - step_sum ** 2 / count, 0.0) / max(count - 1, 1))
         centred = gram[:-1, :-1] - np.outer(gram[-1, :-1], gram[-1, :-1]) / n_co
         ridge = max((1e-6 * noise) ** 2 * n_co, 1e-12 * np.trace(centred))
-        lam = simplex_least_squares(centred[:before, :before] + ridge * np.eye(before), centred[:before, before])
+        lam, done = simplex_least_squares(centred[:before, :before] + ridge * np.eye(before), centred[:before, before])
         zeta2 = np.sqrt(n_tr * (size - before)) * noise ** 2
         b = mean[:before] - mean[:before].mean()
         eta = max(zeta2 * before, 1e-10 * (1.0 + float(b @ b)))
         return pd.DataFrame({
             "spec": [int(pdf["spec"].iloc[0])], "rep": [int(pdf["rep"].iloc[0])], "lam": [lam], "b": [b], "eta": [eta],
-            "treated_mean": [mean], "n_treated": [n_tr], "n_control": [n_co]})
+            "treated_mean": [mean], "n_treated": [n_tr], "n_control": [n_co], "converged": [done]})
     return run
 
 
-def simplex_least_squares(gram: np.ndarray, target: np.ndarray, max_steps: int = 10000) -> np.ndarray:
-    """min x'Gx/2 - c'x over the simplex by an active set: exact for the (small) positive definite G it is given."""
-    size = len(target)
+def simplex_least_squares(gram: np.ndarray, target: np.ndarray, max_steps: int = 10000) -> tuple[np.ndarray, bool]:
+    """min x'Gx/2 - c'x over the simplex by an active set, and whether it came to its end: exact for the (small) positive
+    definite G it is given."""
+    size, done = len(target), False
     x = np.zeros(size)
     x[int(np.argmin(np.diag(gram) / 2 - target))] = 1.0
     free = x > 0
@@ -195,9 +202,10 @@ def simplex_least_squares(gram: np.ndarray, target: np.ndarray, max_steps: int =
         outside = np.where(free, np.inf, slope)
         best = int(np.argmin(outside))
         if outside[best] >= level - 1e-9 * (1.0 + abs(level)):
+            done = True
             break
         free[best] = True
-    return x / x.sum()
+    return x / x.sum(), done
 
 
 def _solve_unit_weights(units: DataFrame, state: dict, before: int, tolerance: float, max_steps: int):
@@ -210,13 +218,13 @@ def _solve_unit_weights(units: DataFrame, state: dict, before: int, tolerance: f
     b = {k: np.array(r.b) for k, r in state.items()}
     point = {k: np.append(np.zeros(before), eta[k] / r.n_control) for k, r in state.items()}
     best: dict = {}     # accepted point, objective, direction, slope, step
-    open_keys = set(state)
+    open_keys, settled = set(state), set()
     for _ in range(max_steps):
         if not open_keys:
             break
         active = {k: point[k] for k in open_keys}
         sums = units.mapInArrow(_dual_kernel(before, active), "spec int, rep int, v array<double>")
-        moves = sums.groupBy("spec", "rep").applyInPandas(
+        moves = summed_blocks(sums, ["spec", "rep"]).groupBy("spec", "rep").applyInPandas(
             _newton_step(before, active, eta, b), "spec int, rep int, f double, g double, slope double, p array<double>")
         for r in moves.collect():
             key = (r.spec, r.rep)
@@ -230,10 +238,11 @@ def _solve_unit_weights(units: DataFrame, state: dict, before: int, tolerance: f
                 continue
             if r.g <= tolerance:
                 open_keys.discard(key)
+                settled.add(key)
                 continue
             best[key] = {"x": trial, "f": r.f, "p": np.array(r.p), "slope": r.slope, "step": 1.0}
             point[key] = trial + best[key]["p"]
-    return point, eta
+    return point, eta, settled  # keys that are not settled ran out of steps, or of step length
 
 
 def _control_groups(batches, before: int, keys):
@@ -274,7 +283,7 @@ def _dual_kernel(before: int, point: dict):
 def _newton_step(before: int, point: dict, eta: dict, b: dict):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         key = (int(pdf["spec"].iloc[0]), int(pdf["rep"].iloc[0]))
-        flat = np.sum(np.stack(pdf["v"].to_numpy()), axis=0)
+        flat = whole_vector(pdf)
         x, e, c = point[key], eta[key], np.append(b[key], 1.0)
         ridge = np.append(x[:before], 0.0)
         objective = 0.5 * ridge @ ridge - c @ x + flat[0] / (2 * e)
@@ -303,45 +312,57 @@ def _synthetic_kernel(before: int, point: dict, eta: dict):
     return run
 
 
-def sdid_estimates(paths: DataFrame) -> DataFrame:
-    """ATT per specification with bootstrap error, normal p-value and bounds."""
+def sdid_estimates(paths: DataFrame, specs: list[SdidSpec] | None = None) -> DataFrame:
+    """ATT per specification with bootstrap error, normal p-value and bounds; with ``specs`` also what each one is.
+
+    Replicates whose weights did not settle are counted in ``reps_completed`` but not in ``reps_converged``.
+    """
     att = paths.where("post = 1").groupBy("spec", "rep").agg(
         F.avg("effect").alias("att"), F.first("n_treated").alias("n_treated"), F.first("n_control").alias("n_control"))
     shape = paths.where("rep = 0").groupBy("spec").agg(
-        F.count(F.lit(1)).alias("n_periods"), F.sum("post").alias("n_post_periods"))
+        F.count("period").alias("n_periods"), F.sum("post").alias("n_post_periods"), F.max("q25").alias("q25"), F.max("q75").alias("q75"),
+        F.bool_and("converged").alias("converged"), F.max("reason").alias("reason"))
+    settled = paths.where("rep > 0").groupBy("spec").agg(F.count_distinct(F.when(F.col("converged"), F.col("rep"))).alias("reps_converged"))
     out = att.groupBy("spec").agg(
         F.max(F.when(F.col("rep") == 0, F.col("att"))).alias("att"),
         F.stddev_samp(F.when(F.col("rep") > 0, F.col("att"))).alias("std_error"),
         F.max(F.when(F.col("rep") == 0, F.col("n_treated"))).cast("long").alias("n_treated"),
         F.max(F.when(F.col("rep") == 0, F.col("n_control"))).cast("long").alias("n_control"),
-        F.count(F.when(F.col("rep") > 0, 1)).alias("reps_completed")).join(shape, "spec")
-    z = F.abs(F.col("att") / F.col("std_error"))
+        F.count(F.when(F.col("rep") > 0, 1)).alias("reps_completed"))
+    out = shape.join(out, "spec", "left").join(settled, "spec", "left")
+    z = F.abs(F.try_divide("att", "std_error"))
     rows = out.withColumns({
         "ci_low": F.col("att") - Z95 * F.col("std_error"), "ci_high": F.col("att") + Z95 * F.col("std_error"),
         "n_pre_periods": F.col("n_periods") - F.col("n_post_periods")})
     values = [(r.spec, normal_two_sided(r.z)) for r in out.select("spec", z.alias("z")).collect() if r.z is not None]
     p = paths.sparkSession.createDataFrame(values, "spec string, p_value double")
-    return rows.join(p, "spec", "left")
+    rows = rows.join(p, "spec", "left")
+    if specs is None:
+        return rows
+    said = [(s.name, s.outcome, s.dose, s.mode, CONTROL_RULES[s.mode]) for s in specs]
+    return paths.sparkSession.createDataFrame(said, "spec string, outcome string, exposure string, mode string, control_rule string").join(
+        rows, "spec", "left")
 
 
 def sdid_levels(paths: DataFrame) -> DataFrame:
     """Treated and synthetic means by period."""
-    return paths.where("rep = 0").select("spec", "period", "event_time", "treated_mean", "synthetic_mean")
+    return paths.where("rep = 0 AND period IS NOT NULL").select("spec", "period", "event_time", "treated_mean", "synthetic_mean")
 
 
-def sdid_event_path(paths: DataFrame, max_effects: int = 60) -> DataFrame:
-    """Effects and placebos by event time with bootstrap errors and the reference row at -1."""
-    stats = paths.where(F.col("event_time") != -1).where(F.col("event_time") < max_effects).groupBy(
-        "spec", "event_time").agg(
+def sdid_event_path(paths: DataFrame, max_effects: int | None = None) -> DataFrame:
+    """Effects and placebos by event time with bootstrap errors and the reference row at -1; all effects unless a number is given."""
+    rows = paths.where(F.col("event_time") != -1)
+    stats = (rows if max_effects is None else rows.where(F.col("event_time") < max_effects)).groupBy("spec", "event_time").agg(
         F.max(F.when(F.col("rep") == 0, F.col("effect"))).alias("estimate"),
         F.stddev_samp(F.when(F.col("rep") > 0, F.col("effect"))).alias("std_error"),
-        F.max(F.when(F.col("rep") == 0, F.col("n_treated"))).cast("long").alias("switchers"))
+        F.max(F.when(F.col("rep") == 0, F.col("n_treated"))).cast("long").alias("switchers"),
+        F.count(F.when(F.col("rep") > 0, 1)).alias("reps_completed"))
     at = F.col("event_time")
     term = F.when(at >= 0, F.concat(F.lit("Effect_"), (at + 1).cast("string"))).otherwise(
         F.concat(F.lit("Placebo_"), (-at - 1).cast("string")))
     named = stats.select("spec", term.alias("term"), "event_time", "estimate", "std_error",
                          (F.col("estimate") - Z95 * F.col("std_error")).alias("ci_low"),
-                         (F.col("estimate") + Z95 * F.col("std_error")).alias("ci_high"), "switchers")
+                         (F.col("estimate") + Z95 * F.col("std_error")).alias("ci_high"), "switchers", "reps_completed")
     reference = paths.select("spec").distinct().withColumns(
         {"term": F.lit("Reference"), "event_time": F.lit(-1), "estimate": F.lit(0.0)})
     return named.unionByName(reference, allowMissingColumns=True)

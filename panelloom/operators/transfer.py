@@ -261,8 +261,8 @@ def cross_validate(rows: DataFrame, ordinal: str, vector: str, score: str, fold:
     cosines = weighted_scores(matches, rows, ordinal, score).drop("fold")
     total = rows.agg(F.sum(score).alias("_s"), F.count(score).alias("_n"))
     sums = rows.groupBy(fold).agg(F.sum(score).alias("_fs"), F.count(score).alias("_fn"))
-    means = sums.select(fold, ((total.select("_s").scalar() - F.col("_fs")) /
-                               (total.select("_n").scalar() - F.col("_fn"))).alias("global_mean"))
+    means = sums.select(fold, F.try_divide(total.select("_s").scalar() - F.col("_fs"),
+                                           total.select("_n").scalar() - F.col("_fn")).alias("global_mean"))
     joined = rows.select(F.col(ordinal).alias("ordinal"), fold, score).join(means, fold).join(cosines, "ordinal")
     long = joined.select(score, F.explode(F.array(*[
         F.struct(F.lit(m).alias("method"), F.col(m).alias("prediction")) for m in ("global_mean", WEIGHTED, NEAREST)

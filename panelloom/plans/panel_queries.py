@@ -273,7 +273,7 @@ def sdid_specs():
 @query("e9")
 def e9(spark, d):
     paths = sdid.sdid_paths(grid_panel(spark, d), "unit", "period", sdid_specs(), INTERVENTION)
-    return sdid.sdid_estimates(paths)
+    return sdid.sdid_estimates(paths, sdid_specs())
 
 
 @query("e10")
@@ -307,7 +307,7 @@ def e10_treated(spark, d):
 
 @query("e11")
 def e11(spark, d):
-    paths = sdid.sdid_paths(grid_panel(spark, d), "unit", "period", sdid_specs()[4:5], INTERVENTION)
+    paths = sdid.sdid_paths(grid_panel(spark, d), "unit", "period", sdid_specs(), INTERVENTION)
     return sdid.sdid_event_path(paths)
 
 

@@ -193,16 +193,17 @@ def a10(spark, d):
 
 
 @query("a11", """WITH r AS (SELECT strftime(l_shipdate, '%Y-%m') AS period, l_returnflag AS category,
-  sum(l_quantity) AS value FROM lineitem WHERE l_returnflag <> 'R' OR month(l_shipdate) > 6 GROUP BY 1, 2),
- p AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS period FROM orders)
+  sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
+ p AS (SELECT DISTINCT strftime(o_orderdate + INTERVAL 60 MONTH, '%Y-%m') AS period FROM orders)
  SELECT period, category, value FROM r UNION ALL
  SELECT p.period, 'Total', coalesce(t.value, 0) FROM p LEFT JOIN
  (SELECT period, sum(value) AS value FROM r GROUP BY 1) t ON p.period = t.period""")
 def a11(spark, d):
-    rows = table(spark, d, "lineitem").where((F.col("l_returnflag") != "R") | (F.month("l_shipdate") > 6)).groupBy(
+    rows = table(spark, d, "lineitem").groupBy(
         month_of("l_shipdate").alias("period"), F.col("l_returnflag").alias("category")
     ).agg(F.sum("l_quantity").alias("value"))
-    periods = table(spark, d, "orders").select(month_of("o_orderdate").alias("period"))
+    # five years on, so that the last periods have no section
+    periods = table(spark, d, "orders").select(month_of(F.add_months("o_orderdate", 60)).alias("period"))
     return reshape.with_section_totals(rows, ["period"], all_keys=periods)
 
 
@@ -308,12 +309,12 @@ def j2(spark, d):
     return joins.label_keys(facts, labels, allow_code_labels=True)
 
 
-@query("j3", """SELECT c_custkey, c_nationkey, coalesce(n_name, c_mktsegment) AS c_mktsegment FROM customer
- LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 1) ON c_nationkey = n_nationkey""")
+@query("j3", """SELECT c_custkey, c_nationkey, coalesce(CASE WHEN n_regionkey <> 1 THEN n_name END, c_mktsegment) AS c_mktsegment
+ FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def j3(spark, d):
     own = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    lookup = table(spark, d, "nation").where("n_regionkey <> 1").select(
-        F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("c_mktsegment"))
+    label = F.when(F.col("n_regionkey") != 1, F.col("n_name"))  # one region's nations have no label
+    lookup = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), label.alias("c_mktsegment"))
     return joins.override_label(own, lookup, "c_nationkey", "c_mktsegment")
 
 

@@ -145,7 +145,7 @@ def report_pages(spark, d):
     html = F.concat(
         F.lit("<html><body><h1>Informe</h1>\n<h2>CNO-"), code, F.lit(": <b>Unidad</b> "), F.col("unit").cast("string"),
         F.lit(" "), month, F.lit(" "), F.substring("m", 1, 4), F.lit("</h2>\n"),
-        banner("Parados (1) en esta ocupaci&oacute;n"), *digit("q", "-9,83%"), F.lit("</div>\n"),
+        banner("Parados (1) en esta ocupaci&oacute;n"), *digit("q", "+0,4 %"), F.lit("</div>\n"),
         banner("Contratos en esta ocupación"), *digit("n", "contratos"), *digit("k", "personas"), F.lit("</div>\n"),
         F.lit("<table><caption>Parados según  sexo y edad</caption>\n<tr><th></th><th>Total</th></tr>\n"
               "<tr><td>Por sexo</td></tr>\n"), *[x for f in FLAGS for x in row(f, f"q{f}")], *row("Total", "q"),
@@ -270,7 +270,7 @@ def taxonomy_lines(spark, d):
         F.lit("Ejemplos de ocupaciones incluidas en este grupo primario"),
         F.concat(F.lit("- "), "p_type"), F.lit("12 Otro grupo"),
         F.lit("Ocupaciones afines no incluidas en este grupo primario"),
-        F.lit("- Especialistas, 2611"))
+        F.lit("- Peones, 9601"))
     body = table(spark, d, "part").select(F.col("p_brand").alias("doc"), "p_partkey", F.posexplode(lines).alias("i", "text"))
     parts = body.select("doc", (F.col("p_partkey") * 16 + F.col("i") + 1000).alias("line_no"), "text", F.lit(3).alias("page"))
     docs = table(spark, d, "part").groupBy(F.col("p_brand").alias("doc")).agg(F.max("p_partkey").alias("last"))
@@ -286,8 +286,8 @@ def taxonomy_lines(spark, d):
   lpad(cast(p_partkey % 10000 AS VARCHAR), 4, '0') AS code, concat(p_name, ' de ', lower(p_type)) AS title FROM part)
  SELECT p_brand AS doc, code AS "CNO4", title AS occupation_title,
  concat('CNO occupation: ', code, ' ', title, '. Definition: Los ', p_name, ' planifican tareas. Typical tasks: preparar ',
- p_size, ' informes; coordinar equipos. Examples included: ', p_type, ' Related or excluded occupations: Especialistas, ',
- '2611') AS cno_structured_text_es, left(code, 2) AS "CNO2", left(code, 1) AS "OCUP1" FROM r WHERE rn = 1""")
+ p_size, ' informes; coordinar equipos. Examples included: ', p_type, ' Related or excluded occupations: Peones, ',
+ '9601') AS cno_structured_text_es, left(code, 2) AS "CNO2", left(code, 1) AS "OCUP1" FROM r WHERE rn = 1""")
 def s8(spark, d):
     return taxonomy.taxonomy_records(taxonomy_lines(spark, d), page="page").drop("embedding_text")
 
@@ -331,7 +331,7 @@ def s10(spark, d):
     part = table(spark, d, "part")
     marker = F.when(F.col("p_brand") == "Brand#7", "OTHER").otherwise("TOCUP")
     top = part.select("p_brand").distinct().select(F.col("p_brand").alias("sheet"), F.posexplode(F.array(
-        F.array(F.lit("9"), F.lit("before the block")), F.array(marker, F.lit(None), F.lit("OCUP1 (2 veces más)")),
+        F.array(F.lit("9"), F.lit("before the block")), F.array(marker, F.lit(None), F.lit("lista OCUP1")),
         F.array(F.lit("Código"), F.lit("Descripción")))).alias("row_no", "cells"))
     codes = part.select(F.col("p_brand").alias("sheet"), (F.col("p_partkey") + 10).alias("row_no"),
                         F.array(F.col("p_size").cast("string"), F.concat("p_name", F.lit(" (códigos CNO-2011)"))).alias("cells"))

@@ -41,27 +41,27 @@ SCORES = """scores AS (SELECT p_type AS "OCUP1",
 
 
 def leaves(spark: SparkSession, folder: str) -> DataFrame:
-    """Leaf scores: part -> type and brand -> type."""
+    """Leaf scores: part -> type and brand -> type; prices are exact decimals, so that means do not depend on their order."""
     return table(spark, folder, "part").select(
         F.col("p_partkey").cast("string").alias("CNO4"), F.concat_ws("|", "p_type", "p_brand").alias("CNO2"),
-        F.col("p_type").alias("OCUP1"), (F.col("p_retailprice") / 1000).alias("observed_exposure_rf"),
+        F.col("p_type").alias("OCUP1"), (F.col("p_retailprice").cast("decimal(12,2)") * F.lit("0.001").cast("decimal(4,3)")).alias("observed_exposure_rf"),
         F.when(F.col("p_size") > 5, F.col("p_size") / 50).alias("observed_exposure_cosine_nearest"))
 
 
 LEAVES = """leaves AS (SELECT cast(p_partkey AS VARCHAR) AS "CNO4", concat(p_type, '|', p_brand) AS "CNO2",
-  p_type AS "OCUP1", p_retailprice / 1000 AS rf, CASE WHEN p_size > 5 THEN p_size / 50.0 END AS cn FROM part)"""
+  p_type AS "OCUP1", CAST(p_retailprice AS DECIMAL(12,2)) * CAST(0.001 AS DECIMAL(4,3)) AS rf, CASE WHEN p_size > 5 THEN p_size / 50.0 END AS cn FROM part)"""
 
 
 def middle_weights(spark: SparkSession, folder: str) -> DataFrame:
-    """Employment weight per middle level; one top level has no weight at all."""
+    """Employment weight per middle level; the middles of one top level have none."""
     lines = table(spark, folder, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("q"))
-    parts = table(spark, folder, "part").where("p_type <> 'LARGE'")
+    parts = table(spark, folder, "part")
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(
-        F.concat_ws("|", "p_type", "p_brand").alias("CNO2")).agg(F.sum("q").alias("employment_weight"))
+        F.concat_ws("|", "p_type", "p_brand").alias("CNO2")).agg(F.sum(F.when(F.col("p_type") != "LARGE", F.col("q"))).alias("employment_weight"))
 
 
-WEIGHTS = """weights AS (SELECT concat(p_type, '|', p_brand) AS "CNO2", sum(l_quantity) AS employment_weight
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type <> 'LARGE' GROUP BY 1)"""
+WEIGHTS = """weights AS (SELECT concat(p_type, '|', p_brand) AS "CNO2", sum(CASE WHEN p_type <> 'LARGE' THEN l_quantity END) AS employment_weight
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"""
 
 
 def monthly(spark: SparkSession, folder: str) -> DataFrame:

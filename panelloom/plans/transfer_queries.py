@@ -109,19 +109,16 @@ def m5_pairs(spark, d):
     return rounded(transfer.override_pairs(pairs, source, target, OVERRIDES, "vec_id", "embedding", "CNO4", "code"))
 
 
-TREES = 40  # the library default is 500 trees; forests are compared by error, not by value
-
-
 @query("m6")
 def m6(spark, d):
     source, target = vectors(spark, d)
-    model = forest.fit(source, "embedding", "score", trees=TREES)
+    model = forest.fit(source, "embedding", "score")
     return forest.predict(model, target, "embedding").select("vec_id", "rf")
 
 
 @query("m7")
 def m7(spark, d):
-    return forest.holdout(vectors(spark, d)[0], "vec_id", "embedding", "score", trees=TREES)
+    return forest.holdout(vectors(spark, d)[0], "vec_id", "embedding", "score")
 
 
 @query("m8", """WITH vecs AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS v, label / 9.0 AS score,
@@ -147,7 +144,7 @@ def m8(spark, d):
 @query("m8_forest")
 def m8_forest(spark, d):
     rows = transfer.hash_folds(vectors(spark, d)[0], "vec_id")
-    return forest.cross_validate(rows, "embedding", "score", "fold", trees=TREES, max_depth=12)
+    return forest.cross_validate(rows, "embedding", "score", "fold")
 
 
 @query("m9", """SELECT text, cast(26 AS INTEGER) AS dimension, cast(length(regexp_replace(lower(text), '[^a-z]', '',
@@ -180,7 +177,7 @@ def m11(spark, d):
     """All three methods side by side; the forest is checked for presence only."""
     source, target, matches = _matches(spark, d)
     cosines = transfer.weighted_scores(matches, source, "vec_id", "score").drop("fold")
-    rf = forest.predict(forest.fit(source, "embedding", "score", trees=TREES), target, "embedding").select(
+    rf = forest.predict(forest.fit(source, "embedding", "score"), target, "embedding").select(
         F.col("vec_id").alias("ordinal"), "rf")
     out = transfer.assemble(target.select(F.col("vec_id").alias("ordinal")), "ordinal", cosines, rf)
     return rounded(out.select("ordinal", "cosine_nearest", "cosine_weighted",

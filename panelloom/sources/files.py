@@ -22,9 +22,10 @@ def require_columns(df: DataFrame, needed: list[str], what: str) -> DataFrame:
     return df
 
 
-def read_text_csv(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
-    """All-string read with a header; quotes may span lines."""
-    return spark.read.csv(path, sep=sep, header=True, inferSchema=False, escape='"', encoding="UTF-8")
+def read_text_csv(spark: SparkSession, path: str | list[str], sep: str = ",", lines: bool = False) -> DataFrame:
+    """All-string read with a header.  Quotes may span lines; such files are read by one task each.  With ``lines`` a row is a
+    line, and large files are split."""
+    return spark.read.csv(path, sep=sep, header=True, inferSchema=False, escape='"', encoding="UTF-8", multiLine=not lines)
 
 
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
@@ -55,22 +56,26 @@ def read_microdata(spark: SparkSession, manifest: DataFrame, location: str = "mi
                    required: tuple[str, ...] = ("OCUP1", "ACT1"), weights: list[str] = WEIGHT_COLUMNS) -> DataFrame:
     """Every listed period's records, stamped with the period.
 
-    The manifest is one row per period; only each file's header line visits the driver.  Files of one layout (delimiter
-    and header) are read together, and each row takes its period from a join on the file it came from.
+    The manifest is one row per period; only each file's header line visits the driver, all in one job.  Files of one layout
+    (delimiter and header) are read together, and each row takes its period from a join on the file it came from.  A record
+    is a line: quoted line breaks are not supported in microdata.
     """
     layouts: dict[tuple[str, str], list[tuple[str, str]]] = {}
-    for row in manifest.select("quarter", location).collect():
-        text = spark.read.text(row[1])
-        head = text.first()
-        if head is None:
-            raise ValueError(f"{row[1]} is empty")
-        header = head[0].lstrip("﻿")
+    listed = [(uri, row[0]) for row in manifest.select("quarter", location).collect() for uri in spark.read.text(row[1]).inputFiles()]
+    first = spark.read.text([uri for uri, _ in listed]).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("i")).where("block = 0") if listed else None
+    heads = {} if first is None else {_plain(r.file): r.head for r in first.groupBy("file").agg(F.min_by("value", "i").alias("head")).collect()}
+    for uri, quarter in listed:
+        if _plain(uri) not in heads:
+            raise ValueError(f"{uri} is empty")
+        header = heads[_plain(uri)].lstrip("\ufeff")
         sep = max(DELIMITERS, key=header.count)
-        layouts.setdefault((sep, header), []).extend((_plain(uri), row[0]) for uri in text.inputFiles())
+        layouts.setdefault((sep, header), []).append((_plain(uri), quarter))
 
     frames = []
     for (sep, _), files in layouts.items():
-        raw = read_text_csv(spark, [uri for uri, _ in files], sep)
+        raw = read_text_csv(spark, [uri for uri, _ in files], sep, lines=True)
         names = [c.strip().lstrip("﻿").upper() for c in raw.columns]
         upper = raw.toDF(*names)
         require_columns(upper, list(required), f"microdata {files[0][0]}")
@@ -112,9 +117,9 @@ def country_usage(usage: DataFrame, date_start: str | None = None) -> DataFrame:
     keep = ((F.col("geo_level") == "country") & F.col("geo_id").isin("ESP", "USA")
             & (F.col("category_name") == "soc_occupation") & (F.col("hierarchy_level") == 1)
             & (F.col("metric_id") == "pct"))
-    present = {r[0] for r in (usage.where(keep) if date_start is None else
-                              usage.where(keep & (F.col("date_start") == date_start)))
-               .select("geo_id").distinct().collect()}
+    chosen = usage.where(keep)
+    slice_ = chosen.agg(F.max("date_start")).scalar() if date_start is None else F.lit(date_start)
+    present = {r[0] for r in chosen.where(F.col("date_start") == slice_).select("geo_id").distinct().collect()}
     if present != {"ESP", "USA"}:
         raise ValueError(f"missing country values for {sorted({'ESP', 'USA'} - present)}")
     out = two_group_pivot(usage, ["node_external_id", "node_name", "date_start", "date_end"], "geo_id",

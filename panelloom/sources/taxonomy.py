@@ -8,7 +8,7 @@ from ..functions.codes import with_hierarchy
 from ..functions.text import limit_text, normalize_space, repair_text
 from ..functions.once import once
 from ..session import cut_lineage
-from ..operators.scan import CHUNK_LINES, fits_one_chunk, running
+from ..operators.scan import CHUNK_LINES, running
 
 #: How the notes are laid out.
 CODE_HEADING = r"^(\d{4})\s+(.+)$"
@@ -39,14 +39,13 @@ def is_stop_line(line: Column) -> Column:
 
 
 def segment(lines: DataFrame, doc: str = "doc", line_no: str = "line_no", text: str = "text", page: str | None = None,
-            first_page: int = 3, chunk_lines: int = CHUNK_LINES, small: bool | None = None) -> DataFrame:
+            first_page: int = 3, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """Lines that belong to a code: ``doc, record, line_no, code, part, text``.
 
     ``part`` is ``heading``, ``title`` (continuation) or ``body``; ``record`` is the line number of the code's heading.
     Everything from the first stop line of a document on is cut.
     """
     source = lines.where(F.col(page) >= first_page) if page else lines
-    small = fits_one_chunk(source, [doc], chunk_lines) if small is None else small
     rows = source.select(F.col(doc).alias("doc"), F.col(line_no).cast("long").alias("line_no"), F.col(text).alias("text"))
     clean = once(rows, text=normalize_space(F.replace("text", F.lit("\u00ad"), F.lit("")))).where("text <> ''")
     heading = F.col("text").rlike(CODE_HEADING)
@@ -57,13 +56,13 @@ def segment(lines: DataFrame, doc: str = "doc", line_no: str = "line_no", text:
         "record": ("max", F.when(heading, at)),
         "body": ("max", F.when(body_start, at)),
         "code": ("last", F.when(heading, F.regexp_extract("text", CODE_HEADING, 1))),
-    }, chunk_lines=chunk_lines, small=small)
+    }, chunk_lines=chunk_lines)
     part = F.when(heading, "heading").when(F.col("body") > F.col("record"), "body").otherwise("title")
     return marked.where("stop IS NULL AND record IS NOT NULL").select("doc", "record", "line_no", "code",
                                                                       part.alias("part"), "text")
 
 
-def structured_texts(parts: DataFrame, chunk_lines: int = CHUNK_LINES, small: bool | None = None) -> DataFrame:
+def structured_texts(parts: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """One row per (doc, record): code, title and the sectioned text.
 
     Lines that start beyond a section's character limit cannot show in its cut text, so only the ones before it are
@@ -73,10 +72,9 @@ def structured_texts(parts: DataFrame, chunk_lines: int = CHUNK_LINES, small: bo
     in_body = F.col("part") == "body"
     own = F.when(in_body, repair_text("text")).when(
         F.col("part") == "heading", F.regexp_extract("text", CODE_HEADING, 2)).otherwise(F.col("text"))
-    small = fits_one_chunk(parts, keys, chunk_lines) if small is None else small
     rows = once(parts, _t=own).where(~in_body | (F.col("_t") != ""))
     marker = F.when(in_body, F.try_element_at(_map(SECTION_MARKERS), F.col("_t")))
-    placed = running(rows, keys, "line_no", {"section": ("last", marker)}, chunk_lines=chunk_lines, small=small)
+    placed = running(rows, keys, "line_no", {"section": ("last", marker)}, chunk_lines=chunk_lines)
     lower = in_body & F.col("_t").rlike(LOWER_HEADING) & ~F.startswith("_t", F.lit("-"))
     bulleted = F.col("section").isin([s for s, spec in SECTIONS.items() if spec[3]])
     placed = placed.withColumn("section", F.when(~in_body, "title").otherwise(
@@ -87,8 +85,10 @@ def structured_texts(parts: DataFrame, chunk_lines: int = CHUNK_LINES, small: bo
                        F.lit(2 ** 31 - 64))
     separator = F.coalesce(F.try_element_at(_map({s: spec[1] for s, spec in SECTIONS.items()}), F.col("section")),
                            F.lit(" "))
-    sized = running(placed.withColumn("_len", F.char_length("_t") + F.char_length(separator)), [*keys, "section"],
-                    "line_no", {"_start": ("sum", F.col("_len"))}, inclusive=False, chunk_lines=chunk_lines, small=small)
+    # under a blank separator an empty line collapses into its neighbours and takes no room
+    room = F.when((F.col("_t") == "") & (F.trim(separator) == ""), 0).otherwise(F.char_length("_t") + F.char_length(separator))
+    sized = running(placed.withColumn("_len", room), [*keys, "section"],
+                    "line_no", {"_start": ("sum", F.col("_len"))}, inclusive=False, chunk_lines=chunk_lines)
     grouped = sized.where(F.col("_start") <= limit + 16).groupBy(*keys, "section").agg(
         F.min("code").alias("code"),
         F.transform(F.sort_array(F.collect_list(F.struct("line_no", "_t"))), lambda x: x["_t"]).alias("_lines"))
@@ -111,13 +111,10 @@ def taxonomy_records(lines: DataFrame, doc: str = "doc", line_no: str = "line_no
                      page: str | None = None, first_page: int = 3, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """One row per (document, code), the first record of a code kept, with its coarser levels."""
     source = lines.where(F.col(page) >= first_page) if page else lines
-    small = fits_one_chunk(source, [doc], chunk_lines)  # then records and sections, being parts of a document, fit too
-    parts = segment(source, doc, line_no, text, None, first_page, chunk_lines, small)
-    if not small:
-        parts = cut_lineage(parts)
+    parts = cut_lineage(segment(source, doc, line_no, text, None, first_page, chunk_lines))
     first = parts.where("part = 'heading'").groupBy("doc", "code").agg(F.min("record").alias("record"))
     kept = parts.join(first.select("doc", "record"), ["doc", "record"], "left_semi")
-    named = structured_texts(kept, chunk_lines, small).select(
+    named = structured_texts(kept, chunk_lines).select(
         "doc", F.col("code").alias("CNO4"), F.col("title").alias("occupation_title"),
         F.col("structured").alias("cno_structured_text_es"))
     return with_hierarchy(named).withColumn("embedding_text", F.col("cno_structured_text_es"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.operators import dose as dose_did, regression, resampling, sdid
+from panelloom.operators import dose as dose_did, panel, regression, resampling, sdid
 
 
 def fit(y, x, cluster=None):
@@ -150,12 +150,69 @@ def test_sdid_equals_an_independent_solve(spark, effect):
     assert path[0].term == "Effect_1" and path[-2].term == "Placebo_1" and set(path) == set(range(-9, 5))
 
 
+def sdid_frame(spark, d, y, months):
+    rows = [(i, months[t], float(d[i]), float(y[i, t])) for i in range(len(d)) for t in range(len(months))]
+    return spark.createDataFrame(rows, "u int, p string, d double, y double")
+
+
+def months_from(year, n):
+    return [f"{year + m // 12}-{m % 12 + 1:02d}" for m in range(n)]
+
+
+def test_sdid_returns_every_effect(spark):
+    months = months_from(2000, 88)
+    rng = np.random.default_rng(4)
+    d, y = rng.random(24), rng.normal(size=(24, 88)).cumsum(axis=1)
+    paths = sdid.sdid_paths(sdid_frame(spark, d, y, months), "u", "p", [sdid.SdidSpec("s", "y", "d", "top_vs_bottom")], months[8], replicates=1).persist()
+    assert [r.event_time for r in sdid.sdid_event_path(paths).orderBy("event_time").collect()] == list(range(-8, 80))
+    assert sdid.sdid_event_path(paths, max_effects=3).agg(F.max("event_time")).first()[0] == 2
+
+
+def test_sdid_specifications_that_cannot_be_estimated_tell_why(spark):
+    months = months_from(2000, 8)
+    rng = np.random.default_rng(5)
+    d, y = 1 + rng.random(12), rng.normal(size=(12, 8))
+    df = sdid_frame(spark, d, y, months).withColumn("none", F.lit(None).cast("double"))
+    specs = [sdid.SdidSpec("ok", "y", "d", "top_vs_bottom"), sdid.SdidSpec("no zero", "y", "d", "top_vs_zero"), sdid.SdidSpec("no dose", "y", "none", "top_vs_zero")]
+    paths = sdid.sdid_paths(df, "u", "p", specs, months[5], replicates=2).persist()
+    rows = {r.spec: r for r in sdid.sdid_estimates(paths, specs).collect()}
+    assert set(rows) == {"ok", "no zero", "no dose"} and rows["ok"].att is not None and rows["ok"].converged and rows["ok"].reason is None
+    assert rows["no zero"].att is None and "comparison" in rows["no zero"].reason and rows["no dose"].reason == "no dose"
+    assert rows["no zero"].control_rule == "zero exposure" and rows["ok"].outcome == "y" and rows["ok"].q25 < rows["ok"].q75
+    assert {r.spec for r in sdid.sdid_levels(paths).collect()} == {"ok"}
+
+
+def test_sdid_without_spread_between_replicates_has_no_p_value(spark):
+    months = months_from(2000, 6)
+    y = np.tile(np.arange(6.0), (8, 1))
+    paths = sdid.sdid_paths(sdid_frame(spark, np.arange(8.0), y, months), "u", "p", [sdid.SdidSpec("s", "y", "d", "top_vs_bottom")], months[4], replicates=5)
+    row = sdid.sdid_estimates(paths.withColumn("effect", F.lit(1.0)).where("period IS NOT NULL")).first()
+    assert row.std_error == 0 and row.p_value is None and row.att == 1.0
+
+
+def test_a_period_that_occurs_twice_is_an_error(spark):
+    months = months_from(2000, 6)
+    df = sdid_frame(spark, np.arange(8.0), np.zeros((8, 6)), months)
+    twice = df.where(~((F.col("u") == 7) & (F.col("p") == months[1]))).unionByName(df.where((F.col("u") == 7) & (F.col("p") == months[2])))
+    with pytest.raises(Exception, match="occurs twice"):
+        sdid.sdid_paths(twice, "u", "p", [sdid.SdidSpec("s", "y", "d", "top_vs_bottom")], months[4], replicates=0).collect()
+
+
+def test_more_periods_than_a_solver_would_take(spark):
+    df = spark.range(2001).select(F.format_string("%05d", "id").alias("p"))
+    rows = {r.p: (r.time_period, r.event_time) for r in panel.period_index(df, "p", "00100").collect()}
+    assert len(rows) == 2001 and rows["02000"] == (2001, 1900) and rows["00000"] == (1, -100)
+    with pytest.raises(ValueError, match="not among"):
+        panel.period_index(df, "p", "x")
+
+
 def test_simplex_least_squares_against_slow_solver():
     rng = np.random.default_rng(7)
     for size in (1, 2, 5, 30, 60):
         a = rng.normal(size=(size + 5, size))
         gram, target = a.T @ a + 1e-8 * np.eye(size), a.T @ rng.normal(size=size + 5)
-        x = sdid.simplex_least_squares(gram, target)
+        x, done = sdid.simplex_least_squares(gram, target)
+        assert done
         slow = slow_simplex(gram, target)
         value = lambda v: v @ gram @ v / 2 - target @ v
         assert x.min() >= 0 and x.sum() == pytest.approx(1) and value(x) <= value(slow) + 1e-9

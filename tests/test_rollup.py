@@ -1,3 +1,6 @@
+import random
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,24 +8,34 @@ from panelloom.operators import joins, panel, pick, reshape, rollup
 from panelloom.sources import files
 
 
-def test_weighted_exposure(spark):
-    micro = spark.createDataFrame([("2025Q1", "A", "1", 2), ("2025Q1", "A", "2", 1), ("2025Q1", "B", "1", 4)],
-                                  "quarter string, ACT1 string, OCUP1 string, FACTOREL int")
-    scores = spark.createDataFrame([("1", .2, .3), ("2", .8, .9)], ["OCUP1", "observed_exposure_rf",
-                                                                   "observed_exposure_cosine_weighted"])
-    a = rollup.weighted_exposure(micro, scores, weight="FACTOREL").where("cnae = 'A'").first()
-    assert a.observed_exposure_cnae_rf == pytest.approx((2 * .2 + .8) / 3)
-    assert a.observed_exposure_cnae_cosine_weighted == pytest.approx((2 * .3 + .9) / 3)
-    assert (a.coverage_share, a.occupation_count) == (1.0, 2)
-
-
-def test_partial_coverage_without_weights(spark):
-    micro = spark.createDataFrame([("2025Q1", "A", "1"), ("2025Q1", "A", "2"), ("2025Q1", "B", "2")],
-                                  ["quarter", "ACT1", "OCUP1"])
-    scores = spark.createDataFrame([("1", .4)], ["OCUP1", "observed_exposure_rf"])
-    rows = rollup.weighted_exposure(micro, scores).collect()
-    assert len(rows) == 1 and rows[0].cnae == "A"
-    assert rows[0].observed_exposure_cnae_rf == pytest.approx(.4) and rows[0].coverage_share == .5
+def records(seed, weighted=True):
+    """Random survey records and scores; one unit has no score at all."""
+    rnd = random.Random(seed)
+    rows = [(f"{2010 + rnd.randrange(2)}Q{rnd.randint(1, 4)}", rnd.choice("KLM"), rnd.choice("5678"), rnd.randint(1, 90) / 2) for _ in range(120)]
+    scores = {u: (rnd.random(), rnd.random()) for u in "567"}
+    return [r if weighted else r[:3] for r in rows], scores
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+def test_weighted_exposure_equals_plain_sums(spark, weighted):
+    rows, known = records(31, weighted)
+    micro = spark.createDataFrame(rows, ["quarter", "ACT1", "OCUP1", "FACTOREL"][:len(rows[0])])
+    scores = spark.createDataFrame([(u, *v) for u, v in known.items()], ["OCUP1", "observed_exposure_rf", "observed_exposure_cosine_weighted"])
+    got = {(r.cnae, r.quarter): r for r in (rollup.weighted_exposure(micro, scores, weight="FACTOREL") if weighted
+                                            else rollup.weighted_exposure(micro, scores)).collect()}
+    cells = defaultdict(list)
+    for row in rows:
+        cells[row[1], row[0]].append((row[2], row[3] if weighted else 1))
+    for cell, own in cells.items():
+        covered = [(known[u], w) for u, w in own if u in known]
+        if not covered:
+            assert cell not in got
+            continue
+        weight = sum(w for _, w in covered)
+        r = got[cell]
+        assert r.observed_exposure_cnae_rf == pytest.approx(sum(v[0] * w for v, w in covered) / weight)
+        assert r.observed_exposure_cnae_cosine_weighted == pytest.approx(sum(v[1] * w for v, w in covered) / weight)
+        assert r.coverage_share == pytest.approx(weight / sum(w for _, w in own)) and r.occupation_count == len({u for u, _ in own})
 
 
 def test_null_keys_are_kept_and_scores_required(spark):
@@ -35,59 +48,70 @@ def test_null_keys_are_kept_and_scores_required(spark):
         rollup.weighted_exposure(micro, scores.select("OCUP1"))
 
 
-LEAVES = [("1111", "11", "1", .1, .2), ("1112", "11", "1", .3, .4), ("1211", "12", "1", .9, .8)]
+LEAVES = [("7001", "70", "7", .35, .05), ("7002", "70", "7", .65, .55), ("7003", "70", "7", .5, .0), ("7105", "71", "7", .04, .44), ("7106", "71", "7", .08, None)]
+WEIGHTED, NEAREST = "observed_exposure_cosine_weighted", "observed_exposure_cosine_nearest"
 
 
 def leaves(spark):
-    return spark.createDataFrame(LEAVES, ["CNO4", "CNO2", "OCUP1", "observed_exposure_cosine_weighted",
-                                          "observed_exposure_cosine_nearest"])
+    return spark.createDataFrame(LEAVES, ["CNO4", "CNO2", "OCUP1", WEIGHTED, NEAREST])
+
+
+def plain_mean(column, keep=lambda leaf: True):
+    values = [leaf[column] for leaf in LEAVES if keep(leaf) and leaf[column] is not None]
+    return sum(values) / len(values)
 
 
 def test_hierarchical_mean(spark):
-    weights = spark.createDataFrame([("11", .25), ("12", .75)], ["CNO2", "employment_weight"])
+    shares = {"70": .9, "71": .3}  # they need not add up to one
+    weights = spark.createDataFrame(list(shares.items()), ["CNO2", "employment_weight"])
     row = rollup.hierarchical_mean(leaves(spark), weights).first()
-    assert row.observed_exposure_cosine_weighted == pytest.approx(.25 * .2 + .75 * .9)
-    assert row.observed_exposure_cosine_nearest == pytest.approx(.25 * .3 + .75 * .8)
-    assert (row.cno4_count, row.cno2_count) == (3, 2) and row.aggregation_weight_source == rollup.WEIGHTED_SOURCE
+    for name, column in ((WEIGHTED, 3), (NEAREST, 4)):
+        want = sum(s * plain_mean(column, lambda leaf: leaf[1] == m) for m, s in shares.items()) / sum(shares.values())
+        assert row[name] == pytest.approx(want)
+    assert (row.cno4_count, row.cno2_count) == (5, 2) and row.aggregation_weight_source == rollup.WEIGHTED_SOURCE
 
 
 @pytest.mark.parametrize("weights,source", [(None, rollup.EQUAL_SOURCE), ([("99", 1.0)], rollup.EQUAL_SOURCE)])
 def test_hierarchical_mean_without_usable_weights(spark, weights, source):
     table = spark.createDataFrame(weights, ["CNO2", "employment_weight"]) if weights else None
     row = rollup.hierarchical_mean(leaves(spark), table).first()
-    assert row.observed_exposure_cosine_weighted == pytest.approx((.1 + .3 + .9) / 3)
+    assert row.observed_exposure_cosine_weighted == pytest.approx(plain_mean(3))
     assert row.aggregation_weight_source == source and row.cno2_count is None
 
 
 def test_hierarchical_mean_falls_back_per_group(spark):
-    more = leaves(spark).union(spark.createDataFrame([("2111", "21", "2", .5, .6)], leaves(spark).schema))
-    weights = spark.createDataFrame([("11", .25)], ["CNO2", "employment_weight"])
+    more = leaves(spark).union(spark.createDataFrame([("8990", "89", "8", .11, .22)], leaves(spark).schema))
+    weights = spark.createDataFrame([("71", 4.0)], ["CNO2", "employment_weight"])
     rows = {r.OCUP1: r for r in rollup.hierarchical_mean(more, weights).collect()}
-    assert rows["2"].aggregation_weight_source == rollup.UNMATCHED_SOURCE and rows["2"].cno2_count == 1
-    assert rows["1"].observed_exposure_cosine_weighted == pytest.approx(.2)
+    assert rows["8"].aggregation_weight_source == rollup.UNMATCHED_SOURCE and rows["8"].cno2_count == 1
+    assert rows["7"][WEIGHTED] == pytest.approx(plain_mean(3, lambda leaf: leaf[1] == "71"))
 
 
 def test_code_weights(spark):
-    raw = spark.createDataFrame([
-        ("Ambos sexos", "Valor absoluto", "2026T1", "11 Jefes", "1.000,5"), ("Ambos sexos", "Valor absoluto", "2026T1", "12 Otros", "999,5"),
-        ("Ambos sexos", "Valor absoluto", "2026T1", "Total", "9"), ("Ambos sexos", "Valor absoluto", "2025T4", "11 Jefes", "1"),
-        ("Mujeres", "Valor absoluto", "2026T1", "11 Jefes", "5")], ["Sexo", "Unidad", "Periodo", "occ", "Total"])
-    keep = (F.col("Sexo") == "Ambos sexos") & (F.col("Unidad") == "Valor absoluto")
-    rows = {r.CNO2: r for r in rollup.code_weights(raw, "occ", "Total", "Periodo", keep).collect()}
-    assert rows["11"].employment_weight == pytest.approx(1000.5 / 2000) and set(rows) == {"11", "12"}
+    amounts = {"31 Navegantes": "12,5", "32 Técnicos de obra": "2.087,5", "33 Nadie": "0"}
+    raw = spark.createDataFrame([("Todos", "2019T3", k, v) for k, v in amounts.items()] + [
+        ("Todos", "2019T3", "Suma", "4"), ("Todos", "2019T2", "31 Navegantes", "700"), ("Parte", "2019T3", "31 Navegantes", "8")], ["who", "Periodo", "occ", "n"])
+    rows = {r.CNO2: r.employment_weight for r in rollup.code_weights(raw, "occ", "n", "Periodo", F.col("who") == "Todos").collect()}
+    assert rows == {"31": pytest.approx(12.5 / 2100), "32": pytest.approx(2087.5 / 2100), "33": 0}
+
+
+def test_share_of_a_zero_total_or_an_unknown_parent(spark):
+    rows = spark.createDataFrame([("a", 0.0), ("a", 0.0), (None, 1.0), (None, 3.0), ("b", None)], "parent string, n double")
+    got = [(r.parent, r.n, r.employment_weight) for r in rollup.share_within(rows, "parent", "n").collect()]
+    assert sorted(got, key=str) == sorted([("a", 0.0, None), ("a", 0.0, None), (None, 1.0, .25), (None, 3.0, .75), ("b", None, None)], key=str)
 
 
 def test_quarterly_stock_and_overlap(spark):
-    rows = spark.createDataFrame([("2025-01", "total", 90.), ("2025-02", "total", 120.), ("2025-03", "total", 150.),
-                                  ("2025-03", "age", 999.)], ["period", "dimension", "parados"])
+    months = {f"2016-{m:02d}": 7.0 * m * m for m in (4, 5, 6, 8, 9)}  # July is missing
+    rows = spark.createDataFrame([(m, "total", v) for m, v in months.items()] + [("2016-06", "province", 1e6)], ["period", "dimension", "parados"])
     wide = rows.withColumns({"category": F.lit("Total"), "gender": F.lit("Total")}).where(panel.is_total_row())
-    row = rollup.quarterly_stock(wide, "period", "parados").first()
-    assert (row.quarter, row.sepe_registered_unemployed, row.sepe_months) == ("2025Q1", 120.0, 3)
-    a = spark.createDataFrame([("2025Q1", 10), ("2025Q2", 12)], ["quarter", "a"])
-    b = spark.createDataFrame([("2025Q2", 11), ("2025Q3", 13)], ["quarter", "b"])
-    assert [tuple(r) for r in joins.overlapping(a, b).collect()] == [("2025Q2", 12, 11)]
+    got = {r.quarter: (r.sepe_registered_unemployed, r.sepe_months) for r in rollup.quarterly_stock(wide, "period", "parados").collect()}
+    assert got["2016Q2"] == (pytest.approx(sum(months[f"2016-0{m}"] for m in (4, 5, 6)) / 3), 3)
+    a = spark.createDataFrame([(f"2016Q{q}", q) for q in (1, 2, 3)], ["quarter", "a"])
+    b = spark.createDataFrame([(f"2016Q{q}", -q) for q in (3, 4)], ["quarter", "b"])
+    assert [tuple(r) for r in joins.overlapping(a, b).collect()] == [("2016Q3", 3, -3)]
     with pytest.raises(ValueError):
-        joins.overlapping(a, b.where("quarter = '2025Q3'"))
+        joins.overlapping(a, b.where("quarter = '2016Q4'"))
 
 
 USAGE = ["date_start", "date_end", "geo_id", "geo_level", "category_name", "hierarchy_level", "metric_id", "value",
@@ -98,24 +122,26 @@ def usage(spark, rows):
     return spark.createDataFrame([(m, m, g, "country", c, h, "pct", v, n, k) for m, g, c, h, v, n, k in rows], USAGE)
 
 
+def shares(month, values, level=1, category="soc_occupation"):
+    return [(month, country, category, level, v, f"group {code}", code) for code, pair in values.items() for country, v in zip(("ESP", "USA"), pair)]
+
+
 def test_country_usage(spark):
-    s = "soc_occupation"
-    df = usage(spark, [
-        ("2026-04", "ESP", s, 1, 1.0, "Management", "11"), ("2026-04", "USA", s, 1, 2.0, "Management", "11"),
-        ("2026-05", "ESP", s, 1, 5.91, "Management", "11"), ("2026-05", "USA", s, 1, 5.85, "Management", "11"),
-        ("2026-05", "ESP", s, 1, 23.92, "Computer", "15"), ("2026-05", "USA", s, 1, 21.13, "Computer", "15"),
-        ("2026-05", "ESP", s, 0, 99.0, "Developers", "15-1252"), ("2026-05", "ESP", "request", 2, 99.0, "Writing", "x")])
+    late = {"53": (4.25, 4.0), "27": (9.5, 11.75), "41": (9.5, 2.0), "19": (.5, .75)}
+    df = usage(spark, shares("2024-11", {"53": (80.0, 1.0)}) + shares("2024-12", late) + shares("2024-12", {"41-2031": (70.0, 1.0)}, 0)
+               + shares("2024-12", {"q": (60.0, 2.0)}, 2, "request"))
     rows = files.country_usage(df).collect()
-    assert [r.soc_major_group for r in rows] == ["15", "11"]
-    assert [r.spain_minus_us_pct for r in rows] == [2.79, 0.06] and rows[0].date_start == "2026-05"
+    order = sorted(late, key=lambda code: (-late[code][0], code))
+    assert [r.soc_major_group for r in rows] == order and {r.date_start for r in rows} == {"2024-12"}
+    assert [r.spain_minus_us_pct for r in rows] == [late[code][0] - late[code][1] for code in order]
     with pytest.raises(ValueError, match="USA"):
         files.country_usage(df.where("geo_id = 'ESP'"))
 
 
-def test_country_usage_ties_by_code(spark):
-    rows = [("2026-05", g, "soc_occupation", 1, v, n, k) for k, n, e, u in
-            (("20", "Later", 10., 9.), ("10", "Earlier", 10., 8.), ("30", "Bottom", 2., 3.)) for g, v in (("ESP", e), ("USA", u))]
-    assert [r.soc_major_group for r in files.country_usage(usage(spark, rows)).collect()] == ["10", "20", "30"]
+def test_country_usage_needs_both_countries_in_the_latest_slice(spark):
+    rows = shares("2024-11", {"53": (8.0, 1.0)}) + [r for r in shares("2024-12", {"53": (8.0, 1.0)}) if r[1] == "ESP"]
+    with pytest.raises(ValueError, match="USA"):
+        files.country_usage(usage(spark, rows))
 
 
 def test_label_keys(spark):
