@@ -198,10 +198,15 @@ def forest(nodes: list[int], component: list[int], sets: list[np.ndarray], left:
 
 
 def block_links(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Links inside large buckets; ``members`` has key, node, n, component."""
-    home = members.groupBy("node").agg(F.max(F.struct("n", "key")).alias("home"), F.min("component").alias("component"))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("home.n") / F.lit(BLOCK)))
-    home = cut_lineage(home.select("node", "component", F.struct(F.col("home.key").alias("key"), part.alias("part")).alias("block")))
+    """Links inside large buckets; ``members`` has key, node, pivot, component.
+
+    A node's home is the smallest pivot of its buckets, which the buckets of one group of near copies mostly share; a home is
+    cut into blocks of about ``BLOCK`` nodes, and blocks that meet in some bucket are compared.
+    """
+    homes = members.groupBy("node").agg(F.min("pivot").alias("home"), F.min("component").alias("component"))
+    parts = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts"))
+    block = F.struct("home", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).alias("block")
+    home = cut_lineage(homes.join(parts, "home").select("node", "component", block))
     there = members.join(home.select("node", "block"), "node").select("key", "block").distinct()
     pairs = there.alias("x").join(there.alias("y"), "key").where("x.block <= y.block") \
         .select(F.col("x.block").alias("first"), F.col("y.block").alias("second")).distinct()
