@@ -214,6 +214,18 @@ def s5_wide(spark, d):
     return wide.select("period", "cno4", "occupation_title", "source_url", "parados", "contratos", "personas")
 
 
+@query("report_dataset", S5_SQL + """SELECT g.period, g.cno4, g.occupation_title, q AS parados, n AS contratos, k AS personas,
+ s_acctbal AS observed_exposure FROM g LEFT JOIN supplier ON g.cno4 = lpad(cast(s_suppkey AS VARCHAR), 4, '0')""")
+def report_dataset(spark, d):
+    """The resumable job run twice: over the pages of the odd units, then over all pages."""
+    from .dataset import build_report_dataset, total_rows
+    target, pages = new_scratch(spark, "report-dataset"), report_pages(spark, d)
+    scores = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("cno4"), F.col("s_acctbal").alias("observed_exposure"))
+    build_report_dataset(pages.where("unit % 2 = 1").select("html", "url"), scores, target)
+    whole = build_report_dataset(pages.select("html", "url"), scores, target)
+    return total_rows(whole).select("period", "cno4", "occupation_title", "parados", "contratos", "personas", "observed_exposure")
+
+
 @query("s6", """SELECT DISTINCT lpad(cast(l_suppkey AS VARCHAR), 4, '0') AS cno4, concat('Unidad ', l_suppkey)
  AS occupation_title, strftime(l_shipdate, '%Y-%m') AS period,
  concat('https://reports.example/a/informacion-mercado-trabajo-por-ocupacion~_mensuales_',

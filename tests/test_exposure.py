@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from panelloom.operators.enrich import letter_counts
 from panelloom.operators.pick import with_ordinal
-from panelloom.plans.exposure import build_exposure
+from panelloom.plans.dataset import build_report_dataset
+from panelloom.plans.exposure import build_exposure, store_exposure
+from panelloom.sources import store
 
 SCORED = [("33-1012", "Police supervisor", 0.0), ("43-9061.00", "Office clerk", 0.45), ("15-1252", "Software developer", 0.75),
           ("53-3032", "Truck driver", 0.05), ("25-2021", "School teacher", 0.2)]
@@ -52,6 +54,35 @@ def test_build_exposure(spark, tmp_path, methods):
     audited = out.matches.where("CNO4 = '0011'").collect()
     assert {(r.method, r.occ_code) for r in audited} == {(m, "33-1012") for m in ("cosine_weighted", "cosine_nearest")}
     assert out.matches.where(F.col("method") == "cosine_nearest").count() == 4
+    metrics = {r.method: r for r in out.metrics.collect()}
+    assert set(metrics) == {"global_mean", *(("random_forest",) if "rf" in methods else ()), "cosine_weighted", "cosine_nearest"}
+    left_out = [np.mean([v for j, v in enumerate(y) if j != i]) for i in range(5)]  # five rows, five folds
+    assert metrics["global_mean"].n == 5 and metrics["global_mean"].mae == pytest.approx(np.mean(np.abs(y - left_out)))
+    for run in (1, 2):
+        record = store_exposure(out, str(tmp_path / "store"), "letters", "none", "0" * 64).first()
+        assert (record.occupations_version, record.industries_version) == (str(run), str(run))
+    kept = store.SnapshotTable(spark, str(tmp_path / "store" / "occupations"), store.OCCUPATION_SCHEMA, store.OCCUPATION_KEY).read()
+    assert kept.count() == len(occupations) and spark.read.csv(record.matches, header=True).count() == out.matches.count()
+
+
+def test_forest_alone_needs_no_similarities(spark, tmp_path):
+    scored = spark.createDataFrame(SCORED, ["occ_code", "title", "observed_exposure"])
+    about = spark.createDataFrame([], "occ_code string, onet_description string")
+    taxonomy = spark.createDataFrame([(c, c[:2], c[:1], t, t) for c, t in NOTES], ["CNO4", "CNO2", "OCUP1", "occupation_title", "embedding_text"])
+    records = spark.createDataFrame([("2025Q1", "A", "0")], ["quarter", "ACT1", "OCUP1"])
+    out = build_exposure(scored, about, taxonomy, records, letter_counts, str(tmp_path / "cache"), "letters", methods=("rf",), trees=3)
+    assert out.matches.isEmpty() and out.leaves.columns[-1] == "observed_exposure_rf" and out.industries.count() == 1
+
+
+def test_report_dataset_is_resumable(spark, tmp_path):
+    head = "<h2>CNO-{c}: Oficio Enero 2020</h2><table><caption>Distribución geográfica de contratos</caption><tr><td>Lugo</td><td>{n}</td></tr></table>"
+    page = lambda c, n: (head.format(c=c, n=n), f"https://x/_mensuales_2020_01_{c}-x.html")
+    pages = lambda *rows: spark.createDataFrame(list(rows), ["html", "url"])
+    scores = spark.createDataFrame([("12", .5)], ["cno4", "observed_exposure"])
+    target = str(tmp_path / "wide")
+    build_report_dataset(pages(page("0012", 3)), scores, target)
+    rows = build_report_dataset(pages(page("0012", 999), page("7777", 4)), scores, target).where("category = 'Lugo'").collect()
+    assert {(r.cno4, r.contratos, r.observed_exposure) for r in rows} == {("0012", 3.0, .5), ("7777", 4.0, None)}
 
 
 def test_unknown_methods(spark):
