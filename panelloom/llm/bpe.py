@@ -13,7 +13,7 @@ import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
-from struct import pack
+from struct import pack, unpack
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .batches import fresh_name, slices, widened
 
-PIECES, STATES, PIECE_CHARS = 250_000, 250_000, 64  # entries of a memo before it ages; longest piece that is remembered
+PIECES, STATES, PAIRS = 200_000, 220_000, 600_000  # entries of the memos: pieces (two generations), states, pairs of tokens
+PIECE_CHARS = 64  # longest piece that is remembered
 FEW = 24  # a node with so many tokens below it, or fewer, is checked for a possible successor
 NEVER = 1 << 60
 
@@ -38,36 +39,49 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.trie: dict[int, tuple[int, int]] = {}  # node << 8 | byte -> node, token that ends there or -1
-        self.below: dict[int, list[int]] = {}  # node -> tokens that begin with its bytes, for nodes with few of them
-        for data in sorted(ranks):
-            node = 0
+        self.sorted = [ranks[data] for data in sorted(ranks)]
+        self.trie: dict[int, int] = {}  # node << 8 | byte -> child << 20 | 1 + token that ends there, or 0 for none
+        below: dict[int, int] = {}  # node -> first of the sorted tokens that begin with its bytes << 20 | their number
+        for place, rank in enumerate(self.sorted):
+            node, data = 0, self.token[rank]
             for n, byte in enumerate(data, 1):
-                child = self.trie.get(node << 8 | byte)
-                if child is None:
-                    child = self.trie[node << 8 | byte] = (len(self.trie) + 1, -1)
-                if n == len(data):
-                    self.trie[node << 8 | byte] = (child[0], ranks[data])
-                node = child[0]
-                self.below.setdefault(node, []).append(ranks[data])
-        self.below = {node: tokens for node, tokens in self.below.items() if len(tokens) <= FEW}
+                key = node << 8 | byte
+                found = self.trie.get(key) or len(self.trie) + 1 << 20
+                self.trie[key] = found = found | rank + 1 if n == len(data) else found
+                node = found >> 20
+                below[node] = below.get(node, place << 20) + 1
+        self.below = {node: span for node, span in below.items() if span & 0xFFFFF <= FEW}
         self._tops: dict[int, tuple] = {}
         self._pairs: dict[int, bool] = {}
         self._open: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self._index: dict[tuple, int] = {}
-        self._states: list[tuple] = []  # alternatives: last whole token, tokens not yet agreed on, trie node
-        self._next: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._state(((-1, (), 0),))
-
-    def _state(self, alternatives: tuple) -> int:
-        if (found := self._index.get(alternatives)) is None:
-            found = self._index[alternatives] = len(self._states)
-            self._states.append(alternatives)
+        self._index: dict[bytes, int] = {}
+        self._states: list[bytes] = []  # packed alternatives: last whole token, trie node, number of tokens not yet agreed on, those
+        self._next: dict[int, int] = {}  # state << 8 | byte -> state
+        self._emits: dict[int, tuple[int, ...]] = {}  # the same keys, where tokens are emitted
+        self._ends: dict[int, tuple[int, ...]] = {}  # tokens still to emit where the data ends in a state
+        self.start = self._state([(-1, (), 0)])
+
+    def _state(self, alternatives: list[tuple]) -> int:
+        flat = [x for last, waiting, node in alternatives for x in (last, node, len(waiting), *waiting)]
+        packed = pack(f"<{len(flat)}i", *flat)
+        if (found := self._index.get(packed)) is None:
+            found = self._index[packed] = len(self._states)
+            self._states.append(packed)
         return found
 
+    def _alternatives(self, state: int) -> list[tuple]:
+        packed = self._states[state]
+        flat = unpack(f"<{len(packed) // 4}i", packed)
+        out, i = [], 0
+        while i < len(flat):
+            end = i + 3 + flat[i + 2]
+            out.append((flat[i], flat[i + 3:end], flat[i + 1]))
+            i = end
+        return out
+
     def _spines(self, token: int) -> tuple[bool, list[int], list[int]]:
         """Whether the token's bytes merge into it, and its tokens at the left and at the right edge from last made to first."""
         if (known := self._tops.get(token)) is None:
@@ -108,7 +122,7 @@ class Transducer:
     def _pair(self, left: int, right: int) -> bool:
         key = left << 20 | right
         if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) >= 4 * STATES:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
                 self._open.clear()
             known = self._pairs[key] = self._follows(left, right)
@@ -116,19 +130,21 @@ class Transducer:
 
     def _possible(self, left: int, node: int) -> bool:
         """Whether some token that begins with the node's bytes can follow."""
-        tokens = self.below.get(node)
-        if tokens is None or left < 0:
+        span = self.below.get(node)
+        if span is None or left < 0:
             return True
         key = left << 20 | node
         if (known := self._open.get(key)) is None:
-            known = self._open[key] = any(self._pair(left, token) for token in tokens)
+            first = span >> 20
+            known = any(self._pair(left, token) for token in self.sorted[first:first + (span & 0xFFFFF)])
+            self._open[key] = known
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, state: int, byte: int) -> int:
         live, child = [], self.trie.get
-        for last, waiting, node in self._states[state]:
-            if (found := child(node << 8 | byte)) is not None:
-                node, token = found
+        for last, waiting, node in self._alternatives(state):
+            if found := child(node << 8 | byte):
+                node, token = found >> 20, (found & 0xFFFFF) - 1
                 if token >= 0 and self._pair(last, token):
                     live.append((last, waiting, node))
                     live.append((token, (*waiting, token), 0))
@@ -142,20 +158,26 @@ class Transducer:
             common = common[:n]
         if n := len(common):
             live = [(a, w[n:], p) for a, w, p in live]
-        made = self._next[state << 8 | byte] = (self._state(tuple(live)), common)
+            self._emits[state << 8 | byte] = common
+        made = self._next[state << 8 | byte] = self._state(live)
         return made
 
     def encode(self, data: bytes) -> list[int]:
         if len(self._states) > STATES:
             self._reset()
-        state, out, known = self.start, [], self._next
+        state, out, known, emits = self.start, [], self._next, self._emits
         for byte in data:
-            step = known.get(state << 8 | byte)
-            state, emitted = step if step is not None else self._step(state, byte)
-            if emitted:
-                out += emitted
+            key = state << 8 | byte
+            state = known.get(key)
+            if state is None:
+                state = self._step(key >> 8, byte)
+            if key in emits:
+                out += emits[key]
         if data:
-            out += next(waiting for _, waiting, node in self._states[state] if not node)
+            end = self._ends.get(state)
+            if end is None:
+                end = self._ends[state] = next(waiting for _, waiting, node in self._alternatives(state) if not node)
+            out += end
         return out
 
 

@@ -46,9 +46,13 @@ def counts(text: str) -> np.ndarray:
 
 def vectors(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Normalised vectors and numbers of trigrams."""
-    found = np.stack([counts(t) for t in texts]).astype(np.float32)
-    made = found * idf
-    return made / np.maximum(np.sqrt((made * made).sum(1, keepdims=True)), 1e-12), found.sum(1)
+    made, size = np.empty((len(texts), DIMENSIONS), np.float32), np.empty(len(texts))
+    for i, text in enumerate(texts):
+        found = counts(text)
+        size[i] = found.sum()
+        found *= idf
+        made[i] = found / max(np.sqrt(found @ found), 1e-12)
+    return made, size
 
 
 @dataclass
@@ -79,7 +83,7 @@ def cluster(data: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
         centres = np.concatenate([centres, data[[(data @ centres.T).max(1).argmin()]]])
     for _ in range(rounds):
         own = (data @ centres.T).argmax(1)
-        sums = np.stack([data[own == i].sum(0) for i in range(len(centres)) if (own == i).any()])
+        sums = (own[None, :] == np.unique(own)[:, None]).astype(np.float32) @ data
         centres = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-12)
     return centres
 
@@ -132,7 +136,7 @@ def fit(labelled: DataFrame, sample_key: Column, text: str = "text", lang: str =
                  reject_below * np.array([row.usual for row in found]), idf)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", slice_rows: int = 256) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text", slice_rows: int = 64) -> DataFrame:
     """``docs`` with lang_pred, score (cosine with the nearest centroid) and rejected; no shuffle, whole texts.
 
     Texts that are null or have no letter, and all texts if nothing was learned, get ``und``, score 0 and are rejected.  Equal
