@@ -165,6 +165,14 @@ class DoseFit:
     n_control: int
 
 
+@dataclass
+class MissingFit:
+    """A specification that cannot be estimated, and why."""
+
+    spec: DoseSpec
+    reason: str
+
+
 def _changes(y: np.ndarray, adoption: int, base: str) -> np.ndarray:
     """Outcome changes per period: after adoption against the last period before it; earlier ones against the period
     before (``varying``) or against that same last one (``universal``)."""
@@ -176,8 +184,8 @@ def _changes(y: np.ndarray, adoption: int, base: str) -> np.ndarray:
 
 
 def fit_doses(panel: DataFrame, unit: str, period: str, specs: list[DoseSpec], intervention: str, draws: int = DRAWS,
-              base: str = "varying") -> list[DoseFit]:
-    """Fit every specification; two passes over one row per unit whatever their number."""
+              base: str = "varying") -> list[DoseFit | MissingFit]:
+    """Fit every specification, in their order; two passes over one row per unit whatever their number."""
     periods, adoption = _calendar(panel, period, intervention)
     units, _ = _dose_units(panel, unit, period, periods, specs)
 
@@ -206,7 +214,11 @@ def fit_doses(panel: DataFrame, unit: str, period: str, specs: list[DoseSpec], i
     second = vector_sums(units.mapInArrow(
         _dose_draws(shape, adoption, base, solved, draws), "spec int, v array<double>"), ["spec"])
     out = []
-    for s, m in solved.items():
+    for s, spec in enumerate(specs):
+        if s not in solved:
+            out.append(MissingFit(spec, "no exposed unit is observed in every period" if s not in shape else "no comparison unit is observed in every period"))
+            continue
+        m = solved[s]
         flat = second[(s,)].reshape(draws, width * size + 2 * size + width)
         scores = flat[:, :width * size].reshape(draws, width, size)
         out.append(DoseFit(
@@ -272,30 +284,44 @@ def _dose_draws(shape, adoption: int, base: str, solved: dict, draws: int):
     return run
 
 
-def dose_response(spark, fits: list[DoseFit]) -> DataFrame:
-    """ATT(d) and ACRT(d) over the dose grid, averaged over the periods after adoption, with pointwise bands."""
+def _sup_t(deviation: np.ndarray, se: np.ndarray, level: float) -> float | None:
+    """The value that the largest standardised deviation of a draw exceeds with probability 1 - level; None without spread."""
+    used = se > 1e-12
+    return float(np.quantile((np.abs(deviation[:, used]) / se[used]).max(axis=1), level)) if used.any() else None
+
+
+def dose_response(spark, fits: list[DoseFit | MissingFit], band_level: float = 0.95) -> DataFrame:
+    """ATT(d) and ACRT(d) over the dose grid, averaged over the periods after adoption, with pointwise intervals and, by
+    ``band_level``, bands that hold for the whole curve (sup-t over the draws)."""
     rows = []
     for f in fits:
+        if isinstance(f, MissingFit):
+            rows.append((f.spec.name, *[None] * 10, f.reason))
+            continue
         post = f.event_time >= 0
         beta, draws = f.beta[:, post].mean(axis=1), f.beta_draws[:, :, post].mean(axis=2)
         shift, shift_draws = f.base_mean[post].mean(), f.base_draws[:, post].mean(axis=1)
         level = spline_basis(f.grid, f.low, f.high, f.knots)
         slope = spline_basis(f.grid, f.low, f.high, f.knots, derivative=True)
         att, acrt = level @ beta - shift, slope @ beta
-        att_se = (draws @ level.T - shift_draws[:, None]).std(axis=0, ddof=1)
-        acrt_se = (draws @ slope.T).std(axis=0, ddof=1)
-        for i, d in enumerate(f.grid):
-            for what, est, se in (("att", att, att_se), ("acrt", acrt, acrt_se)):
-                rows.append((f.spec.name, what, i, float(d), float(est[i]), float(se[i]),
-                             float(est[i] - Z95 * se[i]), float(est[i] + Z95 * se[i])))
-    return spark.createDataFrame(rows, "spec string, parameter string, grid_index int, dose double, estimate double, "
-                                 "std_error double, ci_low double, ci_high double")
+        for what, est, moved in (("att", att, draws @ level.T - shift_draws[:, None]), ("acrt", acrt, draws @ slope.T)):
+            se = moved.std(axis=0, ddof=1)
+            critical = _sup_t(moved, se, band_level)
+            for i, d in enumerate(f.grid):
+                band = (None, None) if critical is None else (float(est[i] - critical * se[i]), float(est[i] + critical * se[i]))
+                rows.append((f.spec.name, what, i, float(d), float(est[i]), float(se[i]), float(est[i] - Z95 * se[i]),
+                             float(est[i] + Z95 * se[i]), critical, *band, None))
+    return spark.createDataFrame(rows, "spec string, parameter string, grid_index int, dose double, estimate double, std_error double, "
+                                 "ci_low double, ci_high double, critical_value double, band_low double, band_high double, reason string")
 
 
 def dose_overall(spark, fits: list[DoseFit]) -> DataFrame:
-    """Overall ATT and ACRT per specification."""
+    """Overall ATT and ACRT per specification; nulls and a reason where there is none."""
     rows = []
     for f in fits:
+        if isinstance(f, MissingFit):
+            rows.append((f.spec.name, *[None] * 6, f.reason))
+            continue
         post = f.event_time >= 0
         beta, draws = f.beta[:, post].mean(axis=1), f.beta_draws[:, :, post].mean(axis=2)
         att = f.basis_mean @ beta - f.base_mean[post].mean()
@@ -303,23 +329,25 @@ def dose_overall(spark, fits: list[DoseFit]) -> DataFrame:
         acrt = f.slope_mean @ beta
         acrt_draws = draws @ f.slope_mean + f.slope_draws[:, post].mean(axis=1)
         rows.append((f.spec.name, float(att), float(att_draws.std(ddof=1)), float(acrt),
-                     float(acrt_draws.std(ddof=1)), f.n_treated, f.n_control))
+                     float(acrt_draws.std(ddof=1)), f.n_treated, f.n_control, None))
     return spark.createDataFrame(rows, "spec string, att double, att_se double, acrt double, acrt_se double, "
-                                 "n_treated long, n_control long")
+                                 "n_treated long, n_control long, reason string")
 
 
 def dose_event_study(spark, fits: list[DoseFit], level: float = 0.95) -> DataFrame:
-    """Mean ACRT by relative period with simultaneous bands (sup-t over the draws)."""
+    """Mean ACRT by relative period with simultaneous bands (sup-t over the draws); a period without spread has no band."""
     rows = []
     for f in fits:
+        if isinstance(f, MissingFit):
+            rows.append((f.spec.name, *[None] * 6, f.reason))
+            continue
         estimate = f.slope_mean @ f.beta
         deviation = np.einsum("a,rat->rt", f.slope_mean, f.beta_draws) + f.slope_draws
         se = deviation.std(axis=0, ddof=1)
-        used = se > 1e-12
-        ratio = np.abs(deviation[:, used]) / se[used]
-        critical = float(np.quantile(ratio.max(axis=1), level)) if used.any() else float("nan")
-        for t in np.flatnonzero(used):
-            rows.append((f.spec.name, int(f.event_time[t]), float(estimate[t]), float(se[t]), critical,
-                         float(estimate[t] - critical * se[t]), float(estimate[t] + critical * se[t])))
+        critical = _sup_t(deviation, se, level)
+        for t in range(len(se)):
+            band = (None, None) if critical is None or se[t] <= 1e-12 else (
+                float(estimate[t] - critical * se[t]), float(estimate[t] + critical * se[t]))
+            rows.append((f.spec.name, int(f.event_time[t]), float(estimate[t]), float(se[t]), critical, *band, None))
     return spark.createDataFrame(rows, "spec string, event_time int, acrt double, std_error double, "
-                                 "critical_value double, band_low double, band_high double")
+                                 "critical_value double, band_low double, band_high double, reason string")

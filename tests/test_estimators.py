@@ -262,7 +262,7 @@ def test_dose_response_recovers_a_known_curve(spark):
     assert overall.att == pytest.approx(change[on].mean() - change[~on].mean())
     assert overall.acrt == pytest.approx(1 + 2 * d[on].mean(), abs=.1) and overall.att_se > 0
     events = {r.event_time: r for r in dose_did.dose_event_study(spark, fits).collect()}
-    assert set(events) == {-3, -2, -1, 0, 1, 2, 3}
+    assert set(events) == set(range(-4, 4)) and events[-4].band_low is None  # nothing comes before the first period
     assert abs(events[-2].acrt) < .2 and abs(events[2].acrt - (1 + 2 * d[on].mean())) < .2
     assert events[1].band_low < events[1].acrt < events[1].band_high and events[1].critical_value > 1.96
     table = dose_did.run_table(df, "u", "p", [spec], months[4]).first()
@@ -281,6 +281,20 @@ def test_dose_without_zero_units_uses_the_first_quartile(spark):
     assert all((r.d == 0 and r.g == 0) == (d[r.u] <= q25) for r in rows)
 
 
+def test_dose_specifications_that_cannot_be_estimated_tell_why(spark):
+    rng = np.random.default_rng(8)
+    months = months_from(2000, 8)
+    df = sdid_frame(spark, np.concatenate([np.zeros(6), 1 + rng.random(18)]), rng.normal(size=(24, 8)), months).withColumn("none", F.lit(None).cast("double"))
+    fits = dose_did.fit_doses(df, "u", "p", [dose_did.DoseSpec("ok", "y", "d"), dose_did.DoseSpec("bad", "y", "none")], months[5], draws=30)
+    overall = {r.spec: r for r in dose_did.dose_overall(spark, fits).collect()}
+    assert overall["ok"].att is not None and overall["ok"].reason is None and overall["bad"].att is None and "exposed" in overall["bad"].reason
+    curves = dose_did.dose_response(spark, fits)
+    inside = curves.where("spec = 'ok'").select(F.min((F.col("band_low") <= F.col("ci_low")).cast("int")), F.min("critical_value")).first()
+    assert inside[0] == 1 and inside[1] > 1.9 and curves.where("spec = 'bad'").count() == 1
+    events = dose_did.dose_event_study(spark, fits)
+    assert events.where("spec = 'ok'").count() == 8 and events.where("spec = 'ok' AND band_low IS NULL").count() >= 1
+
+
 def test_dose_must_be_constant(spark):
     df = spark.createDataFrame([(1, "2022-01", 1.0, 1.0), (1, "2022-02", 2.0, 1.0)], "u int, p string, d double, y double")
     with pytest.raises(ValueError, match="varies"):
