@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 from struct import pack, unpack
 
@@ -21,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .batches import fresh_name, slices, widened
+from .workers import held
 
 PIECES, STATES, PAIRS = 200_000, 220_000, 600_000  # entries of the memos: pieces (two generations), states, pairs of tokens
 PIECE_CHARS = 64  # longest piece that is remembered
@@ -262,10 +262,9 @@ class Codec:
         return "".join(self.decode_stream(packed))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process."""
-    return Codec(path, pattern)
+    """The worker's codec."""
+    return held((path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded",

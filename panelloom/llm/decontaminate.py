@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .batches import fresh_name, slices, widened
+from .workers import release
 
 #: Bytes of a word stay (A-Z in lower case), all others become spaces; bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -191,6 +192,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in slices(batches, text, slice_bytes):
                 yield from judged(batch, at, len(names), shared.value, schema.names)
 

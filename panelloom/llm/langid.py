@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from .batches import fresh_name, slices, widened
+from .workers import release
 
 UNKNOWN = "und"
 DIMENSIONS = 1 << 14
@@ -150,6 +151,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", slice_rows
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = shared.value
         for batch in slices(batches, text, 16 << 20):
             for start in range(0, batch.num_rows, slice_rows):

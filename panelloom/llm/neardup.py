@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 from .batches import slices
 from .components import connected_components
+from .workers import release
 
 SMALL = 12  # buckets up to this size are paired as rows
 BLOCK = 512  # documents of a block of a large bucket
@@ -90,6 +91,7 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
     shift = rng.integers(0, 1 << 63, chunks * width, dtype=np.uint64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, "text", 8 << 20):
             sizes, digests, made = [], [], []
             for value in batch.column(1).to_pylist():
@@ -146,6 +148,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
     sides = [texts.select(F.col("node").alias(end), F.col("text").alias(f"{end}_text")) for end in "ab"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         last, held = None, None
         for batch in batches:
             keep = []
@@ -216,6 +219,7 @@ def block_links(members: DataFrame, texts: DataFrame, settings: Settings) -> Dat
     rows = sides.join(home, "block").join(texts, "node").select("pair", "node", "component", "is_first", "alone", "text")
 
     def run(group: pa.Table) -> pa.Table:
+        release()
         sets = [shingles(t, settings.words) for t in group.column("text").to_pylist()]
         first = group.column("is_first").to_numpy(zero_copy_only=False)
         left = np.flatnonzero(first)

@@ -12,22 +12,21 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .batches import fresh_name, slices, widened
+from .workers import held
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """One tokenizer per worker process, single-threaded (Spark's tasks are the parallelism)."""
+    """The worker's tokenizer, single-threaded (Spark's tasks are the parallelism)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    return held(path, lambda: Tokenizer.from_file(path))
 
 
 def guard(path: str) -> int | None:
