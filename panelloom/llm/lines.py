@@ -124,7 +124,12 @@ def drop_repeated_lines(docs: DataFrame, batches: Iterable[DataFrame], least_doc
 
 
 def file_batches(table: DataFrame, count: int = 4) -> list[DataFrame]:
-    """A Parquet table as at most ``count`` batches of whole files, which together hold each row once."""
+    """A Parquet table as at most ``count`` batches of whole files, which together hold each row once.
+
+    Anything else (a table in memory, or one that is not all rows of its files) is one batch.
+    """
     files = sorted(table.inputFiles())
-    parts = [files[i::count] for i in range(count) if files[i::count]]
-    return [table.sparkSession.read.schema(table.schema).parquet(*part) for part in parts]
+    read = table.sparkSession.read.schema(table.schema).parquet
+    if not files or table.count() != read(*files).count():
+        return [table]
+    return [read(*files[i::count]) for i in range(count) if files[i::count]]

@@ -55,6 +55,15 @@ def test_lines_without_documents(spark):
     assert lines.drop_repeated_lines(frame, [frame]).collect() == [] and lines.drop_repeated_lines(frame, []).collect() == []
 
 
+def test_file_batches_hold_each_row_once(spark, tmp_path):
+    frame = spark.createDataFrame(line_docs(), "doc_id long, text string")
+    frame.repartition(6).write.parquet(f"{tmp_path}/docs")
+    table = spark.read.parquet(f"{tmp_path}/docs")
+    parts = lines.file_batches(table)
+    assert len(parts) == 4 and Counter(r.doc_id for p in parts for r in p.collect()) == Counter(r.doc_id for r in frame.collect())
+    assert len(lines.file_batches(frame)) == 1 and lines.file_batches(table.where("doc_id > 30"))[0].count() == frame.where("doc_id > 30").count()
+
+
 def test_lines_stay_in_the_jvm(spark):
     frame = spark.createDataFrame(line_docs(), "doc_id long, text string")
     for df in (lines.drop_repeated_lines(frame, [frame]), chat.rotate(dialogues(spark))):
