@@ -149,3 +149,18 @@ def op7_tokens(spark: SparkSession, folder: str) -> DataFrame:
     found = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
                         (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+ORACLES["op5_neardup"] = r"""
+WITH RECURSIVE plain AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents),
+words AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM plain),
+shingle AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN t ELSE w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] END AS s
+    FROM (SELECT *, unnest(range(greatest(1, len(w) - 2))) AS p FROM words WHERE t <> '')),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON r.other = e.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN size USING (doc_id)"""
