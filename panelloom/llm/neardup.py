@@ -243,7 +243,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     single = cut_lineage(usable.groupBy("doc_id").agg(F.min(F.struct("digest", "signature", "text_hash")).alias("own")).select("doc_id", "own.*"))
     classes = single.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("node"), "signature", "text_hash")).alias("own"))
     classes = cut_lineage(classes.select("digest", "own.*"))
-    every = cut_lineage(index_keys(classes, settings))
+    every = index_keys(classes, settings)  # made twice rather than written: it is larger than the classes it comes from
     stats = every.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut_lineage(every.join(stats, "key").select("key", "node", "pivot", "n").distinct())
     stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
