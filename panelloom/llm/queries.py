@@ -52,16 +52,28 @@ def op6_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def labelled(labels: DataFrame, bound: int = 12_000) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``bound`` labelled ids, by the hash of the id within each label, and how many there are of each label.
+
+    The rarer label comes whole up to half the bound; the other one fills the rest.
+    """
+    rows = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
+    sizes = {row.toxic: row.n for row in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    zeros, ones = sizes.get(0, 0), sizes.get(1, 0)
+    ones = min(ones, max(bound // 2, bound - zeros))
+    part = lambda toxic, n: rows.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    return part(0, min(zeros, bound - ones)).unionByName(part(1, ones)), sizes
+
+
 @query
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    """Toxicity of every document from labelled examples of four fifths of the ids (at most 12,000, by the hash of the id)."""
+    """Toxicity of every document from labelled examples of four fifths of the ids (at most 12,000, see ``labelled``)."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    chosen = table(spark, folder, "labels").where(~held_out & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct() \
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(12_000)
+    chosen, sizes = labelled(table(spark, folder, "labels").where(~held_out))
     examples = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("name"), "text", F.col("toxic").alias("label")) \
         .groupBy("name", "label").agg(F.min("text").alias("text"))
-    model = toxicity.fit(examples, bound=12_000)
+    model = toxicity.fit(examples, bound=12_000, of=sizes)
     return toxicity.score(docs.withColumn("held_out", held_out), model, evidence=False).select("doc_id", "held_out", "score", "predicted")
 
 

@@ -1,29 +1,37 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, found through a block-max inverted index.
-
-Terms are words and their beginnings, so that inflected and compounded words share terms.  Terms whose presence depends on the
-label (chi-square over the examples) are kept if they at least double the odds of a label.  The index holds postings of the examples in blocks, with each term's largest
-weight in each block; a text's neighbours are searched block by block in the order of the blocks' upper bounds, until no block
-can hold a nearer example.  Neighbours vote with their cosine; votes are calibrated on the examples, each voted on by the others.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine, found through a block-max index.
+
+Terms are words and their beginnings, so that inflected and compounded words share terms.  Every term of the examples counts; its
+inverse document frequency is multiplied by its correlation with the label (phi, which does not grow with the number of
+examples), so that telling terms outweigh a text's subject and language.  Examples lie in blocks of similar ones: terms that
+many examples have are columns of a matrix with each block's largest weights, all others are postings.  A block is passed over
+if its bound lies below the k-th cosine found; what is near the k-th is computed again in full precision.  Neighbours vote with their
+cosine; votes are calibrated on the examples, each voted on by the others.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .batches import fresh_name, slices, widened
 from .decontaminate import words
+from .langid import cluster
 
 BEGINNINGS = (4, 5, 6)  # bytes of a word that make terms besides the word itself
-BLOCK = 64
+BLOCK = 256
 BINS = 40
-LEAST_CHI2 = 30.0
+TOGETHER = 64  # texts that are searched for at a time
+COMMON = 20  # terms of one in so many examples are columns
 
 
 def terms(word: bytes) -> list[bytes]:
@@ -33,7 +41,7 @@ def terms(word: bytes) -> list[bytes]:
 class WordTerms(dict):
     """Word -> numbers of its kept terms; forgets everything when full."""
 
-    def __init__(self, vocabulary: dict[bytes, int], limit: int = 300_000):
+    def __init__(self, vocabulary: dict[bytes, int], limit: int = 150_000):
         super().__init__()
         self.vocabulary, self.limit = vocabulary, limit
 
@@ -47,82 +55,202 @@ class WordTerms(dict):
 
 
 class Vectors:
-    """Texts -> sparse normalised TF-IDF vectors: (term numbers, weights), or None without a kept term."""
+    """Texts -> sparse normalised TF-IDF vectors: (term numbers, weights), or None without a known term."""
 
-    def __init__(self, vocabulary: dict[bytes, int], idf: np.ndarray):
-        self.words, self.idf = WordTerms(vocabulary), idf
+    def __init__(self, vocabulary: dict[bytes, int], weight: np.ndarray):
+        self.words, self.weight = WordTerms(vocabulary), weight
 
-    def __call__(self, text: str | None):
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         hits = [t for found in filter(None, map(self.words.__getitem__, words(text))) for t in found]
-        if not hits:
-            return None
-        at, count = np.unique(np.array(hits), return_counts=True)
-        weight = (1 + np.log(count)) * self.idf[at]
+        return np.unique(np.array(hits, np.int32), return_counts=True)
+
+    def weighted(self, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = (1 + np.log(count)) * self.weight[at]
         return at, weight / np.sqrt((weight * weight).sum())
 
+    def __call__(self, text: str | None):
+        at, count = self.counted(text)
+        return self.weighted(at, count) if len(at) else None
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Differences by byte planes, which compress well."""
+    return zlib.compress(np.diff(numbers, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int32)
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for ``size[0]`` places, then those from begin[1], and so on."""
+    return np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+
 
 class BlockMaxIndex:
-    """Postings by term, cut at block borders, with the largest weight of every (term, block)."""
+    """Exact nearest neighbours among sparse vectors with positive weights; see the module's text."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
-        doc = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
-        weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
-        order = np.lexsort((doc, term))
-        term, self.doc, self.weight = term[order], doc[order], weight[order]
-        self.n_docs, self.n_blocks = len(vectors), -(-len(vectors) // BLOCK)
-        cell = term * self.n_blocks + self.doc // BLOCK
-        self.border = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
-        self.most = np.zeros(n_terms * self.n_blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, self.n_blocks)
+        self._fill(*(np.concatenate([v[i] for v in vectors] or [np.zeros(0)]).astype(kind) for i, kind in ((0, np.int32), (1, np.float64))),
+                   np.array([len(v[0]) for v in vectors], np.int64), n_terms)
+
+    @classmethod
+    def flat(cls, term: np.ndarray, weight: np.ndarray, size: np.ndarray, n_terms: int) -> BlockMaxIndex:
+        """The same of vectors that lie one after the other; no copy is made of them."""
+        made = cls.__new__(cls)
+        made._fill(term, weight, size, n_terms)
+        return made
+
+    def _fill(self, term: np.ndarray, weight: np.ndarray, size: np.ndarray, n_terms: int) -> None:
+        self.n_docs, self.n_terms, self.term, self.weight, self.size = len(size), n_terms, term, weight, size
+        self.begin = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
+        twins: dict[bytes, int] = {}
+        self.twin = np.array([twins.setdefault(blake2b(self.weight[a:b], digest_size=16, key=blake2b(self.term[a:b], digest_size=32).digest()).digest(), i)
+                              for i, (a, b) in enumerate(zip(self.begin, self.begin[1:]))], np.int64)
+        df = np.bincount(self.term, minlength=n_terms)
+        self.column = np.full(n_terms, -1, np.int32)
+        common = np.flatnonzero((df > 0) & (df * COMMON >= self.n_docs))
+        self.column[common] = np.arange(len(common))
+        self.n_columns = len(common)
+        self.order = self._alike(common[np.argsort(-df[common], kind="stable")[:512]], df)  # of the examples in the blocks
+        self._build()
+
+    def _alike(self, chosen: np.ndarray, df: np.ndarray) -> np.ndarray:
+        """An order in which examples that share their commonest terms lie together; it has no influence on results."""
+        if not len(chosen) or self.n_docs <= BLOCK:
+            return np.arange(self.n_docs)
+        column = np.full(self.n_terms, -1)
+        column[chosen] = np.arange(len(chosen))
+        data, idf = np.zeros((self.n_docs, len(chosen)), np.float32), np.log((1 + self.n_docs) / (1 + df[chosen]))
+        for i in range(self.n_docs):
+            own = column[self.vector(i)[0]]
+            own = own[own >= 0]
+            data[i, own] = idf[own]
+        data /= np.maximum(np.sqrt((data * data).sum(1, keepdims=True)), 1e-9)
+        return np.argsort((data @ cluster(data, 8, 6).T).argmax(1), kind="stable")
+
+    def _build(self) -> None:
+        place = np.empty(self.n_docs, np.int32)
+        place[self.order] = np.arange(self.n_docs)
+        self.matrix = np.zeros((self.n_docs, self.n_columns), np.float32)
+        for i in range(self.n_docs):
+            at, weight = self.vector(i)
+            own = self.column[at]
+            self.matrix[place[i], own[own >= 0]] = weight[own >= 0]
+        self.most = np.array([self.matrix[i:i + BLOCK].max(0) for i in range(0, self.n_docs, BLOCK)])
+        rare = np.flatnonzero(self.column[self.term] < 0).astype(np.int32)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.posting = np.searchsorted(self.term[rare], np.arange(self.n_terms + 1))
+        self.doc, self.part = np.repeat(place, self.size)[rare], self.weight[rare].astype(np.float32)
+
+    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.term[self.begin[i]:self.begin[i + 1]], self.weight[self.begin[i]:self.begin[i + 1]]
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k largest (cosine, example), ties to the smaller example; only examples with a term in common."""
-        bound = weight @ self.most[at]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] + 1e-9 < -best[-1][0]:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(at.tolist(), weight.tolist()):
-                cell = t * self.n_blocks + block
-                a, b = self.border[cell], self.border[cell + 1]
-                if b > a:
-                    score[self.doc[a:b] - block * BLOCK] += w * self.weight[a:b]
-            score = np.round(score, 12)  # equal cosines are ties, whatever the order of their sums
-            use = np.flatnonzero(score > 0)
-            if len(best) == k:
-                use = use[score[use] >= -best[-1][0]]
-            best += [(-s, block * BLOCK + i) for s, i in zip(score[use].tolist(), use.tolist()) if block * BLOCK + i != without]
-            best.sort()
-            del best[k:]
-        return [(-s, i) for s, i in best]
+        return self.search([(at, weight)], k, [without])[0]
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[list[tuple[float, int]]]:
+        """``nearest`` of several vectors at once."""
+        if not self.n_docs or not vectors:
+            return [[] for _ in vectors]
+        rows = np.arange(len(vectors))
+        query = np.zeros((len(vectors), self.n_columns), np.float32)
+        score = np.zeros((len(vectors), self.n_docs), np.float32)
+        for i, (at, weight) in enumerate(vectors):
+            own = self.column[at]
+            query[i, own[own >= 0]] = weight[own >= 0]
+            rare, weight = at[own < 0], weight[own < 0].astype(np.float32)
+            size = self.posting[rare + 1] - self.posting[rare]
+            use = ranges(self.posting[rare], size)
+            score[i] = np.bincount(self.doc[use], self.part[use] * np.repeat(weight, size), minlength=self.n_docs)
+        slack = (self.n_columns + 16) * 2.0**-23  # more than single precision can be off
+        bound = (query @ self.most.T + np.maximum.reduceat(score, np.arange(0, self.n_docs, BLOCK), axis=1)) * (1 + slack)
+        rank = np.empty(bound.shape, np.int64)
+        np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(bound.shape[1])[None, :], 1)
+        found = np.full(score.shape, -1, np.float32)
+        left_out = np.array(without)
+        place = np.argsort(self.order)[left_out]
+        kth = np.full(len(vectors), -1.0)
+        for first, last in ((0, 1), (1, 4), (4, bound.shape[1])):
+            wanted = (rank >= first) & (rank < last) & (bound > 0) & (bound >= kth[:, None] - slack)
+            for block in np.flatnonzero(wanted.any(0)).tolist():
+                use, span = np.flatnonzero(wanted[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+                found[use, span] = score[use, span] + query[use] @ self.matrix[span].T
+            found[rows[left_out >= 0], place[left_out >= 0]] = -1
+            if self.n_docs > k:
+                kth = np.partition(found, self.n_docs - k, axis=1)[:, self.n_docs - k].astype(float)
+        made, dense = [], np.zeros(self.n_terms)
+        for i, (at, weight) in enumerate(vectors):
+            near = self.order[np.flatnonzero((found[i] > 0) & (found[i] >= kth[i] - 2 * slack))]
+            if not len(near):
+                made.append([])
+                continue
+            only, back = np.unique(self.twin[near], return_inverse=True)  # equal examples are computed once
+            use = ranges(self.begin[only], self.size[only])
+            dense[at] = weight
+            exact = np.add.reduceat(dense[self.term[use]] * self.weight[use], np.concatenate([[0], np.cumsum(self.size[only])[:-1]]))
+            dense[at] = 0
+            exact = np.round(exact, 12)[back]  # equal cosines are ties, whatever the order of their sums
+            near, exact = near[exact > 0], exact[exact > 0]
+            by = np.lexsort((near, -exact))[:k]
+            made.append(list(zip(exact[by].tolist(), near[by].tolist())))
+        return made
 
 
 @dataclass
-class Model:
-    """Bounded by the number of examples."""
+class Examples:
+    """Bounded by the number of examples and their distinct terms; broadcast once, for calibration and scores.  Travels as packed
+    term counts; each process makes the index of them when it is first asked."""
 
     vectors: Vectors
-    index: BlockMaxIndex
+    size: np.ndarray  # distinct terms of every example
+    term: bytes
+    count: bytes
     labels: np.ndarray
     names: list
     k: int
-    base: float  # share of label 1 among examples without a kept term
-    levels: np.ndarray | None = None  # calibrated score of each vote bin
 
-    def vote(self, vector, without: int = -1) -> tuple[float | None, list[tuple[float, int]]]:
-        near = self.index.nearest(*vector, self.k, without) if vector is not None else []
-        total = sum(s for s, _ in near)
-        return (sum(s * self.labels[i] for s, i in near) / total if total else None), near
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        term, count, begin = unpacked(self.term), unpacked(self.count), np.concatenate([[0], np.cumsum(self.size)])
+        weight = np.empty(len(term))
+        for a, b in zip(begin.tolist(), begin[1:].tolist()):
+            weight[a:b] = self.vectors.weighted(term[a:b], count[a:b])[1]
+        del count
+        return BlockMaxIndex.flat(term, weight, self.size, len(self.vectors.weight))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
+
+    def votes(self, vectors: list, without: list[int] | None = None) -> Iterator[tuple[float | None, list[tuple[float, int]]]]:
+        """Vote and nearest examples of every vector (None: no vote)."""
+        for start in range(0, len(vectors), TOGETHER):
+            part = vectors[start:start + TOGETHER]
+            use = [i for i, v in enumerate(part) if v is not None]
+            found = self.index.search([part[i] for i in use], self.k, [without[start + i] if without else -1 for i in use])
+            near: list[list[tuple[float, int]]] = [[] for _ in part]
+            for i, own in zip(use, found):
+                near[i] = own
+            for own in near:
+                total = sum(s for s, _ in own)
+                yield (sum(s * self.labels[i] for s, i in own) / total if total else None), own
+
+
+@dataclass
+class Model:
+    shared: Broadcast  # Examples
+    base: float  # share of label 1 among examples without a term
+    levels: np.ndarray  # calibrated score of each vote bin
 
     def score(self, vote: float | None) -> float:
         return self.base if vote is None else float(self.levels[min(BINS - 1, int(vote * BINS))])
 
 
-def _selected(examples: DataFrame, least: float) -> tuple[dict[bytes, int], np.ndarray]:
-    """Terms that depend on the label, with their inverse document frequencies."""
+def _weighted(examples: DataFrame, sizes: dict[int, int], least: float) -> tuple[dict[bytes, int], np.ndarray]:
+    """All terms (with a chi-square of at least ``least``), and their inverse document frequencies times their correlation with the
+    label.  With one label only there is nothing to tell apart, and no term."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
@@ -133,65 +261,78 @@ def _selected(examples: DataFrame, least: float) -> tuple[dict[bytes, int], np.n
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([found[0][t] for t in keys], pa.int64()),
                                               pa.array([found[1][t] for t in keys], pa.int64())], names=["term", "zero", "one"])
 
-    sizes = {row.label: row.n for row in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not (n0 and n1):
+        return {}, np.zeros(0)
     n = n0 + n1
-    counted = examples.mapInArrow(count, "term binary, zero long, one long").groupBy("term").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
-    df, cross = F.col("zero") + F.col("one"), (F.col("one") * n0 - F.col("zero") * n1).cast("double")
-    chi2 = n * cross * cross / (F.lit(float(max(1, n0)) * max(1, n1)) * df * F.greatest(F.lit(1), n - df))
-    odds = (F.col("one") + 0.5) / (F.col("zero") + 0.5) * ((n0 + 0.5) / (n1 + 0.5))
-    telling = (odds >= 2) | (odds <= 0.5)
-    kept = counted.where(df >= 5).where((chi2 >= least) & telling).select("term", df.alias("df")).collect() if n0 and n1 else []
-    kept.sort(key=lambda row: bytes(row.term))
-    return {bytes(row.term): i for i, row in enumerate(kept)}, np.array([np.log((1 + n) / (1 + row.df)) + 0.1 for row in kept])
+    found = examples.mapInArrow(count, "term binary, zero long, one long").groupBy("term") \
+        .agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toArrow().sort_by("term")
+    zero, one = (found.column(c).to_numpy().astype(np.float64) for c in ("zero", "one"))
+    df = zero + one
+    phi = np.abs(one * n0 - zero * n1) / np.sqrt(float(n0) * n1 * df * np.maximum(1, n - df))
+    kept = (n * phi * phi >= least) & (phi > 0)
+    names = found.column("term").filter(pa.array(kept)).to_pylist()
+    return {t: i for i, t in enumerate(names)}, ((np.log((1 + n) / (1 + df)) + 0.1) * phi)[kept]
 
 
 def fit(examples: DataFrame, bound: int = 12_000, k: int = 15, text: str = "text", label: str = "label", name: str = "name",
-        least_chi2: float = LEAST_CHI2) -> Model | None:
-    """Index of at most ``bound`` labelled rows (the caller bounds them; more is an error).  None without examples."""
+        least_chi2: float = 0.0, of: dict[int, int] | None = None) -> Model | None:
+    """Index of at most ``bound`` labelled rows (the caller bounds them; more is an error).  None without examples.
+
+    ``of`` says how many labelled rows of each label there are, if the examples are not an even sample of them; scores are
+    calibrated to those shares.
+    """
     rows = cut_lineage(examples.select(F.col(name).alias("name"), F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
                        .where("label in (0, 1)"))
-    if (n := rows.count()) > bound:
+    sizes = {row.label: row.n for row in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(sizes.values())
+    if n > bound:
         raise ValueError(f"{n} examples; the bound is {bound}")
     if not n:
         return None
-    vocabulary, idf = _selected(rows, least_chi2)
+    vocabulary, weight = _weighted(rows, sizes, least_chi2)
 
     def sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vectors(vocabulary, idf)
+        own = Vectors(vocabulary, weight)
         for batch in slices(batches, "text", 8 << 20):
-            made = [own(t) or (np.zeros(0, np.int64), np.zeros(0)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("label"), pa.array([m[0].tolist() for m in made], pa.list_(pa.int64())),
-                                              pa.array([m[1].tolist() for m in made], pa.list_(pa.float64()))], names=["name", "label", "at", "weight"])
+            made = [own.counted(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("label"), *(pa.array([m[i].astype("<i4").tobytes() for m in made], pa.binary())
+                                              for i in (0, 1))], names=["name", "label", "at", "count"])
 
     kind = rows.schema["name"].dataType.simpleString()
-    found = rows.mapInArrow(sparse, f"name {kind}, label int, at array<long>, weight array<double>").collect()  # at most `bound` rows
-    bare = [row.label for row in found if not row.at]
-    held = sorted((row for row in found if row.at), key=lambda row: (row.at[int(np.argmax(row.weight))], row.label, row.name is None, row.name))
-    vectors = [(np.array(row.at), np.array(row.weight)) for row in held]
-    share = sum(row.label for row in found) / n
-    model = Model(Vectors(vocabulary, idf), BlockMaxIndex(vectors, len(vocabulary)), np.array([row.label for row in held], np.float64),
-                  [row.name for row in held], k, (sum(bare) + share) / (len(bare) + 1))
-    model.levels = calibrated(rows.sparkSession, model, vectors)
-    return model
-
-
-def calibrated(spark, model: Model, vectors: list) -> np.ndarray:
+    found = rows.mapInArrow(sparse, f"name {kind}, label int, at binary, count binary").toArrow()  # at most `bound` rows
+    names, labels = found.column("name").to_pylist(), found.column("label").to_pylist()
+    at, count = ([np.frombuffer(v.as_buffer(), "<i4") for v in found.column(c)] for c in ("at", "count"))  # no copies
+    bare = [labels[i] for i in range(n) if not len(at[i])]
+    held = sorted((i for i in range(n) if len(at[i])), key=lambda i: (names[i] is None, names[i], labels[i]))
+    flat = [packed(np.concatenate([part[i] for i in held] or [np.zeros(0, np.int32)])) for part in (at, count)]
+    size = np.array([len(at[i]) for i in held], np.int64)
+    del found, at, count
+    pa.default_memory_pool().release_unused()
+    whole = {side: max(size, (of or sizes).get(side, size)) for side, size in sizes.items()}
+    each = {side: whole[side] / size * n / sum(whole.values()) for side, size in sizes.items()}  # what an example stands for
+    share = sum(each[side] for side in labels if side) / n
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(Examples(Vectors(vocabulary, weight), size, *flat, np.array([labels[i] for i in held], np.float64),
+                                                    [names[i] for i in held], k))
+    return Model(shared, (sum(each[side] for side in bare if side) + share) / (sum(each[side] for side in bare) + 1), calibrated(spark, shared, len(held), each))
+
+
+def calibrated(spark, shared: Broadcast, n: int, each: dict[int, float]) -> np.ndarray:
     """Share of label 1 by vote, each example voted on by the others, made monotone by pooling neighbouring bins."""
-    shared = spark.sparkContext.broadcast((model, vectors))
 
     def votes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, data = shared.value
+        own = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            made = [own.vote(data[i], without=i)[0] for i in ids]
+            made = [vote for vote, _ in own.votes([own.index.vector(i) for i in ids], ids)]
             yield pa.RecordBatch.from_arrays([pa.array([-1 if v is None else min(BINS - 1, int(v * BINS)) for v in made], pa.int32()),
-                                              pa.array([float(own.labels[i]) for i in ids])], names=["bin", "label"])
+                                              pa.array([int(own.labels[i]) for i in ids], pa.int32())], names=["bin", "label"])
 
     total, ones = np.zeros(BINS), np.zeros(BINS)
-    for row in spark.range(len(vectors)).mapInArrow(votes, "bin int, label double").where("bin >= 0").groupBy("bin").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).collect():
-        total[row.bin], ones[row.bin] = row.n, row.ones
+    for row in spark.range(n).mapInArrow(votes, "bin int, label int").where("bin >= 0").groupBy("bin", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        total[row.bin] += row.n * each[row.label]
+        ones[row.bin] += row.n * each[row.label] * row.label
     middle = (np.arange(BINS) + 0.5) / BINS
     pools: list[list[float]] = []  # ones, total, bins; two imagined examples at the middle of each bin
     for o, t, m in zip(ones, total, middle):
@@ -205,7 +346,7 @@ def calibrated(spark, model: Model, vectors: list) -> np.ndarray:
 def score(docs: DataFrame, model: Model | None, text: str = "text", evidence: bool = True, slice_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with score, predicted and, if asked for, evidence (names, labels and cosines of the nearest examples).
 
-    Whole texts, no shuffle.  Null and empty texts and texts without a kept term get the share of label 1 among the examples
+    Whole texts, no shuffle.  Null and empty texts and texts without a term of the examples get the share of label 1 among the examples
     without one; without a model all scores are 0.  Taken column names get underscores.
     """
     names = list(docs.columns)
@@ -213,16 +354,15 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", evidence: bo
     for wanted in ("score", "predicted") + ("evidence",) * evidence:
         new.append(fresh_name([*names, *new], wanted))
     at = names.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     proof = pa.list_(pa.struct([("name", pa.string()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = model.shared.value if model else None
         for batch in slices(batches, text, slice_bytes):
             scores, proofs = [], []
-            for value in batch.column(at).to_pylist():
-                vote, near = own.vote(own.vectors(value)) if own else (None, [])
-                scores.append(own.score(vote) if own else 0.0)
+            texts = batch.column(at).to_pylist()
+            for vote, near in own.votes([own.vectors(t) for t in texts]) if own else ((None, []) for _ in texts):
+                scores.append(model.score(vote) if own else 0.0)
                 proofs.append([{"name": str(own.names[i]), "label": int(own.labels[i]), "cosine": s} for s, i in near] if evidence else None)
             made = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made] + [pa.array(proofs, proof)] * evidence, names=[*names, *new])

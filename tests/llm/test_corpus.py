@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelloom.llm import bpe, chat, components, langid, lines, neardup, toxicity
+from panelloom.llm import queries as llm_queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -219,6 +220,48 @@ def test_block_max_search_equals_brute_force():
         assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [-s for s, _ in want])
 
 
+def test_toxicity_of_few_examples_with_default_settings(spark):
+    rnd = random.Random(5)
+    marked = [f"slur{i}" for i in range(8)]  # each in at most four examples
+    rows = [(i, " ".join([f"w{rnd.randint(0, 40)}" for _ in range(12)] + [marked[(i + j) % 8] for j in range(3) if i % 4 == 0]), int(i % 4 == 0)) for i in range(40)]
+    model = toxicity.fit(spark.createDataFrame(rows, "name long, text string, label int"))
+    docs = spark.createDataFrame([(i, f"w1 w2 w3 {w} {marked[i - 1]} w5") for i, w in enumerate(marked)] + [(100, "w1 w2 w3 w4 w5"), (101, "w7 w8 w9 w10")], "name long, text string")
+    got = {r.name: r for r in toxicity.score(docs, model).collect()}
+    assert all(got[i].predicted == 1 for i in range(8)) and got[100].predicted == got[101].predicted == 0
+    assert all(len(r.evidence) > 0 for r in got.values())  # every text with a term has neighbours
+
+
+def test_labelled_sample_holds_the_rare_label_whole(spark):
+    rows = [(i, int(i % 20 == 0)) for i in range(100)] + [(3, 0), (7, None), (8, 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, toxic int")
+    chosen, sizes = llm_queries.labelled(frame, bound=12)
+    got = [tuple(r) for r in chosen.collect()]
+    assert sizes == {0: 95, 1: 5} and len(set(got)) == len(got) == 12
+    assert {d for d, toxic in got if toxic} == {0, 20, 40, 60, 80}
+    chosen, _ = llm_queries.labelled(frame, bound=6)  # neither label gets less than it can
+    assert sorted(r.toxic for r in chosen.collect()) == [0, 0, 0, 1, 1, 1]
+    assert sorted(tuple(r) for r in llm_queries.labelled(frame, bound=500)[0].collect()) == sorted({r for r in rows if r[1] in (0, 1)})
+
+
+def test_block_max_search_with_rare_and_common_terms():
+    rng = np.random.default_rng(8)
+    vectors = []
+    for i in range(900):
+        at = np.unique(np.concatenate([i % 3 * 30 + rng.integers(0, 30, 8), rng.integers(90, 3000, 12)]))
+        weight = rng.random(len(at)) + 0.01
+        vectors.append((at, weight / np.sqrt((weight**2).sum())) if i % 10 else vectors[i - 1] if i else (at, weight / np.sqrt((weight**2).sum())))
+    index = toxicity.BlockMaxIndex(vectors, 3001)
+    assert 0 < index.n_columns < 3000 and index.n_docs > 3 * toxicity.BLOCK
+    dense = np.zeros((900, 3001))
+    for i, (at, weight) in enumerate(vectors):
+        dense[i, at] = weight
+    odd = [(np.array([3000]), np.array([1.0])), (np.array([0]), np.array([1.0]))]
+    asked, without = vectors[:200] + odd, list(range(200)) + [-1, -1]
+    for (at, weight), own, got in zip(asked, without, index.search(asked, 10, without)):
+        want = sorted((-round(float(s), 12), i) for i, s in enumerate(dense[:, at] @ weight) if s > 1e-15 and i != own)[:10]
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [-s for s, _ in want])
+
+
 def test_toxicity_without_examples(spark):
     frame = spark.createDataFrame([(1, "a", None)], "name long, text string, label int")
     assert toxicity.fit(frame) is None
