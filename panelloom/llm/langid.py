@@ -91,8 +91,8 @@ def cluster(data: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(labelled: DataFrame, sample_key: Column, text: str = "text", lang: str = "lang", per_language: int = 800,
         clusters: int = 4, reject_below: float = 0.5, languages: int = 1_000) -> Model | None:
-    """Learn centroids from about ``per_language`` rows of each of the ``languages`` most frequent languages, taken by the hash
-    of ``sample_key``.
+    """Learn centroids from about ``per_language`` rows of every language, taken by the hash of ``sample_key``.  More languages
+    than ``languages`` would exceed the model's bound, and are an error.
 
     The sample's bounds are these parameters; everything else of the operator covers all rows.  None if nothing can be learned.
     """
@@ -100,7 +100,9 @@ def fit(labelled: DataFrame, sample_key: Column, text: str = "text", lang: str =
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.pmod(F.xxhash64(sample_key), F.lit(1 << 30)).alias("draw")) \
         .where("lang is not null and text is not null")
     sizes = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")) \
-        .orderBy(F.desc("n"), "lang").limit(languages).collect()
+        .limit(languages + 1).collect()
+    if len(sizes) > languages:
+        raise ValueError(f"more than {languages} languages; the bound is {languages}")
     if not sizes:
         return None
     rates = spark.createDataFrame([(row.lang, min(1 << 30, (per_language << 30) // row.n)) for row in sizes], "lang string, rate long")

@@ -164,6 +164,13 @@ def test_language_id(spark):
     assert same == {i: v[0] for i, v in got.items()}  # the language column is no input
 
 
+def test_language_id_drops_no_language(spark):
+    frame = spark.createDataFrame([(i, f"some text of language {i}", f"l{i // 2}") for i in range(6)], "doc_id long, text string, lang string")
+    assert set(langid.fit(frame, F.col("doc_id"), languages=3).languages) == {"l0", "l1", "l2"}
+    with pytest.raises(ValueError):
+        langid.fit(frame, F.col("doc_id"), languages=2)
+
+
 def test_language_id_without_training_rows(spark):
     frame = spark.createDataFrame([(1, "text", None), (2, None, "en"), (3, "12", "en")], "doc_id long, text string, lang string")
     for rows in (frame, frame.limit(0)):
