@@ -56,3 +56,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Intermediate tables of one job, as Parquet in a folder of their own below the shared one.
+
+    ``keep`` writes a table and reads it back, so a lost executor costs no more than what has run since; ``drop`` deletes tables
+    nothing reads any more, ``close`` the whole folder.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self._taken = spark, new_scratch(spark, label), 0
+
+    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
+        self._taken += 1
+        path = f"{self.folder}/{self._taken}-{name}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        kept._scratch_path = path
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            remove_folder(self.spark, table._scratch_path)
+
+    def close(self) -> None:
+        remove_folder(self.spark, self.folder)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system its path names; one that is gone already is no error."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
