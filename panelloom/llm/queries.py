@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, html, importance, langid, lines, neardup, tokencount, topk, toxicity
+from . import bpe, chat, decontaminate, html, importance, langid, lines, neardup, substrings, tokencount, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -207,3 +207,25 @@ scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_feature
 final AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM scored),
 placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM final WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM final LEFT JOIN placed USING (doc_id)"""
+
+
+@query
+def op12_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 50 words that a document with a smaller id has, removed from every document."""
+    found = substrings.repeated_passages(table(spark, folder, "documents"), words=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op12_substrings"] = r"""
+WITH d AS (SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(len(w) - 49)) AS p FROM d WHERE len(w) >= 50),
+win AS (SELECT doc_id, p, w[p + 1:p + 50] AS win FROM starts),
+first AS (SELECT win, min(doc_id) AS first FROM win GROUP BY win HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, p FROM win JOIN first USING (win) WHERE doc_id > first),
+covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM gone),
+lost AS (SELECT doc_id, count(*) AS n, list(q) AS places FROM covered GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS q FROM d JOIN lost USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS t FROM word LEFT JOIN covered USING (doc_id, q) WHERE covered.q IS NULL GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+    sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""

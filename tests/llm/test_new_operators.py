@@ -10,7 +10,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.llm import importance
+from panelloom.llm import importance, substrings
 
 DOCS = "doc_id long, text string"
 
@@ -72,3 +72,69 @@ def test_pieces_of_a_long_text_hold_every_word_once(monkeypatch):
     splitter = importance.Splitter()
     assert [w for part in splitter.words(text) for w, (a, b) in part if text[a:b] == w] == brute.WORD.findall(text)
     assert sorted(splitter.features(text, 3)[1].tolist()) == sorted(zlib.crc32(f.encode()) for f in plain_features(text, 3)[1])
+
+
+# substring removal ---------------------------------------------------------------------------------------------------
+
+def passage_docs(words):
+    rnd = random.Random(12)
+    pool = [f"w{i}" for i in range(300)] + ["Ä", "W1"]
+    base = [rnd.choice(pool) for _ in range(6 * words)]
+    docs = []
+    for i in range(60):
+        own = [rnd.choice(pool) for _ in range(rnd.randint(0, 3 * words))]
+        for _ in range(rnd.randint(0, 3)):  # passages around the limit, at any offset
+            at, size, to = rnd.randrange(len(base)), rnd.choice([words - 1, words, words + 1, 2 * words]), rnd.randint(0, len(own))
+            own[to:to] = base[at:at + size]
+        docs.append((i, rnd.choice([" ", "\n", " \t"]).join(own)))
+    rnd.shuffle(docs)
+    docs += [(100 + i, docs[i % 3][1]) for i in range(9)]
+    docs += [(200, None), (201, ""), (None, docs[0][1]), (202, "loop " * (3 * words)), (203, "loop " * (words + 5)), (204, "x" * 100_000 + " loop" * words)]
+    return docs + [(3, docs[5][1]), (3, docs[6][1]), (50, docs[4][1]), (50, docs[4][1])]
+
+
+def plain_passages(docs, words):
+    split = [(name, (text or "").encode().split()) for name, text in docs]
+    least = {}
+    for name, own in split:
+        for p in range(len(own) - words + 1):
+            if name is not None:
+                key = tuple(own[p:p + words])
+                least[key] = min(least.get(key, name), name)
+    out = []
+    for name, own in split:
+        gone = set()
+        for p in range(len(own) - words + 1):
+            if name is not None and least[tuple(own[p:p + words])] < name:
+                gone.update(range(p, p + words))
+        kept = [w for i, w in enumerate(own) if i not in gone]
+        out.append((name, len(own), len(gone), brute.sha(b" ".join(kept))))
+    return out
+
+
+def test_cover_meets_every_shift():
+    for words in (1, 2, 5, 13, 50, 77):
+        period, cover = substrings.plan(words)
+        assert 1 <= words - period + 1
+        for p in range(period):
+            for q in range(period):
+                assert any((p + k) % period in cover and (q + k) % period in cover for k in range(period))
+    assert substrings.plan(50)[0] == 31 and len(substrings.plan(50)[1]) == 6
+
+
+@pytest.mark.parametrize("words, parts", [(50, 1), (50, 7), (13, 4), (1, 2)])
+def test_passages_equal_brute_force(spark, words, parts):
+    docs = passage_docs(words)
+    frame = spark.createDataFrame(docs, DOCS).withColumns({"HASH": F.lit(1), "row": F.lit("mine"), "spans": F.lit(2)}).repartition(parts)
+    found = substrings.repeated_passages(frame, words)
+    rows = found.collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows) == Counter(plain_passages(docs, words))
+    assert all(sum(s.end - s.begin for s in r.spans) == r.n_removed for r in rows)
+    texts = substrings.without_passages(frame, found.dropDuplicates(["doc_id", "text_key"]))
+    assert texts.columns == frame.columns
+    want = Counter((name, sha) for name, _, _, sha in plain_passages(docs, words))
+    assert Counter((r.doc_id, brute.sha(b" ".join((r.text or "").encode().split()))) for r in texts.collect()) == want
+
+
+def test_passages_without_documents(spark):
+    assert substrings.repeated_passages(spark.createDataFrame([], DOCS)).collect() == []
