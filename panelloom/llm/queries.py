@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontaminate, html, importance, langid, lines, neardup, substrings, tokencount, topk, toxicity
+from . import bpe, centroids, chat, decontaminate, html, importance, langid, lines, neardup, substrings, tokencount, topk, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -229,3 +229,33 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS t FROM word LEFT JOIN c
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
     sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256
 FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """16 clusters of all embeddings after three rounds, with inertia."""
+    found, final = centroids.cluster(table(spark, folder, "embeddings"), centroids.Settings())
+    return centroids.with_inertia(found.drop("compared"), final)
+
+
+def _centroid_rounds(rounds: int) -> str:
+    """The SQL of ``rounds`` rounds: a table c<r> of centroids (cluster, c) and a table a<r> of assignments to them."""
+    steps = []
+    for r in range(rounds + 1):
+        if r:
+            steps.append(f"""m{r} AS (SELECT cluster, list(m ORDER BY i) AS c FROM (SELECT cluster, i, floor(sum(x) / count(*))::DOUBLE AS m
+    FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{r - 1}) GROUP BY cluster, i) GROUP BY cluster),
+c{r} AS (SELECT cluster, coalesce(m{r}.c, c{r - 1}.c) AS c FROM c{r - 1} LEFT JOIN m{r} USING (cluster))""")
+        steps.append(f"""a{r} AS (SELECT row_id, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(distance, cluster)).cluster AS cluster,
+    min(distance) AS distance FROM (SELECT row_id, vec_id, v, cluster, (list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c))::BIGINT AS distance
+    FROM kept JOIN c{r} ON true) GROUP BY row_id)""")
+    return ",\n".join(steps)
+
+
+ORACLES["op13_centroids"] = f"""
+WITH kept AS (SELECT row_number() OVER () AS row_id, vec_id, [floor(64 * x::DOUBLE)::DOUBLE FOR x IN embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS (SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS cluster, v AS c FROM (SELECT v, sha256('1:' || vec_id) AS h FROM kept ORDER BY h, v LIMIT 16)),
+{_centroid_rounds(3)}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string([x::BIGINT FOR x IN c], ',')) AS centroid_sha256 FROM a3 JOIN c3 USING (cluster)"""

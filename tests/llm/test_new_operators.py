@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.llm import importance, substrings
+from panelloom.llm import centroids, importance, substrings
 
 DOCS = "doc_id long, text string"
 
@@ -138,3 +139,68 @@ def test_passages_equal_brute_force(spark, words, parts):
 
 def test_passages_without_documents(spark):
     assert substrings.repeated_passages(spark.createDataFrame([], DOCS)).collect() == []
+
+
+# centroid clustering -------------------------------------------------------------------------------------------------
+
+VECTORS = "vec_id long, embedding array<double>"
+
+
+def clustered_vectors(dim, n=400, middles=12, spread=0.02):
+    rnd = np.random.default_rng(13)
+    middle = rnd.normal(size=(middles, dim))
+    rows = [(i, (middle[rnd.integers(middles)] + spread * rnd.normal(size=dim)).tolist()) for i in range(n)]
+    rows += [(1000 + i, rows[7][1]) for i in range(150)] + [rows[3], (3, rows[4][1])]  # copies, a repeated row, a repeated id
+    return rows + [(None, rows[0][1]), (2000, None), (2001, []), (2002, rows[0][1][1:]), (2003, [float("nan")] * dim), (2004, [None] * dim),
+                   (2005, [float("inf")] * dim)]
+
+
+def plain_clusters(rows, s):
+    kept = [(i, [math.floor(s.scale * x) for x in v]) for i, v in rows
+            if i is not None and v is not None and len(v) == s.dim and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted((hashlib.sha256(f"{s.seed}:{i}".encode()).hexdigest(), v) for i, v in kept)
+    middle = [v for _, v in order[:s.k]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(middle))
+    for _ in range(s.rounds):
+        own = [near(v)[1] for _, v in kept]
+        for j in range(len(middle)):
+            if mine := [v for (_, v), c in zip(kept, own) if c == j]:
+                middle[j] = [sum(x) // len(mine) for x in zip(*mine)]
+    found = [(i, near(v)[1], near(v)[0]) for i, v in kept]
+    each = Counter()
+    for _, c, d in found:
+        each[c] += d
+    return Counter((i, c, d, each[c], sum(each.values()), hashlib.sha256(",".join(map(str, middle[c])).encode()).hexdigest()) for i, c, d in found)
+
+
+@pytest.mark.parametrize("dim, k, scale, parts", [(64, 16, 64, 3), (3, 5, 1000, 1), (2, 700, 8, 2), (3, 4, 2e9, 2)])
+def test_clusters_equal_brute_force(spark, dim, k, scale, parts):
+    rows, settings = clustered_vectors(dim), centroids.Settings(k=k, dim=dim, scale=scale, block=16)
+    frame = spark.createDataFrame(rows, VECTORS).withColumns({"CLUSTER": F.lit("mine"), "place": F.lit(1)}).repartition(parts)
+    found, final = centroids.cluster(frame, settings)
+    want = plain_clusters(rows, settings)
+    if scale > 1e9:  # distances that no long holds are null
+        assert Counter(r.cluster for r in found.collect()) == Counter(c for _, c, *_ in want.elements())
+    else:
+        assert Counter(map(tuple, centroids.with_inertia(found.drop("compared"), final).collect())) == want
+
+
+def test_boxes_leave_few_candidates(spark):
+    frame = spark.createDataFrame(clustered_vectors(64, n=3000, middles=40), VECTORS)
+    found, _ = centroids.cluster(frame, centroids.Settings(block=16))
+    assert found.agg(F.avg("compared")).first()[0] < 6  # of 16
+
+
+def test_clusters_of_odd_tables(spark):
+    for rows in ([], [(1, None)], [(None, [1.0] * 64)]):
+        found, final = centroids.cluster(spark.createDataFrame(rows, VECTORS))
+        assert centroids.with_inertia(found.drop("compared"), final).collect() == []
+    found, final = centroids.cluster(spark.createDataFrame([(5, [0.5] * 64)], VECTORS))
+    assert [(r.cluster, r.distance, r.inertia) for r in centroids.with_inertia(found, final).collect()] == [(0, 0, 0)]
+
+
+def test_hilbert_keys_visit_neighbours():
+    cells = np.array([[x, y] for x in range(16) for y in range(16)])
+    keys = centroids.hilbert_keys(cells, 4)
+    path = cells[sorted(range(256), key=lambda i: keys[i])]
+    assert len(set(keys)) == 256 and (abs(np.diff(path, axis=0)).sum(1) == 1).all()
