@@ -105,7 +105,7 @@ def store_exposure(built: Exposure, root: str, embedding_model: str, translation
     stamped = lambda df: store.stamp(df, embedding_model, translation_model, model_sha256)
     tables = {"occupations": (built.occupations.withColumnRenamed("OCUP1", "ocup1"), store.OCCUPATION_SCHEMA, store.OCCUPATION_KEY),
               "industries": (built.industries, store.INDUSTRY_SCHEMA, store.INDUSTRY_KEY)}
-    versions = {name: store.SnapshotTable(spark, f"{root}/{name}", schema, keys).upsert(stamped(df)) for name, (df, schema, keys) in tables.items()}
+    versions = {name: store.KeyedTable(spark, f"{root}/{name}", schema, keys).upsert(stamped(df)) for name, (df, schema, keys) in tables.items()}
     run = f"{root}/runs/{uuid.uuid4().hex}"
     paths = {name: files.export(df, f"{run}/{name}", "csv") for name, df in (
         ("leaves", built.leaves), ("matches", built.matches), ("metrics", built.metrics))}

@@ -360,12 +360,13 @@ def s10(spark, d):
  'second' END AS run FROM monthly""")
 def s14(spark, d):
     """A first run leaves part of the panel; the second run is given everything, twice, and adds only the rest."""
-    target = new_scratch(spark, "append")
     p = monthly(spark, d).select("unit", "period", "parados")
-    store.append_missing(p.where("period < '1998-01'").withColumn("run", F.lit("first")), target, ["unit", "period"])
+    second = p.withColumn("run", F.lit("second"))
+    target = store.AppendTable(spark, new_scratch(spark, "append"), second.schema, ["unit", "period"], part_by="period")
+    target.append(p.where("period < '1998-01'").withColumn("run", F.lit("first")))
     for _ in range(2):
-        store.append_missing(p.withColumn("run", F.lit("second")), target, ["unit", "period"])
-    return spark.read.parquet(target)
+        target.append(second)
+    return target.read()
 
 
 @query("s14_stream", with_ctes(MONTHLY) + "SELECT unit, period, parados FROM monthly")
@@ -373,10 +374,11 @@ def s14_stream(spark, d):
     """The same panel through a file stream, restarted and with the files delivered twice."""
     root = new_scratch(spark, "stream")
     p = monthly(spark, d).select("unit", "period", "parados")
+    target = store.AppendTable(spark, root + "/out", p.schema, ["unit", "period"], part_by="period")
     for _ in range(2):
         p.write.mode("append").parquet(root + "/in")
-        resumable.drain(spark, root + "/in", p.schema, root + "/out", root + "/checkpoint", ["unit", "period"])
-    return spark.read.parquet(root + "/out")
+        resumable.drain(spark, root + "/in", p.schema, target, root + "/checkpoint")
+    return target.read()
 
 
 @query("s15", with_ctes(MONTHLY) + """SELECT lpad(cast(unit AS VARCHAR), 4, '0') AS cnae, period AS quarter,
@@ -388,7 +390,7 @@ def s15(spark, d):
     from ..functions.codes import zero_pad
     p = monthly(spark, d).select(zero_pad("unit", 4).alias("cnae"), F.col("period").alias("quarter"),
                                  F.col("parados").alias("total_weight"), "dose", "dose2")
-    out = store.SnapshotTable(spark, new_scratch(spark, "snapshot"), store.INDUSTRY_SCHEMA, store.INDUSTRY_KEY)
+    out = store.KeyedTable(spark, new_scratch(spark, "keyed"), store.INDUSTRY_SCHEMA, store.INDUSTRY_KEY)
     first = p.withColumn("observed_exposure_cnae_rf", F.col("dose"))
     second = p.where("quarter >= '1999-01'").withColumns({
         "total_weight": F.col("total_weight") * 2, "observed_exposure_cnae_cosine_nearest": F.col("dose2")})

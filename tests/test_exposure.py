@@ -61,7 +61,7 @@ def test_build_exposure(spark, tmp_path, methods):
     for run in (1, 2):
         record = store_exposure(out, str(tmp_path / "store"), "letters", "none", "0" * 64).first()
         assert (record.occupations_version, record.industries_version) == (str(run), str(run))
-    kept = store.SnapshotTable(spark, str(tmp_path / "store" / "occupations"), store.OCCUPATION_SCHEMA, store.OCCUPATION_KEY).read()
+    kept = store.KeyedTable(spark, str(tmp_path / "store" / "occupations"), store.OCCUPATION_SCHEMA, store.OCCUPATION_KEY).read()
     assert kept.count() == len(occupations) and spark.read.csv(record.matches, header=True).count() == out.matches.count()
 
 

@@ -220,42 +220,136 @@ def test_cached_report_files(spark, tmp_path):
     assert {(r.cno4, r.period) for r in rows.collect()} == {("7131", "2022-04")}
 
 
-def test_append_and_upsert(spark, tmp_path):
-    target = scratch(tmp_path)
-    df = spark.createDataFrame([(1, "a"), (2, "b")], ["k", "v"])
-    store.append_missing(df.where("k = 1"), target, ["k"])
-    store.append_missing(df.withColumn("v", F.lit("new")), target, ["k"])
-    assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [(1, "a"), (2, "new")]
-    t = store.SnapshotTable(spark, scratch(tmp_path), "k int, v string, w double", ["k"])
-    assert t.read().isEmpty()
-    t.upsert(df)
-    t.upsert(spark.createDataFrame([(2, 5.0), (3, 6.0)], ["k", "w"]))
-    assert sorted(map(tuple, t.read().collect())) == [(1, "a", None), (2, None, 5.0), (3, None, 6.0)]
-    assert t.version() == 2
-
-
-def test_repeated_keys_inside_a_batch(spark, tmp_path):
-    target = scratch(tmp_path)
-    store.append_missing(spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], ["k", "v"]), target, ["k"])
-    assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == [(1, "a"), (2, "c")]
+def keyed(spark, tmp_path, **settings):
+    return store.KeyedTable(spark, scratch(tmp_path), "k int, v string, w double", ["k"], **settings)
+
+
+def appended(spark, tmp_path, **settings):
+    return store.AppendTable(spark, scratch(tmp_path), "m string, k int, v string", ["m", "k"], "m", **settings)
+
+
+def rows_of(table):
+    return sorted(map(tuple, table.read().collect()))
+
+
+def test_upsert_replaces_by_key(spark, tmp_path):
+    t = keyed(spark, tmp_path)
+    assert t.read().isEmpty() and t.version() == 0
+    t.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
+    t.upsert(spark.createDataFrame([(2, 5.0), (3, 6.0)], "k int, w double"))
+    assert rows_of(t) == [(1, "a", None), (2, None, 5.0), (3, None, 6.0)]
+    assert t.version() == 2 and sorted(r.k for r in t.read(1).collect()) == [1, 2]
+    wider = store.KeyedTable(spark, t.root, "k int, w double, extra string", ["k"])
+    wider.upsert(spark.createDataFrame([(3, "x")], "k int, extra string"))
+    assert rows_of(wider) == [(1, None, None), (2, 5.0, None), (3, None, "x")]
+
+
+def test_upsert_of_one_key_writes_one_bucket(spark, tmp_path):
+    t = keyed(spark, tmp_path, buckets=16)
+    t.upsert(spark.range(200).selectExpr("cast(id AS int) k", "cast(id AS string) v"))
+    before = t.log.latest()[1]["parts"]
+    t.upsert(spark.createDataFrame([(77, "new")], "k int, v string"))
+    after = t.log.latest()[1]["parts"]
+    assert len(before) == 16 and sum(before[p] != after[p] for p in before) == 1
+    assert dict((r.k, r.v) for r in t.read().collect()) == {i: "new" if i == 77 else str(i) for i in range(200)}
+
+
+def test_interleaved_upserts_keep_both_sets_of_keys(spark, tmp_path):
+    a = keyed(spark, tmp_path, buckets=2)
+    b = store.KeyedTable(spark, a.root, a.schema, a.keys, buckets=99)  # another process that has read the same version
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    b.buckets = 2
+    staged_a, staged_b = a.stage(frame([(1, "a"), (2, "a")])), b.stage(frame([(2, "b"), (3, "b")]))
+    stale = b.log.latest()
+    a.publish(staged_a)
+    seen = iter([stale])
+    latest, b.log.latest = b.log.latest, lambda: next(seen, None) or latest()  # decides on the state from before a's entry
+    b.publish(staged_b)
+    assert rows_of(a) == [(1, "a", None), (2, "b", None), (3, "b", None)] and a.version() == 2
+
+
+def test_upserts_of_several_threads(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    t = keyed(spark, tmp_path, buckets=3, most_layers=2)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: t.upsert(spark.createDataFrame([(i, str(i)), (-1, str(i))], "k int, v string")), range(8)))
+    got = {r.k: r.v for r in t.read().collect()}
+    assert {k: v for k, v in got.items() if k >= 0} == {i: str(i) for i in range(8)} and got[-1] in map(str, range(8))
+
+
+def test_compaction_keeps_what_others_add_meanwhile(spark, tmp_path):
+    t = keyed(spark, tmp_path, buckets=2, most_layers=99)
+    for i in range(4):
+        t.upsert(spark.createDataFrame([(1, str(i)), (10 + i, str(i))], "k int, v string"))
+    lay_down = t._lay_down
+
+    def late(rows):
+        made = lay_down(rows)
+        store.KeyedTable(spark, t.root, t.schema, t.keys, most_layers=99).upsert(spark.createDataFrame([(1, "late")], "k int, v string"))
+        return made
+
+    t._lay_down = late
+    t.compact()
+    parts = t.log.latest()[1]["parts"]
+    assert max(map(len, parts.values())) == 2 and rows_of(t) == [(1, "late", None)] + [(10 + i, str(i), None) for i in range(4)]
+    t._lay_down = lay_down
+    t.compact()
+    t.vacuum()
+    assert max(map(len, t.log.latest()[1]["parts"].values())) == 1 and len(rows_of(t)) == 5
+
+
+def test_repeated_keys_of_an_upsert_are_an_error(spark, tmp_path):
+    t = keyed(spark, tmp_path)
     with pytest.raises(ValueError, match="do not identify"):
-        store.SnapshotTable(spark, scratch(tmp_path), "k int, v string", ["k"]).upsert(spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string"))
-
-
-def test_two_writers_of_a_snapshot_keep_their_own_files(spark, tmp_path):
-    t = store.SnapshotTable(spark, scratch(tmp_path), "k int, v string", ["k"])
-    row = lambda v: spark.createDataFrame([(1, v)], "k int, v string")
-    other = store.SnapshotTable(spark, t.root, t.schema, t.keys)
-    other.version = lambda: 0  # as if it had looked before the first writer logged its version
-    t.upsert(row("a"))
-    other._publish(row("b"))
-    assert [tuple(r) for r in t.read().collect()] == [(1, "b")] and t.version() == 1
+        t.upsert(spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string"))
+    assert t.version() == 0
+
+
+def test_append_adds_what_is_missing(spark, tmp_path):
+    t = appended(spark, tmp_path)
+    frame = lambda *rows: spark.createDataFrame(rows, "m string, k int, v string")
+    t.append(frame(("m1", 1, "a"), ("m1", 1, "0"), (None, 1, "n")))
+    t.append(frame(("m1", 1, "new"), ("m1", 2, "b"), ("m 2/x", 1, "c"), (None, 1, "again")))
+    version = t.version()
+    t.append(frame(("m1", 2, "late")))
+    assert t.version() == version  # nothing new, nothing logged
+    assert {tuple(r) for r in t.read().collect()} == {("m1", 1, "0"), (None, 1, "n"), ("m1", 2, "b"), ("m 2/x", 1, "c")}
+
+
+def test_a_batch_of_one_month_reads_one_month(spark, tmp_path):
+    t = appended(spark, tmp_path)
+    t.append(spark.range(600).selectExpr("concat('m', id % 12) m", "cast(id AS int) k", "'old' v"))
+    staged = t.stage(spark.range(640).where("id % 12 = 5").selectExpr("'m5' m", "cast(id AS int) k", "'new' v"))
+    left = t.unseen(staged, t.log.latest()[1]["parts"])
+    part = staged.popitem()[0]
+    assert left.inputFiles() and all(f"layer_part={part}/" in f for f in left.inputFiles())
+    assert sorted(r.k for r in left.collect()) == [k for k in range(600, 640) if k % 12 == 5]
+
+
+def test_two_appends_at_once_add_each_key_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    t = appended(spark, tmp_path, most_layers=3)
+    rows = lambda i: spark.range(40).selectExpr("concat('m', id % 3) m", "cast(id AS int) k", f"'{i}' v")
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda i: store.AppendTable(spark, t.root, t.schema, t.keys, "m", 3).append(rows(i)), range(3)))
+    layers = [x for layers in t.log.latest()[1]["parts"].values() for x in layers]
+    assert t._files(layers).count() == 40 and len({r.k for r in t.read().collect()}) == 40
+
+
+def test_a_replayed_batch_is_not_added_again(spark, tmp_path):
+    t = appended(spark, tmp_path)
+    rows = spark.createDataFrame([("m1", 1, "a")], t.schema)
+    t.append(rows, "stream", 0)
+    t.append(rows.withColumn("k", F.lit(9)), "stream", 0)
+    t.append(rows.withColumn("k", F.lit(2)), "stream", 1)
+    assert [r.k for r in t.read().orderBy("k").collect()] == [1, 2]
 
 
 def test_stream_is_resumable(spark, tmp_path):
     root = scratch(tmp_path)
     df = spark.range(20).selectExpr("id AS k", "id * 2 AS v")
+    target = store.AppendTable(spark, root + "/out", df.schema, ["k"], "k")
     for part in (df.where("k < 10"), df):
         part.write.mode("append").parquet(root + "/in")
-        resumable.drain(spark, root + "/in", df.schema, root + "/out", root + "/ck", ["k"])
-    assert spark.read.parquet(root + "/out").count() == 20
+        resumable.drain(spark, root + "/in", df.schema, target, root + "/ck")
+    assert target.read().count() == 20 and target.log.latest()[1]["sources"] == {root + "/ck": 1}
