@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +61,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_scope: ContextVar[list[Scratch] | None] = ContextVar("scratch scope", default=None)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Everything kept by a ``Scratch`` made inside is deleted at the end: what is computed from it must be written by then."""
+    made: list[Scratch] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for scratch in made:
+            scratch.close()
+
+
 class Scratch:
     """Intermediate tables of one job, as Parquet in a folder of their own below the shared one.
 
@@ -67,6 +86,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.folder, self._taken = spark, new_scratch(spark, label), 0
+        if (scope := _scope.get()) is not None:
+            scope.append(self)
 
     def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
         self._taken += 1
