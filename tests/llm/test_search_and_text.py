@@ -156,3 +156,29 @@ def test_token_counts_equal_the_library(spark, chunk, overlap):
     got = {r.doc_id: r.n_tokens_ for r in out.collect()}
     assert got == {i: len(tool.encode(t or "", add_special_tokens=False)) for i, t in enumerate(texts)}
     assert tokencount.count_tokens(frame.limit(0), JSON).collect() == []
+
+
+def test_pieces_count_like_the_library(monkeypatch):
+    monkeypatch.setattr(tokencount, "PIECES_HELD", 500)
+    rnd = random.Random(5)
+    letters = [chr(c) for c in range(0x250) if not 0x7f < c < 0x85] + list("     \n\n''stdlvrem''09ſ日本ͰΩ 　\U0001f600\x1c\x85\xa0")
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + ["w" * 300, "<|endoftext|> a", "it's we'LL  \t\n x"]
+    count = tokencount.Counter(JSON)
+    tool = Tokenizer.from_file(JSON)
+    want = [tool.encode(t, add_special_tokens=False) for t in texts]
+    assert count.count(texts) == [len(e) for e in want]
+    for text, e in zip(texts, want):
+        n, at, before = count.starts(text) if text else (0, [], [])
+        places = {}
+        for i, (word, (start, _)) in enumerate(zip(e.word_ids, e.offsets)):
+            places.setdefault(word, (start, i))
+        assert n == len(e) and list(zip(at, before)) == list(places.values())
+
+
+def test_guard_declines_what_it_does_not_know(tmp_path):
+    import json
+    said = json.load(open(JSON))
+    for change in ({"post_processor": {"type": "ByteLevel", "trim_offsets": True}}, {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}):
+        (tmp_path / "t.json").write_text(json.dumps(said | change))
+        assert tokencount.guard(str(tmp_path / "t.json")) is None
+    assert tokencount.guard(JSON) == 15
