@@ -252,8 +252,7 @@ def s6(spark, d):
 @query("s6_pages", """SELECT page_id, count(*) AS anchors FROM (SELECT page_id, unnest(regexp_extract_all(html,
  '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY 1""")
 def s6_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(reports.hrefs(F.col("html"))).alias("href")).groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("anchors"))
+    return reports.anchors(table(spark, d, "pages").select("page_id", "html")).groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"))
 
 
 @query("s7", with_ctes(MONTHLY) + """SELECT unit, period AS month, lpad(cast(unit AS VARCHAR), 4, '0') AS cno4,

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.codes import with_hierarchy
 from ..functions.text import limit_text, normalize_space, repair_text
 from ..functions.once import once
-from ..session import cut_lineage
-from ..operators.scan import CHUNK_LINES, running
+from ..operators.pick import keep_first
+from ..operators.scan import CHUNK_LINES, chunked, running
 
 #: How the notes are laid out.
 CODE_HEADING = r"^(\d{4})\s+(.+)$"
@@ -63,44 +63,49 @@ def segment(lines: DataFrame, doc: str = "doc", line_no: str = "line_no", text:
 
 
 def structured_texts(parts: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """One row per (doc, record): code, title and the sectioned text.
+    """One row per (doc, record): code, title and the sectioned text of parts as ``segment`` returns them."""
+    in_body, heading = F.col("part") == "body", F.col("part") == "heading"
+    own = F.when(in_body, repair_text("text")).when(heading, F.regexp_extract("text", CODE_HEADING, 2)).otherwise(F.col("text"))
+    rows = once(parts, _t=own)
+    placed = chunked(rows.withColumn("_mark", F.when(in_body, F.try_element_at(_map(SECTION_MARKERS), F.col("_t")))), "line_no", chunk_lines)
+    placed = running(placed, ["doc", "record"], "line_no", {"section": ("last", F.col("_mark"))})
+    return _assembled(placed, ["doc", "record"], None)
+
+
+def _assembled(placed: DataFrame, by: list[str], boundary: Column | None) -> DataFrame:
+    """One row per (doc, record) from chunked lines with part, code, _t, _mark and the section the last marker opened.
 
     Lines that start beyond a section's character limit cannot show in its cut text, so only the ones before it are
     brought together: a section never gathers more lines than its limit holds.
     """
-    keys = ["doc", "record"]
-    in_body = F.col("part") == "body"
-    own = F.when(in_body, repair_text("text")).when(
-        F.col("part") == "heading", F.regexp_extract("text", CODE_HEADING, 2)).otherwise(F.col("text"))
-    rows = once(parts, _t=own).where(~in_body | (F.col("_t") != ""))
-    marker = F.when(in_body, F.try_element_at(_map(SECTION_MARKERS), F.col("_t")))
-    placed = running(rows, keys, "line_no", {"section": ("last", marker)}, chunk_lines=chunk_lines)
+    keys, in_body = ["doc", "record"], F.col("part") == "body"
     lower = in_body & F.col("_t").rlike(LOWER_HEADING) & ~F.startswith("_t", F.lit("-"))
     bulleted = F.col("section").isin([s for s, spec in SECTIONS.items() if spec[3]])
-    placed = placed.withColumn("section", F.when(~in_body, "title").otherwise(
-        F.coalesce("section", F.lit("definition")))).where(marker.isNull() & ~lower)
-    placed = once(placed, _t=F.when(bulleted, normalize_space(F.regexp_replace("_t", "^-", ""))).otherwise(F.col("_t")))
-
-    limit = F.coalesce(F.try_element_at(_map({s: spec[2] for s, spec in SECTIONS.items()}), F.col("section")),
-                       F.lit(2 ** 31 - 64))
-    separator = F.coalesce(F.try_element_at(_map({s: spec[1] for s, spec in SECTIONS.items()}), F.col("section")),
-                           F.lit(" "))
+    section = F.when(~in_body, "title").otherwise(F.coalesce("section", F.lit("definition")))
+    bare = F.when(in_body & bulleted, normalize_space(F.regexp_replace("_t", "^-", ""))).otherwise(F.col("_t"))
+    shown = ~(in_body & (F.col("_t") == "")) & F.col("_mark").isNull() & ~lower
+    placed = placed.withColumns({"_shown": F.coalesce(shown, F.lit(False)), "_bare": bare}).withColumn("section", section)
+
+    of = lambda i, other: F.coalesce(F.try_element_at(_map({s: spec[i] for s, spec in SECTIONS.items()}), F.col("section")), other)
+    limit, separator = of(2, F.lit(2 ** 31 - 64)), of(1, F.lit(" "))
     # under a blank separator an empty line collapses into its neighbours and takes no room
-    room = F.when((F.col("_t") == "") & (F.trim(separator) == ""), 0).otherwise(F.char_length("_t") + F.char_length(separator))
-    sized = running(placed.withColumn("_len", room), [*keys, "section"],
-                    "line_no", {"_start": ("sum", F.col("_len"))}, inclusive=False, chunk_lines=chunk_lines)
-    grouped = sized.where(F.col("_start") <= limit + 16).groupBy(*keys, "section").agg(
+    room = F.when((F.col("_bare") == "") & (F.trim(separator) == ""), 0).otherwise(F.char_length("_bare") + F.char_length(separator))
+    placed = placed.withColumn("_room", F.when(F.col("_shown"), room))
+    sized = running(placed, by, "line_no", {f"_before_{s}": ("sum", F.when(F.col("section") == s, F.col("_room"))) for s in SECTIONS},
+                    inclusive=False, boundary=boundary)
+    start = F.coalesce(*[F.when(F.col("section") == s, F.col(f"_before_{s}")) for s in SECTIONS], F.lit(0))
+    grouped = sized.where(F.col("_shown") & (start <= limit + 16)).groupBy(*keys, "section").agg(
         F.min("code").alias("code"),
-        F.transform(F.sort_array(F.collect_list(F.struct("line_no", "_t"))), lambda x: x["_t"]).alias("_lines"))
+        F.transform(F.sort_array(F.collect_list(F.struct("line_no", "_bare"))), lambda x: x["_bare"]).alias("_lines"))
     text = F.when(F.col("section") == "title", repair_text(F.array_join("_lines", " ")))
     for s, (_, sep, size, _) in SECTIONS.items():
         text = text.when(F.col("section") == s, limit_text(F.array_join("_lines", sep), size))
     wide = grouped.withColumn("_text", text).groupBy(*keys).agg(
         F.min("code").alias("code"), *[F.max(F.when(F.col("section") == s, F.col("_text"))).alias(s)
                                        for s in ("title", *SECTIONS)])
-    shown = [F.when(F.coalesce(s, F.lit("")) != "", F.concat(F.lit(label), s)) for s, (label, *_) in SECTIONS.items()]
+    labelled = [F.when(F.coalesce(s, F.lit("")) != "", F.concat(F.lit(label), s)) for s, (label, *_) in SECTIONS.items()]
     head = F.concat(F.lit("CNO occupation: "), "code", F.lit(" "), "title", F.lit("."))
-    return wide.select(*keys, "code", "title", normalize_space(F.concat_ws(" ", head, *shown)).alias("structured"))
+    return wide.select(*keys, "code", "title", normalize_space(F.concat_ws(" ", head, *labelled)).alias("structured"))
 
 
 def _map(pairs: dict) -> Column:
@@ -111,10 +116,28 @@ def taxonomy_records(lines: DataFrame, doc: str = "doc", line_no: str = "line_no
                      page: str | None = None, first_page: int = 3, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """One row per (document, code), the first record of a code kept, with its coarser levels."""
     source = lines.where(F.col(page) >= first_page) if page else lines
-    parts = cut_lineage(segment(source, doc, line_no, text, None, first_page, chunk_lines))
-    first = parts.where("part = 'heading'").groupBy("doc", "code").agg(F.min("record").alias("record"))
-    kept = parts.join(first.select("doc", "record"), ["doc", "record"], "left_semi")
-    named = structured_texts(kept, chunk_lines).select(
+    rows = source.select(F.col(doc).alias("doc"), F.col(line_no).cast("long").alias("line_no"), F.col(text).alias("text"))
+    clean = once(rows, text=normalize_space(F.replace("text", F.lit("\u00ad"), F.lit("")))).where("text <> ''")
+    at = F.col("line_no")
+    clean = once(clean, heading=F.col("text").rlike(CODE_HEADING), stop=is_stop_line(F.col("text")), repaired=repair_text("text"))
+    placed = chunked(clean, "line_no", chunk_lines)
+    end = placed.where("stop").groupBy("doc").agg(F.min("line_no").alias("_end"))
+    body_start = ~F.col("heading") & (F.col("text").rlike(DEFINITION_START) | F.col("text").rlike(LOWER_HEADING))
+    marker = F.try_element_at(_map(SECTION_MARKERS), F.col("repaired"))
+    # one scan: everything starts again at a heading; a marker counts once the body has begun
+    found = running(placed.withColumn("_mark", F.when(~F.col("heading"), marker)), ["doc"], "line_no", {
+        "record": ("max", F.when(F.col("heading"), at)), "code": ("last", F.when(F.col("heading"), F.regexp_extract("text", CODE_HEADING, 1))),
+        "_body": ("min", F.when(body_start, at)), "_mark_at": ("max", F.when(F.col("_mark").isNotNull(), at)),
+        "_marked": ("last", F.col("_mark"))}, boundary=F.col("heading"))
+    found = found.join(end, "doc", "left").where((F.col("_end").isNull() | (at < F.col("_end"))) & F.col("record").isNotNull()).drop("_end")
+    part = F.when(F.col("heading"), "heading").when(F.col("_body").isNotNull(), "body").otherwise("title")
+    found = found.withColumn("part", part)
+    in_body = F.col("part") == "body"
+    own = F.when(in_body, F.col("repaired")).when(F.col("heading"), F.regexp_extract("text", CODE_HEADING, 2)).otherwise(F.col("text"))
+    found = found.withColumns({"_t": own, "_mark": F.when(in_body, F.col("_mark")),
+                               "section": F.when(F.col("_mark_at") >= F.col("_body"), F.col("_marked"))})
+    texts = _assembled(found, ["doc"], F.col("heading"))
+    named = keep_first(texts, ["doc", "code"], ["record"]).select(
         "doc", F.col("code").alias("CNO4"), F.col("title").alias("occupation_title"),
         F.col("structured").alias("cno_structured_text_es"))
     return with_hierarchy(named).withColumn("embedding_text", F.col("cno_structured_text_es"))

@@ -78,6 +78,25 @@ def test_report_facts(spark):
     assert (first.cno4, first.period, first.occupation_title) == ("7131", "2021-06", "Cristaleros & vidrieros")
 
 
+def test_report_with_cells_and_rows_left_open(spark):
+    page = full_report()
+    loose = page.replace("</td>", "").replace("</tr>", "").replace("</th>", "").replace("<td", "<TD title='a > b'")
+    assert loose != page and facts(spark, loose)[1] == expected_of_full_report()
+    cut = page[:page.index("</table>", page.index("Parados seg"))]  # the file ends inside the last table
+    stock = {k: v for k, v in facts(spark, cut)[1].items() if k[1] in ("age", "gender")}
+    assert stock == {k: v for k, v in expected_of_full_report().items() if k[1] in ("age", "gender")}
+
+
+def test_markup_that_is_not_shown_counts_for_nothing(spark):
+    hidden = full_report().replace("<html>", "<html><!-- <h2>CNO-0000: Nada enero 1999</h2> --><style>h2:after{content:'<h2>CNO-1'}</style>")
+    assert facts(spark, hidden)[1] == expected_of_full_report() and facts(spark, hidden)[0].first().cno4 == "7131"
+
+
+def test_pages_without_html(spark):
+    frame = spark.createDataFrame([(None, "https://x/_mensuales_2017_08_9602-x.html"), ("", "https://x/_mensuales_2017_08_9602-x.html")], "html string, url string")
+    assert reports.report_facts(frame).collect() == [] and reports.anchors(frame).collect() == []
+
+
 def test_report_without_some_sections(spark):
     empty = report("0020", "Suboficiales", 2019, 12, tables=[("Distribuci&oacute;n geogr&aacute;fica de parados", [])])
     assert facts(spark, empty)[1] == {("parados", "province", "Total", "Total"): 0}
