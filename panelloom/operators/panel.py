@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.codes import zero_pad
 from ..functions.numbers import finite_or_null, to_number
 from ..functions.periods import month_start, months_since
-from ..session import cut_lineage
+from ..session import Scratch, cut_lineage
 from .pick import keep_first
 from .quantiles import exact_quantiles
+from .vectorsum import vector_sums
 
 INTERVENTION = "2022-09"
 BASE_EVENT_TIME = -1
@@ -80,19 +86,102 @@ def balanced(panel: DataFrame, unit: str, period: str, outcome: str | None = Non
     return panel.join(counts.where(F.col("_n") == top).select(unit), unit, "left_semi")
 
 
-def demean_two_way(panel: DataFrame, unit: str, period: str, columns: list[str]) -> DataFrame:
-    """Value - unit mean - period mean + grand mean; only exact, hence only allowed, on a balanced panel."""
-    cells = panel.groupBy(unit, period).agg(F.count(F.lit(1)).alias("_rows"))
-    shape = cells.agg(F.count(F.lit(1)), F.count_distinct(unit), F.count_distinct(period), F.max("_rows")).first()
-    if shape[0] != shape[1] * shape[2] or shape[3] != 1:
-        raise ValueError("two-way demeaning in one step needs a balanced panel with one row per unit and period")
-    by_unit = panel.groupBy(unit).agg(*[F.avg(c).alias(f"_u_{c}") for c in columns])
-    by_period = panel.groupBy(period).agg(*[F.avg(c).alias(f"_p_{c}") for c in columns])
-    joined = panel.join(by_unit, unit).join(by_period, period)
-    return joined.select(*panel.columns, *[
-        (F.col(c) - F.col(f"_u_{c}") - F.col(f"_p_{c}") + panel.agg(F.avg(c)).scalar()).alias(f"{c}_demeaned")
-        for c in columns
-    ])
+@dataclass(frozen=True)
+class PeriodEffects:
+    """Period effects of several columns with unit effects partialled out (periods x columns), and which of them settled."""
+
+    periods: list
+    effects: np.ndarray
+    converged: np.ndarray
+    steps: int
+
+
+def _cell_names(columns: list[str]) -> list[str]:
+    return [f"{k}{i}" for i in range(len(columns)) for k in "ns"]
+
+
+def _by_unit(panel: DataFrame, unit: str, period: str, columns: list[str], slots: DataFrame) -> DataFrame:
+    """One row per unit: ``cells`` (slot, and count and sum of every column); rows collapse to cells before a unit is brought together."""
+    values = {f"v{i}": finite_or_null(c) for i, c in enumerate(columns)}
+    rows = panel.select(F.col(unit).alias("unit"), F.col(period).alias("period"), *[v.alias(n) for n, v in values.items()])
+    sums = [a for i, n in enumerate(values) for a in (F.count(n).cast("double").alias(f"n{i}"), F.coalesce(F.sum(n), F.lit(0.0)).alias(f"s{i}"))]
+    cells = rows.groupBy("unit", "period").agg(*sums).join(slots, "period")
+    return cells.groupBy("unit").agg(F.collect_list(F.struct("slot", *_cell_names(columns))).alias("cells"))
+
+
+def two_way_effects(panel: DataFrame, unit: str, period: str, columns: list[str], tolerance: float = 1e-12, most_steps: int = 200) -> PeriodEffects:
+    """Period effects of an unbalanced panel by conjugate gradients on the period block.
+
+    With units partialled out the normal equations have one unknown per period, ``(diag(n) - sum w w'/n) g = r``.  The matrix is never
+    formed: a step is one pass over the units, which returns one number per period and column.  Null and non-finite values are
+    left out column by column.  A column has settled when its residual is below ``tolerance`` of the right-hand side.
+    """
+    labels = calendar(panel, period)
+    size, width = len(labels), len(columns)
+    spark = panel.sparkSession
+    slots = panel.select(F.col(period).alias("period")).distinct().withColumn("slot", F.row_number().over(W.orderBy("period")) - 1)
+    scratch = Scratch(spark, "two-way")
+    units = scratch.keep(_by_unit(panel, unit, period, columns, slots), "units")
+
+    def passed(g: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, sums over units): of ``s - n * mean(s)`` without ``g``, else of ``n * (g - mean(g))``; both size x width."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((2, width, size))
+            for batch in batches:
+                cells = batch.column(0)
+                flat, starts = cells.flatten(), cells.offsets.to_numpy()
+                owner, slot = np.repeat(np.arange(len(cells)), np.diff(starts)), flat.field(0).to_numpy()
+                for i in range(width):
+                    n, s = (flat.field(1 + 2 * i + k).to_numpy() for k in (0, 1))
+                    s = s if g is None else n * g[slot, i]
+                    total, weight = np.bincount(owner, s, len(cells)), np.bincount(owner, n, len(cells))
+                    mean = np.divide(total, weight, out=np.zeros(len(cells)), where=weight > 0)
+                    out[0, i] += np.bincount(slot, n, size)
+                    out[1, i] += np.bincount(slot, s - n * mean[owner], size)
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.ravel()], pa.list_(pa.float64()))], names=["key", "v"])
+
+        found = vector_sums(units.select("cells").mapInArrow(run, "key int, v array<double>"), ["key"])[(0,)].reshape(2, width, size)
+        return found[0].T, found[1].T
+
+    if not size:
+        return PeriodEffects([], np.zeros((0, width)), np.ones(width, bool), 0)
+    counts, right = passed(None)
+    inverse = np.divide(1.0, counts, out=np.zeros_like(counts), where=counts > 0)
+    g, residual = np.zeros_like(right), right.copy()
+    goal = tolerance * np.sqrt((right * right * inverse).sum(0))
+    z = inverse * residual
+    direction, norm, steps = z.copy(), (residual * z).sum(0), 0
+    while (open_ := np.sqrt(np.maximum(norm, 0)) > goal).any() and steps < most_steps:
+        _, image = passed(direction)
+        curve = (direction * image).sum(0)
+        step = np.divide(norm, curve, out=np.zeros(width), where=open_ & (curve > 0))
+        g, residual = g + step * direction, residual - step * image
+        z = inverse * residual
+        after = (residual * z).sum(0)
+        direction = z + np.divide(after, norm, out=np.zeros(width), where=norm > 0) * direction
+        norm, steps = after, steps + 1
+    scratch.close()
+    return PeriodEffects(labels, g, ~(np.sqrt(np.maximum(norm, 0)) > goal), steps)
+
+
+def demean_two_way(panel: DataFrame, unit: str, period: str, columns: list[str], tolerance: float = 1e-12, most_steps: int = 200) -> DataFrame:
+    """``panel`` with ``<column>_demeaned``: what is left of a value without its unit's and its period's effect.
+
+    Panels may have holes, and several rows for a unit and period.  On a balanced panel this is value - unit mean - period mean +
+    grand mean.  Null where the value is null, or if the effects of the column have not settled in ``most_steps`` steps.
+    """
+    found = two_way_effects(panel, unit, period, columns, tolerance, most_steps)
+    names = [f"_g{i}" for i in range(len(columns))]
+    kind = panel.schema[period].dataType.simpleString()
+    effects = panel.sparkSession.createDataFrame(
+        [(p, *(float(x) if ok else None for x, ok in zip(row, found.converged))) for p, row in zip(found.periods, found.effects)],
+        f"_period {kind}, " + ", ".join(f"{n} double" for n in names))
+    placed = panel.join(effects, F.col(period).eqNullSafe(F.col("_period"))).drop("_period")
+    left = [finite_or_null(c) - F.col(n) for c, n in zip(columns, names)]
+    by_unit = placed.groupBy(F.col(unit).alias("_unit")).agg(*[F.avg(x).alias(f"_u{i}") for i, x in enumerate(left)])
+    joined = placed.join(by_unit, F.col(unit).eqNullSafe(F.col("_unit")))
+    return joined.select(*panel.columns, *[(x - F.col(f"_u{i}")).alias(f"{c}_demeaned") for i, (c, x) in enumerate(zip(columns, left))])
 
 
 def base_difference(panel: DataFrame, unit: str, outcome: str, event_time: str = "event_time",

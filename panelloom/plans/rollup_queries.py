@@ -449,6 +449,20 @@ def w4(spark, d):
     return rounded(panel.demean_two_way(w3(spark, d), "unit", "period", ["parados"]))
 
 
+@query("w4_unbalanced", with_ctes(MONTHLY) + """, b AS (SELECT unit, period, CASE WHEN parados >= 100 THEN parados END AS y FROM monthly
+  WHERE period IN ('1997-03', '1999-08')),
+ d AS (SELECT unit, max(CASE WHEN period = '1999-08' THEN y END) - max(CASE WHEN period = '1997-03' THEN y END) AS d FROM b GROUP BY 1)
+ SELECT unit, period, y, round(CASE WHEN y IS NULL THEN NULL WHEN d IS NULL THEN 0 ELSE (d - (SELECT avg(d) FROM d)) / 2 *
+  CASE WHEN period = '1999-08' THEN 1 ELSE -1 END END, 6) AS y_demeaned FROM b JOIN d USING (unit)""")
+def w4_unbalanced(spark, d):
+    """Two months in which small stocks were not reported: a unit seen twice is left with half of its change's deviation from the mean
+    change, one seen once with nothing."""
+    p = monthly(spark, d).where(F.col("period").isin("1997-03", "1999-08")).select(
+        "unit", "period", F.when(F.col("parados") >= 100, F.col("parados")).alias("y"))
+    out = rounded(panel.demean_two_way(p, "unit", "period", ["y"]))
+    return out.withColumn("y_demeaned", F.col("y_demeaned") + 0.0)
+
+
 @query("w5", with_ctes(MONTHLY) + f""", r AS (SELECT period, row_number() OVER (ORDER BY period) AS time_period
   FROM (SELECT DISTINCT period FROM monthly))
  SELECT period, cast(time_period AS INTEGER) AS time_period, cast(time_period - (SELECT time_period FROM r

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,11 +172,39 @@ def test_growth_needs_positive_endpoints(spark):
     assert len(rows) == 1 and rows[0].growth == pytest.approx(34.657359)
 
 
-def test_demeaning_refuses_unbalanced_panels(spark):
+def dense_residuals(rows):
+    """rows: (unit, period, value) -> residuals of unit and period dummies, in the same order."""
+    units, periods = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    x = np.array([[float(u == r[0]) for u in units] + [float(t == r[1]) for t in periods] for r in rows])
+    y = np.array([r[2] for r in rows])
+    return y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_demeaning_of_a_panel_with_holes_equals_dummies(spark, parts):
+    rnd = np.random.default_rng(3)
+    rows = [(f"u{u}", t, float(rnd.normal() + u + t * t)) for u in range(14) for t in range(9) if rnd.random() > .3]
+    rows += [("u0", 0, 3.5), ("u0", 0, 1.5), ("alone", 20, 7.0), ("far", 20, 9.0), ("far", 21, 2.0)]  # repeats, and units apart from the others
+    frame = spark.createDataFrame([(*r, -r[2]) for r in rows] + [("u1", 1, None, None), ("u2", 3, float("nan"), None)],
+                                  "u string, t int, y double, z double").repartition(parts)
+    out = [r for r in panel.demean_two_way(frame, "u", "t", ["y", "z"]).collect()]
+    want = sorted(zip([(r[0], r[1], r[2]) for r in rows], dense_residuals(rows)))
+    got = sorted(((r.u, r.t, r.y), r.y_demeaned) for r in out if r.z is not None)
+    assert [k for k, _ in got] == [k for k, _ in want] and [v for _, v in got] == pytest.approx([v for _, v in want], abs=1e-9)
+    assert all(r.z_demeaned == pytest.approx(-r.y_demeaned, abs=1e-9) for r in out if r.z is not None)
+    assert sum(r.y_demeaned is None for r in out) == 2
+    found = panel.two_way_effects(frame, "u", "t", ["y"])
+    assert found.converged.all() and found.steps <= 12
+    few = panel.two_way_effects(frame, "u", "t", ["y"], most_steps=1)
+    assert not few.converged.any()
+    assert panel.demean_two_way(frame, "u", "t", ["y"], most_steps=1).where("y_demeaned is not null").isEmpty()
+
+
+def test_demeaning_of_a_balanced_panel(spark):
     df = spark.createDataFrame([(u, t, float(u * t + u)) for u in range(3) for t in range(4)], ["u", "t", "y"])
-    assert panel.demean_two_way(df, "u", "t", ["y"]).count() == 12
-    with pytest.raises(ValueError, match="balanced"):
-        panel.demean_two_way(df.where("NOT (u = 1 AND t = 1)"), "u", "t", ["y"])
+    rows = panel.demean_two_way(df, "u", "t", ["y"]).collect()
+    assert {(r.u, r.t): round(r.y_demeaned, 9) for r in rows} == {(u, t): (u - 1) * (t - 1.5) for u in range(3) for t in range(4)}
+    assert panel.demean_two_way(df.limit(0), "u", "t", ["y"]).collect() == []
 
 
 def test_results_do_not_depend_on_partitioning(spark):
