@@ -163,13 +163,16 @@ class Transducer:
         return made
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self._states) > STATES:
-            self._reset()
         state, out, known, emits = self.start, [], self._next, self._emits
         for byte in data:
             key = state << 8 | byte
             state = known.get(key)
             if state is None:
+                if len(self._states) > STATES:  # inside a long piece too: go on from the same alternatives
+                    live = self._alternatives(key >> 8)
+                    self._reset()
+                    known, emits = self._next, self._emits
+                    key = self._state(live) << 8 | byte
                 state = self._step(key >> 8, byte)
             if key in emits:
                 out += emits[key]

@@ -3,7 +3,8 @@
 A page is read into a tree of block elements.  Paragraphs earn points for length and commas and pass them to their ancestors,
 less with every level; an element's points are discounted by its share of link text.  The best container is kept, and those of
 its siblings that score near it or are paragraphs of running text.  Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments are taken out first, by element, role, class and id.
+scripts, styles and comments are taken out first, by element, role, class and id.  A form, or an element whose class or id only sounds like
+one of these, stays if it holds most of the page, such as a form around the whole page.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noembed",
 VOID = {"br", "hr", "img", "input", "meta", "link", "col", "area", "base", "embed", "source", "track", "wbr", "param"}
 BLOCKS = set("html body main article section div p pre blockquote h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption figure "
              "figcaption header footer nav aside form fieldset address details summary dialog center hgroup menu search".split())
-OUT = {"nav", "header", "footer", "aside", "form", "fieldset", "button", "select", "dialog", "menu", "search", "audio", "video", "head"}
-OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
+OUT = {"nav", "header", "footer", "aside", "button", "select", "dialog", "menu", "search", "audio", "video", "head"}
+SOFT = {"form", "fieldset"}  # out, unless most of the page lies inside
+OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 #: words of class and id that mark what is no article text, those that mark what is, and those that only tell a state
 OUT_WORDS = set("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side footer foot header masthead banner topbar ad ads advert adverts "
                 "advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal "
                 "overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply replies respond "
                 "related recommended recommendations pagination pager widget widgets toolbar skip search form alert".split())
+READERS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}  # these never stay
 KEEP_WORDS = {"article", "content", "main", "body", "post", "entry", "story", "text"}
 STATES = {"has", "no", "with", "without", "is"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -41,40 +44,46 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
            "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 BASE = {"article": 25.0, "main": 20.0, "div": 5.0, "section": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0,
         "li": -3.0, "address": -3.0, "h1": -5.0, "h2": -5.0, "h3": -5.0, "h4": -5.0, "h5": -5.0, "h6": -5.0, "th": -5.0}
+#: inside an article these go by a class that says nothing else; boxes go by one that says it among other things
+TEXTS = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dl", "dd", "dt", "td", "th", "tr", "figure", "figcaption"}
 PARAGRAPHS = {"p", "pre", "td", "blockquote", "li", "dd", "div", "section", "article", "main", "body"}
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "out", "points", "size", "linked", "weight", "semantic")
+    __slots__ = ("tag", "parent", "out", "soft", "article", "points", "mass", "size", "linked", "weight", "semantic")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool = False, weight: float = 0.0, semantic: bool = False):
-        self.tag, self.parent, self.out, self.weight, self.semantic = tag, parent, out, weight, semantic
-        self.points, self.size, self.linked = 0.0, 0, 0
+    def __init__(self, tag: str, parent: Node | None, out: bool = False, weight: float = 0.0, semantic: bool = False, soft: bool = False):
+        self.tag, self.parent, self.out, self.weight, self.semantic, self.soft = tag, parent, out, weight, semantic, soft
+        self.article = not out and (semantic or parent is not None and parent.article)  # marked as the article, or inside it
+        self.points, self.mass, self.size, self.linked = 0.0, 0.0, 0, 0
 
 
-def traits(tag: str, text: str, parent: Node) -> tuple[bool, float, bool]:
-    """Whether an element is taken out, its own weight, and whether it is marked as the article."""
+def traits(tag: str, text: str, parent: Node) -> tuple[bool, float, bool, bool]:
+    """Whether an element is taken out, its own weight, whether it is marked as the article, and whether it goes unless it holds most of the page."""
     weight, semantic = BASE.get(tag, 0.0), tag in ("article", "main")
     inside = parent.out
     if not text or text.isspace():
         title = tag in HEADINGS and parent.tag == "header" and parent.parent is not None and parent.parent.semantic and not parent.parent.out
-        return inside and not title or tag in OUT, weight, semantic
+        return inside and not title or tag in OUT, weight, semantic, tag in SOFT
     found = {m[0].lower(): unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(text)}
     role = found.get("role", "").lower().strip()
     style = found.get("style", "").lower().replace(" ", "")
     classes = [WORD.findall(CAMEL.sub(" ", name).lower()) for name in f"{found.get('class', '')} {found.get('id', '')}".split()]
     semantic = semantic or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
     good = any(KEEP_WORDS & set(said) for said in classes)
+    soft = tag in SOFT or role == "form"
     out = tag in OUT or role in OUT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" \
         or "display:none" in style or "visibility:hidden" in style
     if tag not in ("html", "body", "main"):  # an article's classes may also tell its state, such as comments-open
         marks = [said for said in classes if said and not STATES & set(said)]
-        out = out or any(all(w in OUT_WORDS for w in said) if tag == "article" else OUT_WORDS & set(said) for said in marks)
+        strict = tag == "article" or tag in TEXTS and parent.article
+        marks = [said for said in marks if (all(w in OUT_WORDS for w in said) if strict else OUT_WORDS & set(said))]
+        out, soft = out or any(READERS & set(said) for said in marks), soft or bool(marks)
     if tag in HEADINGS and parent.tag == "header" and parent.parent is not None and parent.parent.semantic and not parent.parent.out:
         inside = False  # the title of an article may stand in a header of its own
-    return inside or out, weight + 25.0 * good + 25.0 * (role in ("main", "article")), semantic
+    return inside or out, weight + 25.0 * good + 25.0 * (role in ("main", "article")), semantic, soft
 
 
 def blocks(html: str) -> list[tuple[Node, str, int]]:
@@ -139,8 +148,6 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
             if not closing:
                 if tag in ("html", "body"):
                     flush()
-                    out, weight, _ = traits(tag, token[3], root)
-                    root.out = False
                     continue
                 if tag in CLOSES_P and open_[-1].tag == "p":
                     close(len(open_) - 1)
@@ -178,8 +185,40 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
     return found
 
 
+def paragraph_points(text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / max(1, len(text)))
+
+
+def without_soft(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks that are not taken out.  A soft element goes, unless it holds a marked article and more than half of the page's points, or,
+    on a page without one, more than four fifths."""
+    left = [(node, text, linked) for node, text, linked in found if not node.out]
+    total, marked, holds = 0.0, False, set()
+    for node, text, linked in left:
+        points = paragraph_points(text, linked) if node.tag in PARAGRAPHS else 0.0
+        total, up, article = total + points, node, False
+        while up is not None:
+            up.mass += points
+            article = article or up.semantic
+            if article:
+                holds.add(id(up))
+            up = up.parent
+        marked = marked or article
+    gone: dict[int, bool] = {}
+
+    def goes(node: Node | None) -> bool:
+        if node is None:
+            return False
+        if id(node) not in gone:
+            stays = 2 * node.mass > total and id(node) in holds if marked else 5 * node.mass > 4 * total
+            gone[id(node)] = node.soft and not stays or goes(node.parent)
+        return gone[id(node)]
+
+    return [(node, text, linked) for node, text, linked in left if not goes(node)]
+
+
 def main_blocks(found: list[tuple[Node, str, int]]) -> list[str]:
-    kept = [(node, text, linked) for node, text, linked in found if not node.out]
+    kept = without_soft(found)
     if not kept:
         return []
     scored: dict[int, Node] = {}
@@ -192,7 +231,7 @@ def main_blocks(found: list[tuple[Node, str, int]]) -> list[str]:
             up = up.parent
         if node.tag not in PARAGRAPHS:
             continue
-        points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / max(1, len(text)))
+        points = paragraph_points(text, linked)
         for level, up in enumerate(chain[node.tag in ("p", "pre", "blockquote", "li", "dd", "td") and len(chain) > 1:]):
             up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             scored.setdefault(id(up), up)

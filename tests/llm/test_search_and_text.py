@@ -89,6 +89,12 @@ PAGES = {
     "<main><p>Body.</p><form><label>Name</label></form><aside>x</aside><div class='cookie-notice'>Cookies</div><script>if (a < b) '</p>'</script></main>": "Body.",
     "plain &am text < here": "plain &am text < here", "<script>x": "", "": "", "<!-- a <p>b</p> -->c": "c",
     "<table><tr><td>One cell<td>two</table>": "One cell\n\ntwo",
+    "<form id=aspnetForm><nav>x</nav><article><p>One, two.</p></article><div class=newsletter><p>Sign up, now.</p></div></form>": "One, two.",
+    "<div class='content-sidebar-wrap'><article><p>One, two.</p><p class='related-work'>Three.</p><p class=ad>Buy.</p></article></div>": "One, two.\n\nThree.",
+    "<div id='main-menu-wrapper'><article><p>One, two.</p><div class='share-box'>Share</div></article><div class='sidebar'><p>Side.</p></div></div>": "One, two.",
+    "<article><p>One, two.</p><div id=comments><article class=comment-body><p>" + "I think, that, this, is, long, and, so on, and on. " * 9 + "</p></article></div></article>":
+        "One, two.",
+    "<form><p>Text of a page, all of which, lies in a form.</p><fieldset><p>Name</p></fieldset></form>": "Text of a page, all of which, lies in a form.",
 }
 
 
@@ -124,6 +130,14 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(frame.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_a_long_piece_is_encoded_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 2_000)
+    machine, tool, rnd = bpe.Transducer(bpe.read_ranks(RANKS)), library(), random.Random(8)
+    piece = "".join(rnd.choice("etaoinshrdluQZ") for _ in range(200_000))
+    assert machine.encode(piece.encode()) == tool.encode_ordinary(piece)
+    assert len(machine._states) <= 2_002
+
+
 def test_transducer_on_random_pieces(monkeypatch):
     monkeypatch.setattr(bpe, "STATES", 300)
     monkeypatch.setattr(bpe, "PIECES", 50)
