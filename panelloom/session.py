@@ -61,6 +61,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _scope: ContextVar[list[Scratch] | None] = ContextVar("scratch scope", default=None)
 
 
@@ -92,7 +93,13 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
         self._taken += 1
         path = f"{self.folder}/{self._taken}-{name}"
-        df.write.parquet(path)
+        # what the write shuffled is of no use once the table is there
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept
