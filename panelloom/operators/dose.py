@@ -25,9 +25,10 @@ from .vectorsum import vector_sums
 DRAWS = 100
 DEGREE, KNOTS = 3, 1
 
-#: How a run says what its comparison units are.
+#: How a run says what its comparison units and its design are.
 ZERO_RULE = "zero-dose CNOs"
 QUARTILE_RULE = "bottom-quartile CNOs set as zero-dose baseline"
+DESIGN = "continuous dose; positive/higher-dose CNOs adopt in {}"
 
 
 @dataclass(frozen=True)
@@ -91,14 +92,19 @@ def _dose_units(panel: DataFrame, unit: str, period: str, periods: list, specs:
 
 def run_table(panel: DataFrame, unit: str, period: str, specs: list[DoseSpec], intervention: str,
               draws: int = DRAWS) -> DataFrame:
-    """One row per specification: size, quantiles and comparison rule of its sample."""
+    """One row per specification: design, size, quantiles and comparison rule of its sample.  One without complete units has
+    no units, no quantiles and no rule."""
     periods, _ = _calendar(panel, period, intervention)
     units, rules = _dose_units(panel, unit, period, periods, specs)
     counts = {r.spec: r["count"] for r in units.groupBy("spec").count().collect()}
-    rows = [(specs[s].name, specs[s].outcome, specs[s].dose, ZERO_RULE if r.zeros else QUARTILE_RULE, counts.get(s, 0),
-             len(periods), r.q25, r.q50, r.q75, draws) for s, r in sorted(rules.items())]
+    rows = []
+    for i, spec in enumerate(specs):
+        r = rules.get(i)
+        rule = None if r is None else ZERO_RULE if r.zeros else QUARTILE_RULE
+        quantiles = (None,) * 3 if r is None else (r.q25, r.q50, r.q75)
+        rows.append((spec.name, spec.outcome, spec.dose, DESIGN.format(intervention), rule, counts.get(i, 0), len(periods), *quantiles, draws))
     return panel.sparkSession.createDataFrame(
-        rows, "spec string, outcome string, exposure string, control_rule string, n_units long, n_periods long, "
+        rows, "spec string, outcome string, exposure string, design string, control_rule string, n_units long, n_periods long, "
         "q25 double, q50 double, q75 double, bootstraps int")
 
 
@@ -191,10 +197,11 @@ def fit_doses(panel: DataFrame, unit: str, period: str, specs: list[DoseSpec], i
 
     treated = units.where("exposed")
     points = {f"p{i}": 0.1 + 0.01 * i for i in range(90)}
-    grid = {r.spec: [r[p] for p in points] for r in exact_quantiles(treated, "d", points, ["spec"]).collect()}
     inner = {f"k{i}": (i + 1) / (KNOTS + 1) for i in range(KNOTS)}
-    knots = {r.spec: [r[k] for k in inner] for r in exact_quantiles(treated, "d", inner, ["spec"]).collect()}
-    bounds = {r.spec: (r[1], r[2]) for r in treated.groupBy("spec").agg(F.min("d"), F.max("d")).collect()}
+    asked = exact_quantiles(treated, "d", points | inner | {"low": 0.0, "high": 1.0}, ["spec"]).collect()
+    grid = {r.spec: [r[p] for p in points] for r in asked}
+    knots = {r.spec: [r[k] for k in inner] for r in asked}
+    bounds = {r.spec: (r.low, r.high) for r in asked}
     shape = {s: (*bounds[s], knots[s]) for s in bounds}
     size, width = len(periods), 1 + DEGREE + KNOTS
 

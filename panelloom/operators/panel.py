@@ -73,6 +73,11 @@ def calendar(panel: DataFrame, period: str, *carry: str, limit: int = int((MATRI
     return rows if carry else [r[0] for r in rows]
 
 
+def period_slots(panel: DataFrame, period: str, labels: list) -> DataFrame:
+    """The calendar as a small table: _period and its slot t."""
+    return panel.sparkSession.createDataFrame(list(zip(labels, range(len(labels)))), f"_period {panel.schema[period].dataType.simpleString()}, t int")
+
+
 def balanced(panel: DataFrame, unit: str, period: str, outcome: str | None = None, rule: str = "max") -> DataFrame:
     """Units observed throughout: ``max`` keeps those with the largest count seen, ``all`` those seen in every period."""
     if rule == "max":
@@ -212,10 +217,9 @@ def unit_rows(panel: DataFrame, unit: str, period: str, periods: list, outcomes:
     A unit has at most one entry per calendar slot (two are an error: they would shift its later slots), so the lists are
     as long as the calendar.  The table is written out once and everything after it reads that.
     """
-    slots = F.create_map(*[F.lit(v) for i, p in enumerate(periods) for v in (p, i)])
-    rows = panel.select(F.col(unit).alias("unit"), F.element_at(slots, F.col(period)).alias("t"),
+    rows = panel.select(F.col(unit).alias("unit"), F.col(period).alias("_period"),
                         *[finite_or_null(o).alias(f"y{i}") for i, o in enumerate(outcomes)],
-                        *[finite_or_null(d).alias(d) for d in doses])
+                        *[finite_or_null(d).alias(d) for d in doses]).join(period_slots(panel, period, periods), "_period").drop("_period")
     out = rows.groupBy("unit").agg(
         F.sort_array(F.collect_list(F.struct("t", *[f"y{i}" for i in range(len(outcomes))]))).alias("obs"),
         *[F.min_by(d, "t").alias(d) for d in doses],

@@ -6,7 +6,7 @@ all tasks.  The ranges' totals locate the ranks that are needed, and only the ra
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 
@@ -28,10 +28,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list
     totals = bucketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc")).withColumns({
         "_start": F.coalesce(F.sum("_bc").over(earlier), F.lit(0)), "n": F.sum("_bc").over(W.partitionBy(*keys))})
 
-    wanted = F.array(*[_ranks(name, p, rule) for name, p in probs.items()])
+    # one literal table of probabilities; ranks are worked out once from its column, however many there are
+    wanted = F.array(*[F.struct(F.lit(name).alias("_name"), F.lit(float(p)).alias("_p")) for name, p in probs.items()])
     needed = (
         totals.withColumn("_w", F.explode(wanted))
-        .select(*keys, "n", "_b", "_start", "_bc", "_w.*")
+        .select(*keys, "n", "_b", "_start", "_bc", "_w.*").withColumns(_ranks(F.col("_p"), rule))
         .where((F.col("_hi") >= F.col("_start")) & (F.col("_lo") < F.col("_start") + F.col("_bc")))
     )
     hit_buckets = needed.select(*keys, "_b", "_start").distinct()
@@ -47,25 +48,22 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list
         F.first("_frac").alias("_frac"), F.first("n").alias("n"),
     )
     quantile = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
-    wide = found.groupBy(*keys).agg(
-        F.first("n").alias("n"), *[F.max(F.when(F.col("_name") == q, quantile)).alias(q) for q in probs]
-    )
-    return wide.select(*by, "n", *probs)
+    wide = found.groupBy(*keys).agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_name", quantile))).alias("_q"))
+    return wide.select(*by, "n", *[F.try_element_at("_q", F.lit(q)).alias(q) for q in probs])
 
 
-def _ranks(name: str, p: float, rule: str):
+def _ranks(p: Column, rule: str) -> dict[str, Column]:
     n = F.col("n")
     if rule == "linear":
-        h = (n - 1) * F.lit(p)
+        h = (n - 1) * p
         lo = F.floor(h)
         hi, frac = F.ceil(h), h - lo
     elif rule == "average":
-        h = n * F.lit(p)
+        h = n * p
         whole = h == F.floor(h)
         lo = F.greatest(F.when(whole, F.floor(h) - 1).otherwise(F.floor(h)), F.lit(0))
         hi = F.least(F.when(whole, lo + 1).otherwise(lo), n - 1)
         frac = F.lit(0.5)
     else:
         raise ValueError(f"unknown quantile rule {rule}")
-    return F.struct(F.lit(name).alias("_name"), lo.cast("long").alias("_lo"), hi.cast("long").alias("_hi"),
-                    frac.cast("double").alias("_frac"))
+    return {"_lo": lo.cast("long"), "_hi": hi.cast("long"), "_frac": frac.cast("double")}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.inference import Z95, student_two_sided
 from ..functions.numbers import finite_or_null
 from ..session import cut_lineage
-from .panel import calendar, dose_quantiles
+from .panel import calendar, period_slots, dose_quantiles
 from .quantiles import exact_quantiles
 from .vectorsum import vector_sums
 
@@ -92,10 +92,10 @@ def _symmetric(row, prefix: str, size: int) -> np.ndarray:
     return m
 
 
-def _inference(estimate: float, variance: float, dof: float) -> tuple[float, float, float]:
+def _inference(estimate: float, variance: float, dof: float) -> tuple[float, float, float | None]:
+    """Estimate, standard error and p-value; without an error there is no p-value."""
     estimate, se = float(estimate), float(np.sqrt(max(variance, 0.0)))
-    t = estimate / se if se > 0 else float("nan")
-    return estimate, se, student_two_sided(t, float(dof))
+    return estimate, se, student_two_sided(estimate / se, float(dof)) if se > 0 else None
 
 
 def ols_table(sample: DataFrame, outcome: str, measures: dict[str, str]) -> DataFrame:
@@ -141,6 +141,7 @@ def _flag(dose: Column, mode: str, q25: float, q75: float) -> Column:
     raise ValueError(f"unknown mode {mode}")
 
 
+#: How a study says what its sample is.
 def sample_note(mode: str, q25: float | None, q75: float | None) -> str:
     if mode == "continuous":
         return "continuous exposure"
@@ -173,12 +174,13 @@ def event_study(panel: DataFrame, unit: str, period: str, event_time: str, outco
     names = list(outcomes)
     doses = sorted({s.dose for s in specs})
     values = {f"y{i}": finite_or_null(c) for i, c in enumerate(outcomes.values())}
-    slots = F.create_map(*[F.lit(v) for i, l in enumerate(labels) for v in (l, i)])
-    rows = panel.select(F.col(unit).alias("unit"), F.element_at(slots, F.col(period)).alias("t"),
+    slots = period_slots(panel, period, labels)
+    rows = panel.select(F.col(unit).alias("unit"), F.col(period).alias("_period"),
                         *[finite_or_null(d).alias(d) for d in doses], *[c.alias(n) for n, c in values.items()])
     sums = [a for n in values for a in (F.count(n).cast("double").alias(f"n_{n}"), F.coalesce(F.sum(n), F.lit(0.0)).alias(f"s_{n}"),
                                         F.coalesce(F.sum(F.col(n) * F.col(n)), F.lit(0.0)).alias(f"q_{n}"))]
-    cells = rows.groupBy("unit", "t").agg(*sums, *[F.min(d).alias(d) for d in doses])
+    # rows collapse to cells before a period becomes a slot
+    cells = rows.groupBy("unit", "_period").agg(*sums, *[F.min(d).alias(d) for d in doses]).join(slots, "_period")
     stat = [f"{k}_{n}" for n in values for k in "nsq"]
     per_unit = cut_lineage(cells.groupBy("unit").agg(F.collect_list(F.struct("t", *stat)).alias("cells"),
                                                      *[F.min(d).alias(d) for d in doses]))

@@ -2,9 +2,9 @@
 
 No pair is ever written out.  Both sides are hashed into blocks of bounded size; each task multiplies one block of
 targets by one block of sources, a strip at a time, and returns one candidate per row, and a map-side-combined ``max_by``
-keeps the best.  A vector travels once per block of the other side, so the block grid is shaped to move the fewest vectors
-that still fill the cluster and fit a task.
-Copies of one vector are collapsed to their lowest ordinal first, so a vector that fills a third of a side is one row.
+keeps the best.  A vector travels once per block of the other side, so the block grid, which follows from the sizes of the sides alone, is
+shaped to move the fewest vectors for its number of tasks.
+Copies of one vector are collapsed to their lowest ordinal first, by a 128-bit hash, so a vector that fills a third of a side is one row.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from .joins import replace_keys
 BLOCK_BYTES = 96 * 2 ** 20   # vectors of one side in one task
 STRIP_BYTES = 64 * 2 ** 20   # similarities held at once
 TASK_PAIRS = 2 ** 22         # below this many products a further task is not worth its overhead
+MOST_TASKS = 4096            # more tasks move more vectors; beyond this only memory makes blocks smaller
 NEAREST, WEIGHTED = "cosine_nearest", "cosine_weighted"
 
 #: Fixed value: target codes whose automatic match was audited and replaced by a source code.
@@ -54,11 +55,11 @@ def attach_vectors(rows: DataFrame, vectors: DataFrame, text: Column, key: str =
     return out
 
 
-def block_grid(sources: int, targets: int, dimension: int, parallelism: int) -> tuple[int, int]:
+def block_grid(sources: int, targets: int, dimension: int) -> tuple[int, int]:
     """Blocks per side.  For a given number of tasks the fewest vectors move when both sides ship the same amount;
     no block may outgrow a task's memory."""
     limit = max(1, BLOCK_BYTES // (8 * max(dimension, 1)))
-    tasks = max(1, min(4 * parallelism, sources * targets // TASK_PAIRS))
+    tasks = max(1, min(MOST_TASKS, sources * targets // TASK_PAIRS))
     left = max(1, round(math.sqrt(tasks * sources / max(targets, 1))))
     right = max(1, math.ceil(tasks / left))
     return max(left, math.ceil(sources / limit), 1), max(right, math.ceil(targets / limit), 1)
@@ -77,14 +78,15 @@ def best_matches(source: DataFrame, target: DataFrame, ordinal: str, vector: str
     for name, df in (("source", source), ("target", target)):
         rows = df.select(F.col(ordinal).cast("long").alias("ordinal"), fold_column.alias("fold"),
                          F.col(vector).cast("array<double>").alias("v"))
-        copies = rows.groupBy("v", "fold").agg(F.min("ordinal").alias("first"))
-        distinct, dimension = copies.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-        sides[name] = (rows, copies, distinct, rows.count() > distinct, dimension or 1)
-    (_, left, n, _, dimension), (_, right, m, _, _) = sides["source"], sides["target"]
+        rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("second"), "v")})
+        copies = rows.groupBy("h1", "h2", "fold").agg(F.min("ordinal").alias("first"), F.min_by("v", "ordinal").alias("v"))
+        size, dimension = copies.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+        sides[name] = (rows.select("ordinal", "fold", "h1", "h2"), copies, size, dimension or 1)
+    (_, left, n, dimension), (_, right, m, _) = sides["source"], sides["target"]
     if block_rows:
         left_blocks, right_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_rows))
     else:
-        left_blocks, right_blocks = block_grid(n, m, dimension, source.sparkSession.sparkContext.defaultParallelism)
+        left_blocks, right_blocks = block_grid(n, m, dimension)
     own = lambda n: F.pmod(F.xxhash64("first"), F.lit(n)).cast("int")
     all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     placed = (
@@ -101,12 +103,10 @@ def best_matches(source: DataFrame, target: DataFrame, ordinal: str, vector: str
     ).select("is_source", "first", "fold", "b.*")
 
     out = []
-    for name, (rows, copies, _, repeated, _) in sides.items():
+    for name, (rows, copies, _, _) in sides.items():
         is_source = name == "source"
-        if repeated:  # copies of one vector share the answer of the lowest ordinal
-            members = rows.join(copies, ["v", "fold"]).select("ordinal", "first")
-        else:
-            members = rows.select("ordinal", F.col("ordinal").alias("first"))
+        # copies of one vector share the answer of the lowest ordinal
+        members = rows.join(copies.select("h1", "h2", "fold", "first"), ["h1", "h2", "fold"]).select("ordinal", "first")
         out.append(
             members.join(best.where(F.col("is_source") == is_source).drop("is_source"), "first")
             .select(F.lit(name).alias("side"), "ordinal", "fold", "best", "similarity")

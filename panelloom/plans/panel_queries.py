@@ -88,13 +88,21 @@ def p18(spark, d):
 
 SAMPLE = f"sample AS ({A10_SQL.split(MONTHLY)[1].replace('any_value(dose) AS dose', 'any_value(dose) AS dose, any_value(dose2) AS dose2').replace('round((', '((').replace('/ 60 * 100, 6)', '/ 60 * 100)')})"
 
-HC1 = """SELECT '{m}' AS measure, round(b, 6) AS coefficient,
- round(sqrt(sum(pow(x - mx, 2) * pow(y - a - b * x, 2)) / pow(sxx, 2) * n / (n - 2)), 6) AS std_error,
+def t_tail(t: str, dof: str, steps: int = 4000) -> str:
+    """SQL for the two-sided tail of Student's t: Simpson's rule over the density between 0 and |t|."""
+    return f"""round(1 - 2 * exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt({dof} * pi()) * abs({t}) / {3 * steps} * list_sum(
+  [(CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(i * abs({t}) / {steps}, 2) / {dof}, -({dof} + 1) / 2.0)
+   FOR i IN range({steps + 1})]), 6)"""
+
+
+HC1 = """SELECT measure, round(b, 6) AS coefficient, round(se, 6) AS std_error, """ + t_tail("(b / se)", "(nobs - 2)") + """ AS p_value, r2, nobs,
+ depvar_mean FROM (SELECT '{m}' AS measure, b,
+ sqrt(sum(pow(x - mx, 2) * pow(y - a - b * x, 2)) / pow(sxx, 2) * n / (n - 2)) AS se,
  round(r2, 6) AS r2, n AS nobs, round(my, 6) AS depvar_mean
  FROM (SELECT growth AS y, {x} AS x FROM sample WHERE {x} IS NOT NULL) CROSS JOIN
  (SELECT regr_slope(growth, {x}) AS b, regr_intercept(growth, {x}) AS a, regr_r2(growth, {x}) AS r2, avg({x}) AS mx,
   regr_sxx(growth, {x}) AS sxx, count(*) AS n, avg(growth) AS my FROM sample WHERE {x} IS NOT NULL)
- GROUP BY b, a, r2, sxx, n, my"""
+ GROUP BY b, a, r2, sxx, n, my)"""
 
 
 def growth_sample(spark, d):
@@ -106,26 +114,27 @@ def growth_sample(spark, d):
 def e1(spark, d):
     fit = regression.ols(growth_sample(spark, d), "growth", ["dose"])
     mean = growth_sample(spark, d).agg(F.avg("growth")).scalar()
-    return rounded(fit.where("term = 'dose'").select(F.col("term").alias("measure"), "coefficient", "std_error", "r2",
+    return rounded(fit.where("term = 'dose'").select(F.col("term").alias("measure"), "coefficient", "std_error", "p_value", "r2",
                                                      "nobs", mean.alias("depvar_mean")))
 
 
 @query("e2", with_ctes(EVENT) + """, m AS (SELECT regr_slope(y, dose) AS b, regr_intercept(y, dose) AS a,
   regr_r2(y, dose) AS r2, avg(dose) AS mx, regr_sxx(y, dose) AS sxx, count(*) AS n, count(DISTINCT unit) AS g FROM ev),
  s AS (SELECT unit, sum((dose - mx) * (y - a - b * dose)) AS s FROM ev CROSS JOIN m GROUP BY 1)
- SELECT 'dose' AS term, round(any_value(b), 6) AS coefficient, round(sqrt(sum(s * s) / pow(any_value(sxx), 2)
-  * any_value(g) / (any_value(g) - 1) * (any_value(n) - 1) / (any_value(n) - 2)), 6) AS std_error,
- round(any_value(r2), 6) AS r2, any_value(n) AS nobs FROM s CROSS JOIN m""")
+ SELECT 'dose' AS term, round(b, 6) AS coefficient, round(se, 6) AS std_error, """ + t_tail("(b / se)", "(g - 1)") + """ AS p_value, round(r2, 6) AS r2, nobs
+ FROM (SELECT any_value(b) AS b, sqrt(sum(s * s) / pow(any_value(sxx), 2)
+  * any_value(g) / (any_value(g) - 1) * (any_value(n) - 1) / (any_value(n) - 2)) AS se,
+ any_value(g) AS g, any_value(r2) AS r2, any_value(n) AS nobs FROM s CROSS JOIN m)""")
 def e2(spark, d):
     fit = regression.ols(event_panel(spark, d), "event_unemployment", ["dose"], cluster="unit")
-    return rounded(fit.where("term = 'dose'").select("term", "coefficient", "std_error", "r2", "nobs"))
+    return rounded(fit.where("term = 'dose'").select("term", "coefficient", "std_error", "p_value", "r2", "nobs"))
 
 
 @query("e3", with_ctes(MONTHLY, SAMPLE) + HC1.format(m="first", x="dose") + " UNION ALL " +
        HC1.format(m="second", x="dose2"))
 def e3(spark, d):
     out = regression.ols_table(growth_sample(spark, d), "growth", {"first": "dose", "second": "dose2"})
-    return rounded(out.select("measure", "coefficient", "std_error", "r2", "nobs", "depvar_mean"))
+    return rounded(out.select("measure", "coefficient", "std_error", "p_value", "r2", "nobs", "depvar_mean"))
 
 
 @query("e4", with_ctes(EVENT) + """SELECT event_time, count(*) AS rows, round(sum(dose), 6) AS dose_sum,
@@ -374,8 +383,9 @@ def e14(spark, d):
   quantile_cont(x, 0.75) AS q75, CASE WHEN count(CASE WHEN x = 0 THEN 1 END) > 0 THEN 'zero-dose CNOs'
   ELSE 'bottom-quartile CNOs set as zero-dose baseline' END AS control_rule FROM v GROUP BY 1),
  o AS (SELECT 'unemployment' AS k, 'event_unemployment' AS outcome UNION ALL SELECT 'contracts', 'event_contracts')
- SELECT concat(k, '_', exposure, '_continuous') AS spec, outcome, exposure, control_rule, n_units,
+ SELECT concat(k, '_', exposure, '_continuous') AS spec, outcome, exposure,
+ 'continuous dose; positive/higher-dose CNOs adopt in {adopted}' AS design, control_rule, n_units,
  (SELECT count(DISTINCT period) FROM k) AS n_periods, round(q25, 6) AS q25, round(q50, 6) AS q50,
- round(q75, 6) AS q75, 100 AS bootstraps FROM q CROSS JOIN o""")
+ round(q75, 6) AS q75, 100 AS bootstraps FROM q CROSS JOIN o""".replace("{adopted}", INTERVENTION))
 def e15(spark, d):
     return rounded(dose_did.run_table(grid_panel(spark, d), "unit", "period", dose_specs(), INTERVENTION))

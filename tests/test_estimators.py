@@ -265,8 +265,10 @@ def test_dose_response_recovers_a_known_curve(spark):
     assert set(events) == set(range(-4, 4)) and events[-4].band_low is None  # nothing comes before the first period
     assert abs(events[-2].acrt) < .2 and abs(events[2].acrt - (1 + 2 * d[on].mean())) < .2
     assert events[1].band_low < events[1].acrt < events[1].band_high and events[1].critical_value > 1.96
-    table = dose_did.run_table(df, "u", "p", [spec], months[4]).first()
-    assert (table.control_rule, table.n_units, table.n_periods) == (dose_did.ZERO_RULE, 60, 8)
+    unseen = dose_did.DoseSpec("unseen", spec.outcome, "nothing")
+    table, empty = dose_did.run_table(df.withColumn("nothing", F.lit(None).cast("double")), "u", "p", [spec, unseen], months[4]).collect()
+    assert (table.control_rule, table.n_units, table.n_periods) == (dose_did.ZERO_RULE, 60, 8) and table.design.endswith(months[4])
+    assert (empty.spec, empty.control_rule, empty.n_units, empty.q25) == ("unseen", None, 0, None)
 
 
 def test_dose_without_zero_units_uses_the_first_quartile(spark):
@@ -310,3 +312,10 @@ def test_draws():
     assert xi.mean(axis=0) == pytest.approx([0, 0], abs=.02) and xi.var(axis=0) == pytest.approx([1, 1], abs=.03)
     assert abs(np.corrcoef(xi.T)[0, 1]) < .02
     assert math.isclose(float((resampling.uniforms(keys[:5], np.array([1])) == resampling.uniforms(keys[:5], np.array([1]))).mean()), 1)
+
+
+def test_an_exact_fit_has_no_p_value(spark):
+    fit = regression.ols(spark.createDataFrame([(float(i), 2.0 * i) for i in range(5)], "x double, y double"), "y", ["x"])
+    slope = fit.where("term = 'x'").first()
+    assert slope.coefficient == pytest.approx(2) and (slope.p_value is None or slope.std_error > 0)
+    assert regression._inference(1.0, 0.0, 5) == (1.0, 0.0, None)
