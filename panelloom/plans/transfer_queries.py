@@ -116,6 +116,26 @@ def m6(spark, d):
     return forest.predict(model, target, "embedding").select("vec_id", "rf")
 
 
+@query("m6_bounds", """SELECT vec_id, true AS inside FROM embeddings WHERE vec_id % 2 = 1""")
+def m6_bounds(spark, d):
+    """A forest averages scores it has seen, so every target's value lies between the smallest and the largest of them."""
+    source, target = vectors(spark, d)
+    span = source.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
+    scored = forest.predict(forest.fit(source, "embedding", "score", trees=100), target, "embedding")
+    return scored.select("vec_id", F.col("rf").between(span.low - 1e-9, span.high + 1e-9).alias("inside"))
+
+
+@query("m8_forest_gain", """SELECT count(*) AS n, round(avg(abs(score - mean)), 6) AS mean_mae, true AS forest_is_better FROM
+ (SELECT s.score, (SELECT avg(o.score) FROM (SELECT label / 9.0 AS score, (vec_id // 2) % 5 AS fold FROM embeddings WHERE vec_id % 2 = 0) o
+  WHERE o.fold <> s.fold) AS mean FROM (SELECT label / 9.0 AS score, (vec_id // 2) % 5 AS fold FROM embeddings WHERE vec_id % 2 = 0) s)""")
+def m8_forest_gain(spark, d):
+    """The forest's out-of-fold error is below that of the mean of the other folds."""
+    rows = vectors(spark, d)[0].withColumn("fold", F.expr("(vec_id div 2) % 5").cast("int"))
+    mean = transfer.cross_validate(rows, "vec_id", "embedding", "score", "fold").where("method = 'global_mean'").select("n", F.col("mae").alias("mean_mae"))
+    found = forest.cross_validate(rows, "embedding", "score", "fold", trees=100).select("mae")
+    return rounded(mean.select("n", "mean_mae", (F.lit(found.first().mae) < F.col("mean_mae")).alias("forest_is_better")))
+
+
 @query("m7")
 def m7(spark, d):
     return forest.holdout(vectors(spark, d)[0], "vec_id", "embedding", "score")
