@@ -166,5 +166,6 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", slice_rows
                     for i, name in zip(use, found):
                         lang[i] = name
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score), pa.array(rejected)], names=[*names, *new])
+        release()
 
     return docs.mapInArrow(run, widened(docs.schema, **dict(zip(new, ("string", "double", "boolean")))))

@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import Scratch
 from .batches import slices
 from .components import connected_components
 from .workers import release
@@ -105,6 +105,7 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                                               pa.array(made, pa.binary()), batch.column(2)],
                                              names=["doc_id", "n_shingles", "digest", "signature", "text_hash"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, text_hash long")
 
@@ -158,6 +159,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
                 keep.append(same_enough(held, shingles(right, settings.words), settings.percent))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        held = None
+        release()
 
     return pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
@@ -200,7 +203,7 @@ def forest(nodes: list[int], component: list[int], sets: list[np.ndarray], left:
     return made
 
 
-def block_links(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+def block_links(members: DataFrame, texts: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     """Links inside large buckets; ``members`` has key, node, pivot, component.
 
     A node's home is the smallest pivot of its buckets, which the buckets of one group of near copies mostly share; a home is
@@ -209,11 +212,11 @@ def block_links(members: DataFrame, texts: DataFrame, settings: Settings) -> Dat
     homes = members.groupBy("node").agg(F.min("pivot").alias("home"), F.min("component").alias("component"))
     parts = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts"))
     block = F.struct("home", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).alias("block")
-    home = cut_lineage(homes.join(parts, "home").select("node", "component", block))
+    home = scratch.keep(homes.join(parts, "home").select("node", "component", block))
     there = members.join(home.select("node", "block"), "node").select("key", "block").distinct()
     pairs = there.alias("x").join(there.alias("y"), "key").where("x.block <= y.block") \
         .select(F.col("x.block").alias("first"), F.col("y.block").alias("second")).distinct()
-    pairs = cut_lineage(pairs.select("first", "second", F.monotonically_increasing_id().alias("pair")))
+    pairs = scratch.keep(pairs.select("first", "second", F.monotonically_increasing_id().alias("pair")))
     sides = pairs.select("pair", F.col("first").alias("block"), F.lit(True).alias("is_first"), (F.col("first") == F.col("second")).alias("alone")) \
         .unionByName(pairs.where("first <> second").select("pair", F.col("second").alias("block"), F.lit(False).alias("is_first"), F.lit(False).alias("alone")))
     rows = sides.join(home, "block").join(texts, "node").select("pair", "node", "component", "is_first", "alone", "text")
@@ -237,33 +240,37 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     its component.  Rows with a null id, and documents without words, are linked with nothing and kept.  Whole texts are read;
     other columns are not.
     """
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    keep = scratch.keep
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    signed = cut_lineage(signatures(docs, settings))
+    signed = keep(signatures(docs, settings), "signed")
     usable = signed.where("doc_id is not null and digest is not null")
-    single = cut_lineage(usable.groupBy("doc_id").agg(F.min(F.struct("digest", "signature", "text_hash")).alias("own")).select("doc_id", "own.*"))
+    single = keep(usable.groupBy("doc_id").agg(F.min(F.struct("digest", "signature", "text_hash")).alias("own")).select("doc_id", "own.*"), "single")
     classes = single.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("node"), "signature", "text_hash")).alias("own"))
-    classes = cut_lineage(classes.select("digest", "own.*"))
+    classes = keep(classes.select("digest", "own.*"), "classes")
     every = index_keys(classes, settings)  # made twice rather than written: it is larger than the classes it comes from
     stats = every.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut_lineage(every.join(stats, "key").select("key", "node", "pivot", "n").distinct())
+    members = keep(every.join(stats, "key").select("key", "node", "pivot", "n").distinct(), "members")
     stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    candidates = cut_lineage(near_signatures(stars, classes, settings))
+    candidates = keep(near_signatures(stars, classes, settings), "candidates")
     wanted = classes.join(members.select("node").distinct(), "node").select("node", "text_hash")
     represented = docs.join(wanted, (docs["doc_id"] == wanted["node"]) & (docs["text_hash"] == wanted["text_hash"])).select("node", "text").distinct()
-    texts = cut_lineage(represented)
-    links = cut_lineage(confirmed(candidates, texts, settings))
+    texts = keep(represented, "texts")
+    links = keep(confirmed(candidates, texts, settings), "links")
     parts = connected_components(links)
-    rest = members.where("n > 2").join(parts, "node", "left").select("key", "node", "pivot", "n", F.coalesce("component", "node").alias("component"))
-    rest = cut_lineage(rest)
-    mixed_keys = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = cut_lineage(rest.join(mixed_keys, "key"))
+    named = members.where("n > 2").join(parts, "node", "left").select("key", "node", "pivot", "n", F.coalesce("component", "node").alias("component"))
+    mixed_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rest = keep(named.join(mixed_keys, "key"), "rest")
     few = rest.where((F.col("n") <= SMALL) & (F.col("node") != F.col("pivot")))
     pairs = few.alias("x").join(few.alias("y"), "key").where("x.node < y.node and x.component <> y.component") \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = confirmed(near_signatures(pairs, classes, settings), texts, settings)
-    found = cut_lineage(links.unionByName(more).unionByName(block_links(rest.where(F.col("n") > SMALL), texts, settings)))
+    blocks = block_links(rest.where(F.col("n") > SMALL), texts, settings, scratch)
+    found = keep(links.unionByName(more).unionByName(blocks), "found")
+    scratch.drop(members, candidates, texts, links, rest)
     whole = connected_components(found)
     named = classes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    by_id = single.join(named, "digest").select("doc_id", "component")
+    by_id = keep(single.join(named, "digest").select("doc_id", "component"), "components")
+    scratch.drop(single, classes, found)
     out = signed.join(by_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
