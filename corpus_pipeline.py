@@ -1,7 +1,7 @@
 """A corpus pipeline of the operators in ``panelloom.llm``.
 
 Each stage is written as Parquet in the shared folder and read again by the next one, so a lost executor costs no more than the
-stage that runs.  Stages take and return the columns of ``documents`` (the last one adds to them); rows are documents.
+stage that runs.  When a stage is written, its intermediate tables and the stage before it are deleted.  Stages take and return the columns of ``documents`` (the last one adds to them); rows are documents.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelloom.llm import bpe, decontaminate, langid, lines, neardup
-from panelloom.session import new_scratch
+from panelloom.session import new_scratch, remove_folder, scratch_scope
 
 
 def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -57,9 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs, before = spark.read.parquet(f"{folder}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, folder).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_scope():
+            stage(spark, docs, folder).write.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, folder)
