@@ -6,9 +6,10 @@ an anchor of ``words - v + 1`` words that begins at a cover position in both, wh
 ``len(cover)`` of every v positions finds all shared windows.
 
 Anchors that two documents have go back to their documents.  Around such an anchor every window it can belong to is extended to its
-full length.  Documents are dealt by the first document that shares an anchor with them, so most copies meet in one batch,
-where all but the first holder of a window are settled at once.  What is left, one row for each window of a batch, is dealt by the window's
-96-bit fingerprint, and the smallest document id holding it decides.  No pairs are made anywhere.
+full length.  Documents are dealt by the first document of most of their anchors, so copies meet in one batch,
+where all but the first holder of a window are settled at once.  What is left, one row for each window of a batch that documents outside the
+batch may hold too, is dealt by the window's 96-bit fingerprint, and the smallest document id holding it decides.  No pairs are made
+anywhere.
 """
 
 from __future__ import annotations
@@ -101,39 +102,53 @@ def anchors(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "hash long, doc_id long")
 
 
-def starts_near(hashed: np.ndarray, shared: np.ndarray, words: int, period: int, cover: list[int]) -> np.ndarray:
-    """Starts of the windows that have a shared anchor at a cover position among their first ``period`` places."""
-    if len(hashed) < words:
-        return np.zeros(0, np.int64)
-    found = run_hashes(hashed, words - period + 1, SALT[0])
-    at = np.flatnonzero(np.isin(np.arange(len(found)) % period, cover) & np.isin(found, shared))
-    n = len(hashed) - words + 1
+def starts_near(at: np.ndarray, n: int, period: int) -> np.ndarray:
+    """Of ``n`` windows those with an anchor (places ``at``) among their first ``period`` places, as a mask."""
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, np.minimum(np.maximum(at - period + 1, 0), n), 1)
     np.add.at(edge, np.minimum(at + 1, n), -1)
-    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def windows(near: DataFrame, words: int) -> DataFrame:
     """Rows of two kinds from documents with shared anchors (row, doc_id, text, shared).
 
-    ``starts`` null: the first holders of a window inside a batch (h1, h2, doc_id, row, start).  ``starts`` given: starts of the
-    row's windows that a smaller doc_id of the same batch has too.
+    ``starts`` null: the first holders of a window inside a batch (h1, h2, doc_id, row, start), unless all documents that share one of its anchors are in
+    the batch.  ``starts`` given: starts of the row's windows that a smaller doc_id of the same batch has too.
     """
     names = ["h1", "h2", "doc_id", "row", "start", "starts"]
     period, cover = plan(words)
+    chosen = np.zeros(period, bool)
+    chosen[cover] = True
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
-            h1, h2, start, size = [], [], [], []
-            for text, shared in zip(batch.column(2).to_pylist(), batch.column(3)):
+            lists = batch.column(3).flatten()
+            known, first = np.unique(lists.field(0).to_numpy().view(np.uint64), return_index=True)
+            holders = lists.field(1).to_numpy()[first]  # in how many rows of the whole table an anchor is
+            rows, here = [], np.zeros(len(known), np.int64)
+            for text in batch.column(2).to_pylist():
                 hashed = word_hashes((text or "").encode().split())
-                at = starts_near(hashed, shared.values.to_numpy().view(np.uint64), words, period, cover)
-                h1.append(run_hashes(hashed, words, SALT[0])[at])
-                h2.append((run_hashes(hashed, words, SALT[1])[at] >> np.uint64(32)).astype(np.uint32))
-                start.append(at)
-                size.append(len(at))
-            h1, h2, start = map(np.concatenate, (h1, h2, start))
+                if len(hashed) < words:
+                    rows.append((hashed, np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    continue
+                found = run_hashes(hashed, words - period + 1, SALT[0])
+                at = np.flatnonzero(chosen[np.arange(len(found)) % period])
+                number = np.minimum(np.searchsorted(known, found[at]), len(known) - 1)
+                shared = known[number] == found[at]
+                rows.append((hashed, at[shared], number[shared]))
+                here[np.unique(number[shared])] += 1
+            elsewhere = here < holders
+            h1, h2, start, size, opened = [], [], [], [], []
+            for hashed, at, number in rows:
+                n = max(0, len(hashed) - words + 1)
+                use = np.flatnonzero(starts_near(at, n, period))
+                opened.append(starts_near(at[elsewhere[number]], n, period)[use])
+                h1.append(run_hashes(hashed, words, SALT[0])[use])
+                h2.append((run_hashes(hashed, words, SALT[1])[use] >> np.uint64(32)).astype(np.uint32))
+                start.append(use)
+                size.append(len(use))
+            h1, h2, start, opened = map(np.concatenate, (h1, h2, start, opened))
             place = np.repeat(np.arange(len(size)), size)
             doc = batch.column(1).to_numpy()[place]
             order = np.lexsort((doc, h2, h1))
@@ -142,16 +157,15 @@ def windows(near: DataFrame, words: int) -> DataFrame:
             least = np.repeat(d[head], np.diff(np.append(head, len(order))))
             settled = np.zeros(len(order), bool)
             settled[order] = d > least
-            rows = batch.column(0).to_numpy()
-            left = np.flatnonzero(~settled)
+            row = batch.column(0).to_numpy()
+            left = np.flatnonzero(~settled & opened)
             for cut in range(0, len(left), 1 << 16):
                 use = left[cut:cut + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(h1[use].view(np.int64)), pa.array(h2[use].view(np.int32)), pa.array(doc[use]), pa.array(rows[place[use]]),
+                    pa.array(h1[use].view(np.int64)), pa.array(h2[use].view(np.int32)), pa.array(doc[use]), pa.array(row[place[use]]),
                     pa.array(start[use]), pa.nulls(len(use), pa.list_(pa.int64()))], names=names)
             ends = np.cumsum(size)
-            done = [(int(rows[i]), start[e - n:e][settled[e - n:e]]) for i, (e, n) in enumerate(zip(ends, size))
-                    if settled[e - n:e].any()]
+            done = [(int(row[i]), start[e - n:e][settled[e - n:e]]) for i, (e, n) in enumerate(zip(ends, size)) if settled[e - n:e].any()]
             if done:
                 yield pa.RecordBatch.from_arrays([
                     pa.nulls(len(done), pa.int64()), pa.nulls(len(done), pa.int32()), pa.nulls(len(done), pa.int64()),
@@ -209,9 +223,10 @@ def repeated_passages(docs: DataFrame, words: int = 50, doc_id: str = "doc_id",
     scratch = Scratch(docs.sparkSession, "substrings")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     found = anchors(docs.select("doc_id", "text"), words)
-    first = found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    shared = found.join(first.select("hash", "first"), "hash").groupBy("doc_id").agg(
-        F.min("first").alias("home"), F.collect_list("hash").alias("shared"))
+    first = found.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("holders"))
+    first = first.where("first < last").select("hash", "first", "holders")
+    shared = found.join(first, "hash").groupBy("doc_id").agg(
+        F.mode("first", True).alias("home"), F.collect_list(F.struct("hash", "holders")).alias("shared"))
     near = docs.join(shared, "doc_id").hint("rebalance", "home").withColumn("row", F.monotonically_increasing_id())
     near = scratch.keep(near, "near")
     made = scratch.keep(windows(near, words), "windows")
